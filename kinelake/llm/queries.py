@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kinelake.llm import bitplane, license_scan, packing, quality, secret_scan
+from kinelake.llm import bitplane, license_scan, ngram_join, packing, quality, secret_scan
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -18,6 +18,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.scan_licenses(table(spark, sf_dir, "documents")))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
+
+
 def op7_bitplane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplane.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -34,5 +38,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op7_bitplane_ids, op8_concat_pack, op9_quality_rules, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_ngram_join, op7_bitplane_ids, op8_concat_pack, op9_quality_rules, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
