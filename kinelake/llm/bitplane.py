@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinelake.llm.storage import Scratch, arrow_limits
-from kinelake.llm.tokens import ChunkEncoder, encode_documents
+from kinelake.llm.tokens import encode_documents, worker_encoder
 
 MAGIC = b"KLPLANE1"
 BLOCK = 1 << 16
@@ -137,7 +137,7 @@ def write_ids(df: DataFrame, folder: str, tokenizer_path: str, id_col: str = "do
         shard = table.column("shard")[0].as_py()
         ids, texts = table.column("id").to_pylist(), table.column("text").to_pylist()
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, texts[i] or ""))
-        docs = encode_documents(_encoder(tokenizer_path), [texts[i] for i in order])
+        docs = encode_documents(worker_encoder(tokenizer_path), [texts[i] for i in order])
         put_file(folder, f"shard-{shard:08d}.klp", write_shard([ids[i] for i in order], docs, shard, kind))
         return pa.table({"shard": pa.array([shard], pa.int64()), "n_docs": pa.array([len(docs)], pa.int64()), "n_ids": pa.array([sum(map(len, docs)) // 4], pa.int64())})
 
@@ -154,16 +154,6 @@ def _halve(a, cuts):
     )
 
 
-_encoders: dict[str, ChunkEncoder] = {}
-
-
-def _encoder(path: str) -> ChunkEncoder:
-    """One encoder, and so one cache, for each Python worker."""
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
-
-
 def read_ids(df_manifest: DataFrame, folder: str) -> DataFrame:
     """Documents of the files below ``folder``: doc_id, start, n_tokens, ids_crc32.
 

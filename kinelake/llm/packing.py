@@ -24,9 +24,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinelake.llm.storage import Scratch, arrow_limits
-from kinelake.llm.tokens import ChunkEncoder, encode_documents
+from kinelake.llm.tokens import encode_documents, worker_encoder
 
 LENGTH = 1024
+#: Partitions whose offsets (24 bytes each) are broadcast; beyond, they are joined by shuffle.
+BROADCAST_PARTS = 200_000
 
 
 def tokenise_partitions(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -34,7 +36,7 @@ def tokenise_partitions(df: DataFrame, tokenizer_path: str, id_col: str = "doc_i
     arrow_limits(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, at = ChunkEncoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        encoder, part, at = worker_encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         for b in batches:
             docs = encode_documents(encoder, b.column(1).to_pylist())
             n = np.array([len(x) // 4 for x in docs], dtype=np.int64)
@@ -79,5 +81,6 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(of, pa.int64())), *(pa.array(c, pa.int64()) for c in columns)], names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_length"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    placed = docs.join(base, "part").select("id", (F.col("base") + F.col("at")).alias("at"), "n", "ids", "all_tokens")
+    base = scratch.table(base, "bases")  # a row for each partition: broadcast while that is a few megabytes
+    placed = docs.join(F.broadcast(base) if base.count() <= BROADCAST_PARTS else base, "part").select("id", (F.col("base") + F.col("at")).alias("at"), "n", "ids", "all_tokens")
     return placed.mapInArrow(run, f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, padded_length bigint").withColumnRenamed("id", id_col)

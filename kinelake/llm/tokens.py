@@ -1,10 +1,11 @@
 """Tokenising whole texts with a byte-level BPE file of the tokenizers library.
 
-Byte-level BPE never merges across its pre-tokens, and a run of white space or
-a word with one space before it begins a new pre-token wherever it stands.  So
-a text is cut into such chunks, each distinct chunk is encoded once by the
-library and kept in a bounded cache, and the ids of a text are those of its
-chunks in order.  Tests hold this against encoding whole texts.
+Byte-level BPE never merges across its pre-tokens, and a run of white space, or
+a word with one space before it, begins a new pre-token wherever it stands; so
+does a comma or full stop between a word of letters and white space.  A text is
+cut into such chunks, each distinct chunk is encoded by the library and kept in
+a bounded cache, and the ids of a text are those of its chunks in order.  Tests
+hold this against encoding whole texts.
 """
 
 from __future__ import annotations
@@ -14,11 +15,14 @@ import re
 
 import numpy as np
 
-#: White space as the tokenizer's pattern has it (Unicode White_Space).
+#: White space as the tokenizer's pattern has it (Unicode White_Space), and letters.
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-#: Distinct chunks kept in each of two generations; longer chunks are not kept.
-CACHE, CACHED_CHARS = 200_000, 64
+_L = "a-zA-ZÀ-ÖØ-öø-ÿ"
+_CHUNK = re.compile(f" ?[{_L}]+(?=[,.]?(?:[{_WS}]|$))|(?<=[{_L}])[,.](?=[{_WS}]|$)| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+#: Distinct chunks kept by a worker; longer chunks are not kept.
+CACHE, CACHED_CHARS = 500_000, 64
+#: Chunks encoded in one call, a line each: a line feed is a pre-token of its own.
+LINES = 64
 END_ID = 0
 
 
@@ -31,31 +35,50 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.line_id = self._alone("\n")
+        self.cache: dict[str, bytes] = {}
+
+    def _alone(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _add(self, missing: set[str]) -> None:
+        plain = [c for c in missing if not c.isspace()]
+        lines = ["\n".join(plain[i : i + LINES]) + "\n" for i in range(0, len(plain), LINES)]
+        ids = np.array([i for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids], dtype="<u4")
+        ends = (4 * np.flatnonzero(ids == np.frombuffer(self.line_id, dtype="<u4")[0])).tolist()
+        raw, at = ids.tobytes(), 0
+        for c, end in zip(plain, ends, strict=True):
+            self.cache[c] = raw[at:end]
+            at = end + 4
+        for c in missing.difference(plain):
+            self.cache[c] = self._alone(c)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, without an end id."""
         chunks = [_CHUNK.findall(t) for t in texts]
-        known: dict[str, bytes] = {}
-        missing = []
-        for c in set().union(*chunks):
-            ids = self.young.get(c) or self.old.get(c)
-            if ids is None:
-                missing.append(c)
-            else:
-                known[c] = ids
-        for i in range(0, len(missing), 20_000):
-            some = missing[i : i + 20_000]
-            for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, dtype="<u4").tobytes()
-        out = [b"".join(map(known.__getitem__, x)) for x in chunks]
-        self.young.update((k, v) for k, v in known.items() if len(k) <= CACHED_CHARS)
-        if len(self.young) > CACHE:
-            self.old, self.young = self.young, {}
+        used = set().union(*chunks)
+        missing = used.difference(self.cache)
+        if len(self.cache) + len(missing) > CACHE:
+            self.cache.clear()
+            missing = used
+        self._add(missing)
+        out = [b"".join(map(self.cache.__getitem__, x)) for x in chunks]
+        for c in missing:
+            if len(c) > CACHED_CHARS:
+                del self.cache[c]
         return out
 
 
+_encoders: dict[str, ChunkEncoder] = {}
+
+
+def worker_encoder(path: str) -> ChunkEncoder:
+    """One encoder, and so one cache, for each Python worker."""
+    if path not in _encoders:
+        _encoders[path] = ChunkEncoder(path)
+    return _encoders[path]
+
+
 def text_groups(texts: list[str | None], size: int = 1 << 20) -> list[list[str]]:
     """The texts (null: empty) in order, in groups of about ``size`` characters."""
     groups, have = [], size + 1
