@@ -158,3 +158,9 @@ def judge(
         .withColumn("n_removed_words", gone)
         .select(F.col("id").alias(id_col), *MEASURES, "n_removed_words", failed.alias("base_failed"), (~failed & (left >= min_words) & (left >= min_remaining * F.col("n_words"))).alias("kept"))
     )
+
+
+def keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **options) -> DataFrame:
+    """The rows of ``df`` whose document is kept; rows that share an id stay if one of them is kept."""
+    kept = judge(df, id_col, text_col, host_col, **options).filter("kept").select(F.col(id_col).alias("_kept_id")).distinct()
+    return df.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
