@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinelake.llm.storage import Scratch
+from kinelake.llm.storage import Scratch, realistic_sizes
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -37,19 +37,21 @@ BLOCK = 64
 SLOTS = 4096
 #: Documents in a chunk of a source, on average.
 CHUNK = 2048
-ROUNDS = 24
+ROUNDS = 12
 SEED = 20
 
 
 def permuted(k: Column, n: Column, key: Column) -> Column:
-    """Where a pseudorandom permutation of 0..n-1, chosen by ``key``, sends k (swap-or-not)."""
+    """Where a pseudorandom permutation of 0..n-1, chosen by the number ``key``, sends k (swap-or-not).
+
+    Each round pairs x with (r - x) mod n and swaps by a hash of the greater one.
+    """
 
     def swap(x: Column, i: Column) -> Column:
-        other = F.pmod(F.pmod(F.xxhash64(F.lit(SEED), key, i), n) - x, n)
-        heads = F.pmod(F.xxhash64(F.lit(SEED + 1), key, i, F.greatest(x, other)), F.lit(2)) == 1
-        return F.when(heads, other).otherwise(x)
+        other = F.pmod(F.pmod(F.xxhash64(key, i), n) - x, n)
+        return F.when(F.pmod(F.xxhash64(key, i, F.greatest(x, other)), F.lit(2)) == 1, other).otherwise(x)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), k.cast("long"), swap)
+    return F.aggregate(F.array(*[F.lit(SEED + i) for i in range(ROUNDS)]), k.cast("long"), swap)
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -69,6 +71,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
 def documents_in_order(df: DataFrame, id_col: str, text_col: str, source_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Every document with its place in its source, and the sources with their targets."""
+    realistic_sizes(df.sparkSession)
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     docs = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"))
     docs = scratch.table(docs.withColumn("named", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-"))), "sizes")
@@ -88,8 +91,9 @@ def documents_in_order(df: DataFrame, id_col: str, text_col: str, source_col: st
 
 
 def drawn_blocks(sources: DataFrame, scratch: Scratch, block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
-    """(key, block, times, first_slot): how often the mix takes each block of a source."""
+    """(key, block, times, first_shard): how often the mix takes each block of a source."""
     spark = sources.sparkSession
+    realistic_sizes(spark)
     quota = sources.filter("source_size > 0").select("key", F.ceil(F.col("source_size") / block).alias("blocks"), F.least(F.round(F.col("target") / block), 2 * F.ceil(F.col("source_size") / block)).cast("long").alias("quota"))
     up = Window.orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
     quota = scratch.table(quota.withColumn("upto", F.sum("quota").over(up)), "quota")
@@ -99,31 +103,34 @@ def drawn_blocks(sources: DataFrame, scratch: Scratch, block: int = BLOCK, slots
     # are first grouped by the stretch of a fixed grid that the uniform falls in, and a
     # source is joined to the stretches it touches.
     step = max(1, -(-total // 4096))
-    shard_slot = spark.range(total).select((F.col("id") / slots).cast("long").alias("shard"), F.col("id").alias("slot"), F.pmod(F.xxhash64(F.lit(SEED + 3), "id"), F.lit(max(1, total))).alias("u"))
+    shard_slot = spark.range(total).select((F.col("id") / slots).cast("long").alias("shard"), F.pmod(F.xxhash64(F.lit(SEED + 3), "id"), F.lit(max(1, total))).alias("u"))
     touched = quota.filter("quota > 0").select("key", "blocks", "quota", (F.col("upto") - F.col("quota")).alias("low"), F.col("upto").alias("high")).withColumn("cell", F.explode(F.sequence((F.col("low") / step).cast("long"), ((F.col("high") - 1) / step).cast("long"))))
-    draws = shard_slot.withColumn("cell", (F.col("u") / step).cast("long")).join(touched, "cell").filter("u >= low and u < high").select("shard", "slot", "key", "quota")
+    draws = shard_slot.withColumn("cell", (F.col("u") / step).cast("long")).join(touched, "cell").filter("u >= low and u < high").select("shard", "key", "quota")
 
-    # Place of a draw among its source's: within its shard, then over the shards' counts.
-    counts = draws.groupBy("shard", "key").agg(F.count("*").alias("count"))
-    before = Window.partitionBy("key").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
-    counts = scratch.table(counts.withColumn("before", F.sum("count").over(before) - F.col("count")), "shard_counts")
-    within = Window.partitionBy("shard", "key").orderBy("slot")
-    ranked = draws.withColumn("place", F.row_number().over(within) - 1).join(counts.select("shard", "key", "before"), ["shard", "key"]).select("shard", "slot", "key", "quota", (F.col("before") + F.col("place")).alias("k"))
+    counts = scratch.table(draws.groupBy("shard", "key", "quota").agg(F.count("*").alias("count")), "shard_counts")
 
-    # Repair: draws beyond a quota, in order, go to the sources that are short.  Only the
-    # counts matter for the numbering, so each side is laid out by prefix sums over sources.
+    # A source's slots are numbered shard after shard; draws beyond its quota, the last
+    # ones, are given up, and their shards pass them on to the sources that are short.
+    before = Window.partitionBy("key").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumn("upto", F.sum("count").over(before)).withColumn("base", F.col("upto") - F.col("count"))
+    kept = F.greatest(F.least("upto", "quota") - F.col("base"), F.lit(0))
+    counts = scratch.table(counts.withColumn("kept", kept), "kept")
+    held = counts.filter("kept > 0").select("shard", "key", F.col("base").alias("k"), F.col("kept").alias("n"))
+    given = counts.filter("kept < count").select("shard", "key", (F.col("count") - F.col("kept")).alias("n"))
+    by_key = Window.partitionBy("key").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
     got = counts.groupBy("key").agg(F.sum("count").alias("got"))
-    balance = quota.join(got, "key", "left").select("key", "blocks", "quota", F.coalesce("got", F.lit(0)).alias("got"))
+    balance = quota.join(got, "key", "left").select("key", "quota", F.coalesce("got", F.lit(0)).alias("got"))
     balance = balance.withColumn("over", F.greatest(F.col("got") - F.col("quota"), F.lit(0))).withColumn("short", F.greatest(F.col("quota") - F.col("got"), F.lit(0)))
     balance = scratch.table(balance.withColumn("over_base", F.sum("over").over(up) - F.col("over")).withColumn("short_base", F.sum("short").over(up) - F.col("short")), "balance")
-    kept = ranked.filter("k < quota").select("shard", "slot", "key", "k")
-    spare = ranked.filter("k >= quota").join(balance.select("key", "over_base"), "key").select("shard", "slot", (F.col("over_base") + F.col("k") - F.col("quota")).alias("number"))
-    missing = balance.filter("short > 0").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("short") - 1)).alias("i"), "got", "short_base").select("key", (F.col("got") + F.col("i")).alias("k"), (F.col("short_base") + F.col("i")).alias("number"))
-    passed = spare.join(missing, "number").select("shard", "slot", "key", "k")
-
-    placed = kept.unionByName(passed).join(quota.select("key", "blocks"), "key")
-    placed = placed.select("key", "slot", permuted(F.pmod("k", "blocks"), F.col("blocks"), F.concat_ws("/", F.col("key").cast("string"), F.floor(F.col("k") / F.col("blocks")).cast("string"))).alias("block"))
-    return placed.groupBy("key", "block").agg(F.count("*").alias("times"), F.min("slot").alias("first_slot"))
+    number = F.col("over_base") + F.sum("n").over(by_key) - F.col("n")
+    spare = given.join(balance.select("key", "over_base"), "key").select("shard", number.alias("from"), "n").select("shard", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("n") - 1)).alias("number"))
+    missing = balance.filter("short > 0").select("key", "got", "short_base", F.explode(F.sequence(F.lit(0).cast("long"), F.col("short") - 1)).alias("i")).select("key", (F.col("got") + F.col("i")).alias("k"), (F.col("short_base") + F.col("i")).alias("number"))
+    passed = spare.join(missing, "number").select("shard", "key", "k", F.lit(1).cast("long").alias("n"))
+
+    placed = held.unionByName(passed).select("shard", "key", F.explode(F.sequence(F.col("k"), F.col("k") + F.col("n") - 1)).alias("k"))
+    placed = placed.join(quota.select("key", "blocks"), "key").withColumn("round", F.floor(F.col("k") / F.col("blocks")))
+    placed = placed.select("shard", "key", permuted(F.pmod("k", "blocks"), F.col("blocks"), F.xxhash64("key", "round")).alias("block"))
+    return placed.groupBy("key", "block").agg(F.count("*").alias("times"), F.min("shard").alias("first_shard"))
 
 
 def taken_pieces(placed: DataFrame, drawn: DataFrame, block: int = BLOCK) -> DataFrame:

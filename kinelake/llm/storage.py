@@ -52,7 +52,13 @@ class Scratch:
         self.drop()
 
 
+def realistic_sizes(spark: SparkSession) -> None:
+    """Let Spark take a file for several times its compressed size when it decides what to broadcast."""
+    spark.conf.set("spark.sql.sources.fileCompressionFactor", "10")
+
+
 def arrow_limits(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
     """Bound the Arrow batches handed to Python by rows and by bytes."""
+    realistic_sizes(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
