@@ -244,7 +244,7 @@ def hampel(x: np.ndarray, size: int = 7, sigmas: float = 2.0, skip_missing: bool
     return out
 
 
-def interpolate(x: np.ndarray, most: int | None, kind: str = "linear") -> np.ndarray:
+def interpolate(x: np.ndarray, most: int | None = None, kind: str = "linear") -> np.ndarray:
     """Gaps of up to ``most`` samples filled; missing are NaN and zero, and at least five good samples are needed."""
     x = np.asarray(x, dtype=float)
     good = np.isfinite(x) & (x != 0)

@@ -33,7 +33,7 @@ def register(name: str, kernel: Callable[..., np.ndarray]) -> None:
     FILTERS[name] = kernel
 
 
-def smooth(df: DataFrame, keys: list[str], order: list[str], values: list[str], name: str, rate: float, **options) -> DataFrame:
+def smooth(df: DataFrame, keys: list[str], sort: list[str], values: list[str], name: str, rate: float, **options) -> DataFrame:
     """``df`` with the columns ``values`` filtered along each series; NULL is missing."""
     if name not in FILTERS:
         raise ValueError(f"no filter {name}; there are {', '.join(sorted(FILTERS))}")
@@ -41,7 +41,7 @@ def smooth(df: DataFrame, keys: list[str], order: list[str], values: list[str],
     df = df.withColumns({v: df[v].cast("double") for v in values})
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(c, "ascending") for c in order])
+        table = table.sort_by([(c, "ascending") for c in sort])
         for v in values:
             x = table.column(v).cast(pa.float64()).to_numpy()
             y = kernel(np.where(np.isfinite(x), x, np.nan), rate, **options)

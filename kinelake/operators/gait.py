@@ -59,7 +59,7 @@ def by_forward_velocity(markers: DataFrame, keys: list[str], frame: str, rate: f
     from kinelake.operators.filters import smooth
 
     heels = markers.filter(F.col("marker").isin([f"{s}Heel" for s in sides])).select(*keys, F.substring("marker", 1, 1).alias("side"), F.col(frame), (F.col(axis) * UNITS[unit]).alias("_v"))
-    moved = series.speed(heels, [*keys, "side"], [frame], "_v", "_d", missing_factor=1.0).withColumn("speed", F.abs(F.col("_d")) * rate).drop("_v", "_d")
+    moved = series.speed(heels, [*keys, "side"], [frame], "_v", "speed", missing_factor=1.0).withColumn("speed", F.abs(F.col("speed")) * rate).drop("_v")
     return contact_runs(smooth(moved, [*keys, "side"], [frame], ["speed"], "gaussian", rate, sigma=sigma), [*keys, "side"], frame, F.col("speed") < threshold)
 
 
