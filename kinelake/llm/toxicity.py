@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinelake.llm.storage import arrow_limits
+from kinelake.llm.storage import Scratch, arrow_limits
 from kinelake.llm.text import _LOWER, _SEP, BYTE_VALUES, as_bytes, joined, mix, powers, slices
 
 GRAMS = (3, 4, 5)
@@ -161,8 +161,9 @@ def fit(doc: np.ndarray, bucket: np.ndarray, toxic: np.ndarray, share: float, bi
     return Model(intercept, weights, bits=bits)
 
 
-def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
+def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, sample: int = SAMPLE, scratch: Scratch | None = None) -> Model:
     """Fit on at most ``sample`` labelled rows of each class."""
+    scratch = scratch or Scratch(documents.sparkSession)
     arrow_limits(documents.sparkSession)
     rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).filter("id is not null and toxic in (0, 1)")
     counts = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -176,7 +177,9 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
             cuts = np.searchsorted(doc, np.arange(b.num_rows + 1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bucket[i:j].astype("<u4").tobytes() for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["toxic", "buckets"])
 
-    found = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id").select("toxic", "text").mapInArrow(run, "toxic int, buckets binary").toLocalIterator()
+    found = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id").select("toxic", "text").mapInArrow(run, "toxic int, buckets binary")
+    # Written in parallel, then fetched file by file: at most 2 * sample rows, a few at a time in the JVM.
+    found = scratch.table(found, "sample").toLocalIterator()
     toxic, parts = [], []
     for r in found:
         toxic.append(r.toxic)
