@@ -22,6 +22,28 @@ JOINT_ANGLES: dict[str, tuple[list[str], float, float]] = {
     "left shoulder": (["LElbow", "LShoulder", "Hip", "Neck"], 0, -1),
     "right elbow": (["RWrist", "RElbow", "RShoulder"], 180, -1),
     "left elbow": (["LWrist", "LElbow", "LShoulder"], 180, -1),
+    "right wrist": (["RElbow", "RWrist", "RIndex"], -180, 1),
+    "left wrist": (["LElbow", "LIndex", "LWrist"], -180, 1),
+}
+
+# The two markers of each segment whose slope in the image is its angle; all are mirrored.
+SEGMENT_ANGLES: dict[str, tuple[str, str]] = {
+    "right foot": ("RBigToe", "RHeel"),
+    "left foot": ("LBigToe", "LHeel"),
+    "right shank": ("RAnkle", "RKnee"),
+    "left shank": ("LAnkle", "LKnee"),
+    "right thigh": ("RKnee", "RHip"),
+    "left thigh": ("LKnee", "LHip"),
+    "pelvis": ("LHip", "RHip"),
+    "trunk": ("Neck", "Hip"),
+    "shoulders": ("LShoulder", "RShoulder"),
+    "head": ("Head", "Neck"),
+    "right arm": ("RElbow", "RShoulder"),
+    "left arm": ("LElbow", "LShoulder"),
+    "right forearm": ("RWrist", "RElbow"),
+    "left forearm": ("LWrist", "LElbow"),
+    "right hand": ("RIndex", "RWrist"),
+    "left hand": ("LIndex", "LWrist"),
 }
 
 
@@ -52,6 +74,15 @@ def joint_angles(markers: DataFrame, keys: list[str], angles: dict[str, tuple[li
     return wide.select(*keys, F.explode(F.array(*cells)).alias("c")).select(*keys, "c.angle", "c.degrees").filter("degrees is not null")
 
 
+def segment_angles(markers: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, angle, degrees of each segment's slope in the x-y plane; pelvis and shoulders are undirected."""
+    names = sorted({m for pair in SEGMENT_ANGLES.values() for m in pair})
+    wide = _positions(markers, keys, names)
+    point = lambda n: [F.col(f"m{names.index(n)}.{c}") for c in "xy"]
+    cells = [F.struct(F.lit(s).alias("angle"), g.wrapped(g.angle_2d([point(a), point(b)]), 0, -1, s in ("pelvis", "shoulders")).alias("degrees")) for s, (a, b) in SEGMENT_ANGLES.items()]
+    return wide.select(*keys, F.explode(F.array(*cells)).alias("c")).select(*keys, "c.angle", "c.degrees").filter("degrees is not null")
+
+
 def mean_flexion(markers: DataFrame, keys: list[str]) -> DataFrame:
     """keys, flexion: mean absolute knee and hip angle; NULL if one of the four is missing."""
     wanted = {a: JOINT_ANGLES[a] for a in ("right knee", "left knee", "right hip", "left hip")}
