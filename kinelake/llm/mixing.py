@@ -127,7 +127,9 @@ def drawn_blocks(sources: DataFrame, scratch: Scratch, block: int = BLOCK, slots
     missing = balance.filter("short > 0").select("key", "got", "short_base", F.explode(F.sequence(F.lit(0).cast("long"), F.col("short") - 1)).alias("i")).select("key", (F.col("got") + F.col("i")).alias("k"), (F.col("short_base") + F.col("i")).alias("number"))
     passed = spare.join(missing, "number").select("shard", "key", "k", F.lit(1).cast("long").alias("n"))
 
-    placed = held.unionByName(passed).select("shard", "key", F.explode(F.sequence(F.col("k"), F.col("k") + F.col("n") - 1)).alias("k"))
+    # Few short rows become many: deal them out first, in a number that is kept.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = held.unionByName(passed).repartition(parts, "shard", "key").select("shard", "key", F.explode(F.sequence(F.col("k"), F.col("k") + F.col("n") - 1)).alias("k"))
     placed = placed.join(quota.select("key", "blocks"), "key").withColumn("round", F.floor(F.col("k") / F.col("blocks")))
     placed = placed.select("shard", "key", permuted(F.pmod("k", "blocks"), F.col("blocks"), F.xxhash64("key", "round")).alias("block"))
     return placed.groupBy("key", "block").agg(F.count("*").alias("times"), F.min("shard").alias("first_shard"))
