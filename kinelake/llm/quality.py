@@ -164,3 +164,35 @@ def keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col
     """The rows of ``df`` whose document is kept; rows that share an id stay if one of them is kept."""
     kept = judge(df, id_col, text_col, host_col, **options).filter("kept").select(F.col(id_col).alias("_kept_id")).distinct()
     return df.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+
+
+#: The query in SQL, for ids that name one row each.
+JUDGE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') AS t FROM documents
+), w AS (SELECT doc_id, host, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d
+), u AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w
+), tri AS (SELECT doc_id, i, word || ' ' || lead(word) OVER o || ' ' || lead(word, 2) OVER o AS k FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), again AS (SELECT doc_id, i FROM tri WHERE k IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1
+), cover AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM again) GROUP BY doc_id
+), raw AS (SELECT doc_id, host, unnest(string_split(t, chr(10))) AS line FROM d
+), worded AS (SELECT * FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM worded GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, host, h, sum(n) AS n FROM (
+    SELECT doc_id, host, translate(array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS h, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM worded)
+  GROUP BY doc_id, host, h
+), content AS (SELECT w.doc_id, w.host, md5(coalesce(string_agg(h || chr(31) || n, chr(30) ORDER BY h), '')) AS content FROM w LEFT JOIN lines USING (doc_id) GROUP BY w.doc_id, w.host
+), hosts AS (SELECT host, count(DISTINCT content) AS docs FROM content GROUP BY host
+), often AS (
+  SELECT l.host, l.h, min(l.doc_id) AS first_id FROM lines l JOIN content c USING (doc_id) JOIN hosts ON hosts.host = l.host
+  GROUP BY l.host, l.h, hosts.docs HAVING count(DISTINCT content) > greatest(20, hosts.docs * 0.01)
+), gone AS (SELECT l.doc_id, sum(l.n) AS n FROM lines l JOIN often o ON o.host = l.host AND o.h = l.h WHERE l.doc_id <> o.first_id GROUP BY l.doc_id
+), m AS (
+  SELECT w.doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(cover.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS n_removed_words
+  FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN cover USING (doc_id) LEFT JOIN gone USING (doc_id)
+), f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, CAST(n_removed_words AS BIGINT) AS n_removed_words, base_failed,
+  NOT base_failed AND n_words - n_removed_words >= 50 AND n_words - n_removed_words >= 0.3 * n_words AS kept FROM f
+"""

@@ -63,4 +63,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_ngram_join, op3_topk_search, op4_toxicity, op5_source_mix, op6_katz_score, op7_bitplane_ids, op8_concat_pack, op9_quality_rules, op10_secret_scan)}
-ORACLE_SQL = {"op3_topk_search": topk_search.SEARCH_SQL}
+ORACLE_SQL = {
+    "op2_ngram_join": ngram_join.CLASSES_SQL,
+    "op3_topk_search": topk_search.SEARCH_SQL,
+    "op9_quality_rules": quality.JUDGE_SQL,
+}
