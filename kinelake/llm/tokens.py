@@ -20,9 +20,9 @@ _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u30
 _L = "a-zA-ZÀ-ÖØ-öø-ÿ"
 _CHUNK = re.compile(f" ?[{_L}]+(?=[,.]?(?:[{_WS}]|$))|(?<=[{_L}])[,.](?=[{_WS}]|$)| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 #: Distinct chunks kept by a worker; longer chunks are not kept.
-CACHE, CACHED_CHARS = 500_000, 64
+CACHE, CACHED_CHARS = 800_000, 64
 #: Chunks encoded in one call, a line each: a line feed is a pre-token of its own.
-LINES = 64
+LINES = 32
 END_ID = 0
 
 
@@ -79,7 +79,7 @@ def worker_encoder(path: str) -> ChunkEncoder:
     return _encoders[path]
 
 
-def text_groups(texts: list[str | None], size: int = 1 << 20) -> list[list[str]]:
+def text_groups(texts: list[str | None], size: int = 4 << 20) -> list[list[str]]:
     """The texts (null: empty) in order, in groups of about ``size`` characters."""
     groups, have = [], size + 1
     for t in texts:
