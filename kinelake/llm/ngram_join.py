@@ -310,8 +310,11 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n:
     linked = linked.union(spread.groupBy("token", "i", "j").applyInArrow(in_block, "a bigint, b bigint"))
 
     names = connected_components(linked, scratch)
-    smallest = names.join(reps.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("component"))
-    named = reps.join(names, "node", "left").join(smallest, "root", "left").select("key", F.coalesce("component", "rep").alias("component"))
+    smallest = scratch.table(names.join(reps.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("component")), "smallest")
+    # Linked nodes only, so that no NULL root gathers the rest; a merge join of two
+    # tables lets Spark split a large class.
+    of_node = names.join(smallest.hint("merge"), "root").select("node", "component")
+    named = reps.join(of_node, "node", "left").select("key", F.coalesce("component", "rep").alias("component"))
     arrow_limits(spark)
     return first.filter("kind = 0").join(named, "key", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
@@ -321,3 +324,20 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     found = classes(df, id_col, text_col, **options)
     gone = found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
     return df.join(gone, id_col, "left_anti").select(*df.columns)
+
+
+#: The query in SQL: all pairs that share a shingle, then reachability.
+CLASSES_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, shingle FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM d)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * k >= 85 * (x.n + y.n - k)
+), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r AS (SELECT doc_id AS node, doc_id AS reach FROM d UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reach
+), c AS (SELECT node, min(reach) AS component_id FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM d LEFT JOIN n USING (doc_id) JOIN c ON c.node = d.doc_id
+"""
