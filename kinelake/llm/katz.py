@@ -46,7 +46,7 @@ from kinelake.llm.storage import Scratch, arrow_limits
 from kinelake.llm.text import as_bytes, hash_words, mix
 
 K = 5
-BATCH_TOKENS = 1_500_000
+BATCH_TOKENS = 1_000_000
 BUCKET_TOKENS = 1_000_000
 #: Largest number of histories that are split over buckets.
 MOST_SPLIT = 1_000_000

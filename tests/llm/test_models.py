@@ -126,7 +126,7 @@ def plain_katz(rows, held):
     return out
 
 
-@pytest.mark.parametrize("size", [1_500_000, 200])
+@pytest.mark.parametrize("size", [1_000_000, 200])
 def test_katz_against_plain_model(spark, monkeypatch, size):
     monkeypatch.setattr(katz, "BATCH_TOKENS", size)
     rows = [r for r in texts() if r[0] != 60]
