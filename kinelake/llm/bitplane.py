@@ -33,8 +33,8 @@ from kinelake.llm.tokens import encode_documents, worker_encoder
 
 MAGIC = b"KLPLANE1"
 BLOCK = 1 << 16
-SHARD_BYTES = 64 << 20
-LEVEL = 3
+SHARD_DOCS = 16_384
+LEVEL = 1
 
 
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
@@ -113,19 +113,18 @@ def put_file(folder: str, name: str, data: bytes) -> None:
     system.move(part, f"{path}/{name}")
 
 
-def write_ids(df: DataFrame, folder: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", *, kind: str = "byte", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def write_ids(df: DataFrame, folder: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", *, kind: str = "byte", shard_docs: int = SHARD_DOCS) -> DataFrame:
     """Tokenise every text into plane files below ``folder``; returns (shard, n_docs, n_ids) rows, not yet run.
 
     Shards are ranges of ids that ascend with the shard number (null first), cut
-    at quantiles of the id; there is one for each ``shard_bytes`` of text and at
+    at quantiles of the id; there is one for each ``shard_docs`` documents and at
     least two for each shuffle partition.  Texts are shuffled once, by shard,
     and sorted within it by id, then text.
     """
     spark = df.sparkSession
     arrow_limits(spark)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(-(-size // shard_bytes), 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = max(-(-rows.count() // shard_docs), 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     known = rows.select("id").filter("id is not null")
     cuts = sorted(set(known.approxQuantile("id", [i / shards for i in range(1, shards)], 1 / (8 * shards)) if shards > 1 else []))
     cut_list = F.array(*[F.lit(int(c)) for c in cuts]) if cuts else F.array().cast("array<bigint>")

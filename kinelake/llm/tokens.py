@@ -41,32 +41,40 @@ class ChunkEncoder:
     def _alone(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _add(self, missing: set[str]) -> None:
+    def _encode(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of chunks, each by itself."""
         plain = [c for c in missing if not c.isspace()]
         lines = ["\n".join(plain[i : i + LINES]) + "\n" for i in range(0, len(plain), LINES)]
         ids = np.array([i for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids], dtype="<u4")
         ends = (4 * np.flatnonzero(ids == np.frombuffer(self.line_id, dtype="<u4")[0])).tolist()
-        raw, at = ids.tobytes(), 0
+        raw, at, out = ids.tobytes(), 0, {}
         for c, end in zip(plain, ends, strict=True):
-            self.cache[c] = raw[at:end]
+            out[c] = raw[at:end]
             at = end + 4
         for c in missing.difference(plain):
-            self.cache[c] = self._alone(c)
+            out[c] = self._alone(c)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, without an end id."""
-        chunks = [_CHUNK.findall(t) for t in texts]
-        used = set().union(*chunks)
-        missing = used.difference(self.cache)
-        if len(self.cache) + len(missing) > CACHE:
+        get, found, open_, missing = self.cache.get, [], [], set()
+        for t in texts:
+            chunks = _CHUNK.findall(t)
+            ids = list(map(get, chunks))
+            found.append(ids)
+            if None in ids:
+                at = [i for i, v in enumerate(ids) if v is None]
+                names = [chunks[i] for i in at]
+                open_.append((ids, at, names))
+                missing.update(names)
+        new = self._encode(missing)
+        for ids, at, names in open_:
+            for i, c in zip(at, names, strict=True):
+                ids[i] = new[c]
+        if len(self.cache) + len(new) > CACHE:
             self.cache.clear()
-            missing = used
-        self._add(missing)
-        out = [b"".join(map(self.cache.__getitem__, x)) for x in chunks]
-        for c in missing:
-            if len(c) > CACHED_CHARS:
-                del self.cache[c]
-        return out
+        self.cache.update((c, v) for c, v in new.items() if len(c) <= CACHED_CHARS)
+        return [b"".join(ids) for ids in found]
 
 
 _encoders: dict[str, ChunkEncoder] = {}
