@@ -38,7 +38,7 @@ SAMPLE = 3000
 SMOOTHING = 1.0
 RIDGE = 1.0
 #: Support (in standard deviations of the difference of shares) below which a bucket is dropped.
-SUPPORT = 4.0
+SUPPORT = 5.0
 THRESHOLD = 0.3
 _U = np.uint64
 
