@@ -1,6 +1,6 @@
 """A training-data pipeline over ``documents``: five stages, each one operator.
 
-Quality rules drop documents, the n-gram Jaccard join keeps one document of each
+Quality rules drop documents and frequent lines, the n-gram Jaccard join keeps one document of each
 class, secret scans mask what they find, mixing brings the sources to their
 target weights, and packing cuts the tokens into fixed windows.
 
@@ -29,8 +29,8 @@ def _scratch(spark: SparkSession) -> Scratch:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality rules keep."""
-    return quality.keep(docs, scratch=_scratch(spark))
+    """The documents that the quality rules keep, without their frequent lines."""
+    return quality.texts(docs, scratch=_scratch(spark)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

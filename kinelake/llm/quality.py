@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinelake.llm.storage import Scratch, arrow_limits
@@ -87,6 +87,17 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
     return out
 
 
+def line_hash(parts: list[bytes]) -> int:
+    """Hash of a normalised line, given its words."""
+    return xxhash.xxh3_64_intdigest(b" ".join(parts).lower()) - (1 << 63)
+
+
+def without_lines(text: str, gone: set[int]) -> str:
+    """A text without the lines of these hashes; lines without a word stay."""
+    lines = text.encode().split(b"\n")
+    return b"\n".join(x for x in lines if not (parts := x.split()) or line_hash(parts) not in gone).decode()
+
+
 def lines_of(text: bytes) -> tuple[int, dict[int, int]]:
     """Repeated lines of a text; words by hash of its normalised lines."""
     seen, repeats, words = set(), 0, {}
@@ -97,13 +108,13 @@ def lines_of(text: bytes) -> tuple[int, dict[int, int]]:
         if line in seen:
             repeats += 1
         seen.add(line)
-        h = xxhash.xxh3_64_intdigest(b" ".join(parts).lower()) - (1 << 63)
+        h = line_hash(parts)
         words[h] = words.get(h, 0) + len(parts)
     return repeats, words
 
 
-def measure_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """``id``, ``host``, the measures, ``content`` (a hash of the lines) and ``lines`` (hash, words) of every row."""
+def measure_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """``id``, ``host``, ``uid`` (``row_col``, or a new row number), the measures, ``content`` (a hash of the lines) and ``lines`` (hash, words) of every row."""
     arrow_limits(df.sparkSession)
     line = pa.struct([("h", pa.int64()), ("w", pa.int64())])
 
@@ -115,14 +126,36 @@ def measure_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             m["n_dup_lines"] = np.array([n for n, _ in found], dtype=np.int64)
             content = [xxhash.xxh3_64_intdigest(np.array(sorted(w.items()), dtype=np.int64).tobytes()) - (1 << 63) for _, w in found]
             rows = [[{"h": h, "w": n} for h, n in w.items()] for _, w in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(m[k]) for k in MEASURES), pa.array(content, pa.int64()), pa.array(rows, pa.list_(line))], names=["id", "host", *MEASURES, "content", "lines"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), *(pa.array(m[k]) for k in MEASURES), pa.array(content, pa.int64()), pa.array(rows, pa.list_(line))], names=["id", "host", "uid", *MEASURES, "content", "lines"])
 
     kinds = [df.schema[c].dataType.simpleString() for c in (id_col, host_col)]
-    return df.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"id {kinds[0]}, host {kinds[1]}, {', '.join(f'{k} bigint' for k in MEASURES)}, content bigint, lines array<struct<h:bigint,w:bigint>>"
+    uid = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    return df.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"), uid.alias("uid")).mapInArrow(
+        run, f"id {kinds[0]}, host {kinds[1]}, uid bigint, {', '.join(f'{k} bigint' for k in MEASURES)}, content bigint, lines array<struct<h:bigint,w:bigint>>"
     )
 
 
+def frequent_lines(docs: DataFrame, max_docs: int, max_share: float, scratch: Scratch) -> DataFrame:
+    """The lines to remove from measured documents: ``uid``, ``h`` and ``w`` (words)."""
+    # The empty line stands for the host itself, so one count gives both lines and documents.
+    lines = docs.select("uid", "id", F.coalesce(F.hex(F.encode("host", "UTF-8")), F.lit("-")).alias("host"), "content", F.explode(F.concat(F.array(F.struct(F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("w"))), "lines")).alias("line")).select("uid", "id", "host", "content", "line.h", "line.w")
+    distinct = lines.groupBy("host", "h", "content").agg(F.min("id").alias("first_id"))
+    counted = distinct.groupBy("host", "h").agg(F.count("*").alias("n_docs"), F.min("first_id").alias("first_id")).filter((F.col("n_docs") > max_docs) | (F.col("h") == 0))
+    counted = scratch.table(counted, "frequent")
+    limits = counted.filter("h = 0").select("host", F.greatest(F.lit(float(max_docs)), F.col("n_docs") * max_share).alias("most"))
+    frequent = counted.filter("h <> 0").join(limits, "host").filter("n_docs > most").select("host", "h", "first_id")
+    return lines.filter("h <> 0").join(frequent, ["host", "h"]).filter(~F.col("id").eqNullSafe(F.col("first_id"))).select("uid", "h", "w")
+
+
+def _failed(min_words: int, max_repeat_percent: int) -> Column:
+    return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+
+
+def _kept(min_words: int, max_repeat_percent: int, min_remaining: float) -> Column:
+    left = F.col("n_words") - F.col("n_removed_words")
+    return ~_failed(min_words, max_repeat_percent) & (left >= min_words) & (left >= min_remaining * F.col("n_words"))
+
+
 def judge(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -138,25 +171,13 @@ def judge(
 ) -> DataFrame:
     """A verdict for every row: ``id_col``, the measures, n_removed_words, base_failed, kept."""
     scratch = scratch or Scratch(df.sparkSession)
-    docs = scratch.table(measure_documents(df, id_col, text_col, host_col).withColumn("uid", F.monotonically_increasing_id()), "measured")
-
-    # The empty line stands for the host itself, so one count gives both lines and documents.
-    lines = docs.select("uid", "id", F.coalesce(F.hex(F.encode("host", "UTF-8")), F.lit("-")).alias("host"), "content", F.explode(F.concat(F.array(F.struct(F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("w"))), "lines")).alias("line")).select("uid", "id", "host", "content", "line.h", "line.w")
-    distinct = lines.groupBy("host", "h", "content").agg(F.min("id").alias("first_id"))
-    counted = distinct.groupBy("host", "h").agg(F.count("*").alias("n_docs"), F.min("first_id").alias("first_id")).filter((F.col("n_docs") > max_docs) | (F.col("h") == 0))
-    counted = scratch.table(counted, "frequent")
-    limits = counted.filter("h = 0").select("host", F.greatest(F.lit(float(max_docs)), F.col("n_docs") * max_share).alias("most"))
-    frequent = counted.filter("h <> 0").join(limits, "host").filter("n_docs > most").select("host", "h", "first_id")
-    removed = lines.filter("h <> 0").join(frequent, ["host", "h"]).filter(~F.col("id").eqNullSafe(F.col("first_id"))).groupBy("uid").agg(F.sum("w").alias("n_removed_words"))
-
-    gone = F.coalesce(F.col("n_removed_words"), F.lit(0)).cast("long")
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    left = F.col("n_words") - F.col("n_removed_words")
+    docs = scratch.table(measure_documents(df, id_col, text_col, host_col), "measured")
+    removed = frequent_lines(docs, max_docs, max_share, scratch).groupBy("uid").agg(F.sum("w").alias("n_removed_words"))
     return (
         docs.drop("lines", "host", "content")
         .join(removed, "uid", "left")
-        .withColumn("n_removed_words", gone)
-        .select(F.col("id").alias(id_col), *MEASURES, "n_removed_words", failed.alias("base_failed"), (~failed & (left >= min_words) & (left >= min_remaining * F.col("n_words"))).alias("kept"))
+        .withColumn("n_removed_words", F.coalesce(F.col("n_removed_words"), F.lit(0)).cast("long"))
+        .select(F.col("id").alias(id_col), *MEASURES, "n_removed_words", _failed(min_words, max_repeat_percent).alias("base_failed"), _kept(min_words, max_repeat_percent, min_remaining).alias("kept"))
     )
 
 
@@ -166,6 +187,49 @@ def keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col
     return df.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
 
 
+def texts(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    host_col: str = "source",
+    *,
+    min_words: int = MIN_WORDS,
+    max_repeat_percent: int = MAX_REPEAT_PERCENT,
+    max_docs: int = MAX_DOCS,
+    max_share: float = MAX_SHARE,
+    min_remaining: float = MIN_REMAINING,
+    scratch: Scratch | None = None,
+) -> DataFrame:
+    """The kept rows of ``df``, their texts without the frequent lines; each row is decided by itself.
+
+    Other columns stay as they are.  The rows are written once with a row number
+    and joined on it, so null and shared ids lose or multiply nothing.
+    """
+    scratch = scratch or Scratch(df.sparkSession)
+    rows = scratch.table(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    docs = scratch.table(measure_documents(rows, id_col, text_col, host_col, "_row"), "measured")
+    removed = frequent_lines(docs, max_docs, max_share, scratch).groupBy("uid").agg(F.sum("w").alias("n_removed_words"), F.collect_list("h").alias("_gone"))
+    kept = (
+        docs.select("uid", "n_words", "n_repeat_words")
+        .join(removed, "uid", "left")
+        .withColumn("n_removed_words", F.coalesce(F.col("n_removed_words"), F.lit(0)))
+        .filter(_kept(min_words, max_repeat_percent, min_remaining))
+        .select(F.col("uid").alias("_row"), "_gone")
+    )
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            gone = b.column(b.num_columns - 1).to_pylist()
+            b = b.select(list(range(b.num_columns - 1)))
+            if any(gone):
+                cut = [without_lines(t, set(g)) if g else t for t, g in zip(b.column(at).to_pylist(), gone, strict=True)]
+                b = b.set_column(at, b.schema.field(at), pa.array(cut, b.schema.field(at).type))
+            yield b
+
+    return rows.join(kept, "_row").select(*df.columns, "_gone").mapInArrow(run, df.schema)
+
+
 #: The query in SQL, for ids that name one row each.
 JUDGE_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') AS t FROM documents

@@ -133,6 +133,18 @@ def test_boilerplate_is_removed_but_in_the_first_document(spark):
     assert {r.doc_id for r in quality.keep(frame(spark, rows), max_docs=20).collect()} == {i for i, k in got.items() if k}
 
 
+def test_texts_lose_their_frequent_lines(spark):
+    own = [f"{' '.join(f'o{i}w{j}' for j in range(60))}" for i in range(40)]
+    rows = [(i, f"{own[i]}\n\nShared  LINE of text\nlast {i}", "a") for i in range(30)] + [(None, f"shared line of text\n{own[30]}", "a"), (31, f"{own[31]}\nshared line of text", "b")]
+    rows += [(5, f"{own[32]}\nshared line of text", "a"), (7, None, "a"), (8, "shared line of text", "a")]
+    got = sorted((r.text for r in quality.texts(frame(spark, rows), max_docs=20).collect()))
+    want = [rows[0][1], *(f"{own[i]}\n\nlast {i}" for i in range(1, 30)), own[30], rows[31][1], own[32]]
+    assert got == sorted(want)
+    out = quality.texts(frame(spark, rows), max_docs=20)
+    assert out.columns == frame(spark, rows).columns
+    assert quality.texts(frame(spark, rows).limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("run", [lambda d: license_scan.digest(license_scan.scan_licenses(d)), lambda d: secret_scan.digest(secret_scan.scan_secrets(d)), quality.judge])
 def test_empty_table(spark, run):
     assert run(frame(spark, texts()).limit(0)).count() == 0
