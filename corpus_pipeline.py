@@ -29,8 +29,11 @@ def _scratch(spark: SparkSession) -> Scratch:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality rules keep, without their frequent lines."""
-    return quality.texts(docs, scratch=_scratch(spark)).withColumn("n_chars", F.length("text").cast("long"))
+    """The documents that the quality rules keep, without their frequent lines.
+
+    The limit of a line is the same number of documents on a host of any size.
+    """
+    return quality.texts(docs, max_share=0.0, scratch=_scratch(spark)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

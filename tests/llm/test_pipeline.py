@@ -33,3 +33,15 @@ def test_run_over_a_folder(spark, tmp_path):
     docs = frame(spark, [(i, words(rng, 100, 3000), "ab"[i % 2]) for i in range(20)]).select("doc_id", "text", "lang", "source", "n_chars")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 20
+
+
+def test_frequent_lines_go_on_hosts_of_any_size(spark):
+    def own(i):
+        return " ".join(f"o{i}w{j}" for j in range(55))
+
+    for size in (30, 2200):  # a hundredth of the larger host is more than the 21 documents
+        rows = [(i, own(i) + ("\nboilerplate of the host" if i < 21 else ""), "a") for i in range(size)]
+        out = {r.doc_id: r for r in corpus_pipeline.quality_rules(spark, frame(spark, rows).select("doc_id", "text", "lang", "source", "n_chars"), "").collect()}
+        assert len(out) == size
+        assert [i for i, r in out.items() if "boilerplate" in r.text] == [0]
+        assert all(r.n_chars == len(r.text) for r in out.values())
