@@ -5,7 +5,10 @@ they are.  Beyond them, multipart credentials are linked: access identifiers,
 secret values and endpoints are weak candidates, joined as intervals; a weak
 candidate is reported (kinds ``access_part``, ``secret_part``,
 ``endpoint_part``) only where a part of another role stands within ``scope``
-characters of it in the same text, and one of the two is a secret value.
+characters of it in the same text, and one of the two is a secret value.  A
+value inside an endpoint is a part of its own where it stands in the user part
+before ``@``, after ``=``, or is a run of mixed letters and digits; words of a
+path are not, nor is a string that reads both as an identifier and as a value.
 
 Spans are in code points, end exclusive.  Every text is scanned by itself in an
 Arrow batch, without a shuffle.  Null and empty texts give no span; repeated
@@ -37,10 +40,12 @@ STRONG = 3
 
 # Weak parts, by role.
 ACCESS_PART = re.compile(r"\b(?:AKIA|ASIA|AIDA|AROA)[A-Z0-9]{8,}|(?<![a-z0-9_])(?:access_?key(?:_?id)?|client_?id|account|user(?:name)?|login)\x20*[:=]\x20*[\"']?([A-Za-z0-9@._-]{4,})", re.IGNORECASE | re.ASCII)
-SECRET_PART = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_a-z-]*[A-Z])(?=[0-9+/_A-Z-]*[a-z])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])|(?<![A-Za-z0-9])[0-9a-f]{12,}(?![A-Za-z0-9])")
+SECRET_PART = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_a-z-]*[A-Z])(?=[0-9+/_A-Z-]*[a-z])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])|(?<![A-Za-z0-9])[0-9a-f]{12,}(?![A-Za-z0-9])")
 ENDPOINT_PART = re.compile(r"\b(?:https?|s3|postgres(?:ql)?|mysql|mongodb|redis|amqps?|ftp)://[^\s\"'<>]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:amazonaws\.com|windows\.net|googleapis\.com)\b", re.IGNORECASE | re.ASCII)
 _WEAK_HINT = re.compile(r"://|AKIA|ASIA|AIDA|AROA|access_?key|client_?id|account|user|login|amazonaws|windows\.net|googleapis", re.IGNORECASE | re.ASCII)
 SCOPE = 200
+_USER = re.compile(r"[a-z0-9]+://[^\s/?#@]*@", re.IGNORECASE | re.ASCII)
+_RUN = re.compile(r"(?<![A-Za-z0-9])(?=[A-Za-z]*[0-9])(?=[0-9a-z]*[A-Z])(?=[0-9A-Z]*[a-z])[A-Za-z0-9]{20,}")
 
 
 def strong_spans(text: str) -> list[tuple[int, int, int]]:
@@ -76,6 +81,21 @@ def near(spans: list[tuple[int, int]], others: list[tuple[int, int]], scope: int
     return found
 
 
+def inside(text: str, values: list[tuple[int, int]], ends: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlap join: the pairs (value, endpoint) where the endpoint holds the value as a part of its own."""
+    out, j = [], 0
+    for i, (s, e) in enumerate(values):
+        while j < len(ends) and ends[j][1] <= s:
+            j += 1
+        k = j
+        while k < len(ends) and ends[k][0] < e:
+            user = _USER.match(text, *ends[k])
+            if (user and s < user.end()) or text[s - 1 : s] == "=" or _RUN.search(text, s, e):
+                out.append((i, k))
+            k += 1
+    return out
+
+
 def linked_spans(text: str, scope: int = SCOPE) -> list[tuple[int, int, int]]:
     """Weak parts that a complementary part within the scope confirms."""
     if not _WEAK_HINT.search(text):
@@ -84,9 +104,10 @@ def linked_spans(text: str, scope: int = SCOPE) -> list[tuple[int, int, int]]:
     ids, values, ends = parts
     if not values or not (ids or ends):
         return []
+    held = inside(text, values, ends)
     out = [(*ids[i], 3) for i in near(ids, values, scope)]
-    out += [(*values[i], 4) for i in near(values, ids, scope) | near(values, ends, scope)]
-    out += [(*ends[i], 5) for i in near(ends, values, scope)]
+    out += [(*values[i], 4) for i in near(values, ids, scope) | near(values, ends, scope) | {i for i, _ in held}]
+    out += [(*ends[i], 5) for i in near(ends, values, scope) | {k for _, k in held}]
     return out
 
 
