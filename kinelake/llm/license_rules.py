@@ -2,8 +2,8 @@
 
 Columns: priority (1 strongest), label, keyword, pattern.  Patterns are matched
 against the text's words: lower case, runs of ASCII punctuation and white space
-as one space.  ``$V`` is an optional "version", ``$ANY`` up to six words.  The
-keyword is a literal that any match contains; rules whose keyword does not occur
+as one space.  ``$V`` is an optional "version", ``$GAP`` up to 12 words, ``$ANY`` up
+to 30, ``$BSD`` up to 120 without an advertising clause.  The keyword is a literal that any match contains; rules whose keyword does not occur
 in a text are not tried.
 """
 
@@ -37,7 +37,7 @@ RULES = r"""
 2 apache-1|apache|apache (?:software )?license $V1 0
 4 apache|apache license|apache license
 4 apache|apache licensed|apache licensed
-1 bsd-3|redistributions of source code|redistribution and use in source and binary forms with or without modification are permitted $ANYneither the name
+1 bsd-3|redistribution and use in source|redistribution and use in source and binary forms with or without modification are permitted $BSDneither the name
 1 bsd-3|neither the name|neither the name of $ANYnor the names of its contributors may be used to endorse or promote products
 2 bsd|redistribution and use in source|redistribution and use in source and binary forms with or without modification are permitted
 2 bsd-3|spdx|spdx license identifier bsd 3 clause
@@ -57,17 +57,17 @@ RULES = r"""
 3 bsd-2|freebsd license|freebsd license
 3 0bsd|zero clause bsd|zero clause bsd(?: license)?
 3 0bsd|0bsd|0bsd
-3 bsd|under the bsd|under (?:the |a )?bsd license
+3 bsd|bsd license|under (?:the |a )?bsd license
 4 bsd|bsd license|bsd license
 4 bsd|bsd licensed|bsd licensed
 4 bsd|bsd style|bsd style license
-1 gpl-3|gnu general public license|free software you can redistribute it and or modify it under the terms of the gnu general public license $ANYversion 3
-1 gpl-2|gnu general public license|free software you can redistribute it and or modify it under the terms of the gnu general public license $ANYversion 2
+1 gpl-3|gnu general public license|free software you can redistribute it and or modify it under the terms of the gnu general public license $GAPversion 3
+1 gpl-2|gnu general public license|free software you can redistribute it and or modify it under the terms of the gnu general public license $GAPversion 2
 1 gpl-3|29 june 2007|gnu general public license version 3 29 june 2007
 1 gpl-2|june 1991|gnu general public license version 2 june 1991
 2 gpl|gnu general public license|under the terms of (?:the )?gnu general public license
-2 gpl-3|gnu general public license|gnu general public license (?:as published by the free software foundation )?$V3(?: 0)?
-2 gpl-2|gnu general public license|gnu general public license (?:as published by the free software foundation )?$V2(?: 0)?
+2 gpl-3|gnu general public license|gnu general public license (?:as published by the free software foundation (?:inc )?)?(?:either )?$V3(?: 0)?
+2 gpl-2|gnu general public license|gnu general public license (?:as published by the free software foundation (?:inc )?)?(?:either )?$V2(?: 0)?
 2 gpl-3|spdx|spdx license identifier gpl 3 0(?: only| or later)?
 2 gpl-2|spdx|spdx license identifier gpl 2 0(?: only| or later)?
 3 gpl-3|gplv3|gplv3(?: or later)?
@@ -83,8 +83,8 @@ RULES = r"""
 1 lgpl-3|29 june 2007|gnu lesser general public license version 3 29 june 2007
 2 lgpl|gnu lesser general public license|under the terms of (?:the )?gnu lesser general public license
 2 lgpl|gnu library general public license|gnu library general public license
-2 lgpl-3|gnu lesser general public license|gnu lesser general public license (?:as published by the free software foundation )?$V3(?: 0)?
-2 lgpl-2.1|gnu lesser general public license|gnu lesser general public license (?:as published by the free software foundation )?$V2 1
+2 lgpl-3|gnu lesser general public license|gnu lesser general public license (?:as published by the free software foundation (?:inc )?)?(?:either )?$V3(?: 0)?
+2 lgpl-2.1|gnu lesser general public license|gnu lesser general public license (?:as published by the free software foundation (?:inc )?)?(?:either )?$V2 1
 2 lgpl-3|spdx|spdx license identifier lgpl 3 0(?: only| or later)?
 2 lgpl-2.1|spdx|spdx license identifier lgpl 2 1(?: only| or later)?
 3 lgpl-3|lgplv3|lgplv3(?: or later)?
@@ -95,7 +95,7 @@ RULES = r"""
 4 lgpl|gnu lgpl|gnu lgpl
 4 lgpl|lgpl license|lgpl license
 1 agpl-3|19 november 2007|gnu affero general public license version 3 19 november 2007
-2 agpl-3|gnu affero general public license|gnu affero general public license (?:as published by the free software foundation )?$V3(?: 0)?
+2 agpl-3|gnu affero general public license|gnu affero general public license (?:as published by the free software foundation (?:inc )?)?(?:either )?$V3(?: 0)?
 2 agpl|gnu affero general public license|gnu affero general public license
 2 agpl-3|spdx|spdx license identifier agpl 3 0(?: only| or later)?
 3 agpl-3|agplv3|agplv3(?: or later)?
@@ -134,7 +134,7 @@ RULES = r"""
 3 unlicense|the unlicense|the unlicense
 4 unlicense|unlicense org|unlicense org
 1 zlib|altered source versions|altered source versions must be plainly marked as such
-3 zlib|zlib license|zlib(?: libpng)? license
+3 zlib|zlib|zlib(?: libpng)? license
 3 libpng|libpng license|libpng license
 1 bsl-1|boost software license|boost software license version 1 0 august 17th 2003
 2 bsl-1|boost software license|distributed under the boost software license
@@ -158,8 +158,8 @@ RULES = r"""
 3 ms-pl|microsoft public license|microsoft public license
 3 ms-rl|microsoft reciprocal license|microsoft reciprocal license
 3 ncsa|ncsa open source license|(?:university of illinois )?ncsa open source license
-3 openssl|openssl license|openssl(?: ssleay)? license
-3 postgresql|postgresql license|postgresql licen[cs]e
+3 openssl|openssl|openssl(?: ssleay)? license
+3 postgresql|postgresql licen|postgresql licen[cs]e
 3 afl-3|academic free license|academic free license(?: (?:$V|v )?3(?: 0)?)?
 3 osl-3|open software license|open software license(?: (?:$V|v )?3(?: 0)?)?
 3 upl|universal permissive license|universal permissive license(?: (?:$V|v )?1(?: 0)?)?
@@ -174,7 +174,7 @@ RULES = r"""
 3 qpl|q public license|q public license
 3 sleepycat|sleepycat license|sleepycat license
 3 curl|curl license|curl license
-3 ftl|freetype license|freetype (?:project )?license
+3 ftl|freetype|freetype (?:project )?license
 3 ijg|independent jpeg group|this software is based in part on the work of the independent jpeg group
 3 naist|naist license|naist license
 3 intel|intel open source license|intel open source license
@@ -207,7 +207,7 @@ RULES = r"""
 3 cc-by-nd|licenses by nd|creativecommons org licenses by nd(?: [1-4] [05])?
 3 cc-by-sa|licenses by sa|creativecommons org licenses by sa(?: [1-4] [05])?
 4 cc-by|licenses by|creativecommons org licenses by(?: [1-4] [05])?
-4 cc|creative commons license|creative commons licen[cs]e
+4 cc|creative commons licen|creative commons licen[cs]e
 4 cc|some rights reserved|some rights reserved
 3 odbl|open database license|open database license(?: odbl)?(?: (?:v )?1 0)?
 3 odc-by|open data commons attribution|open data commons attribution(?: license)?(?: (?:v )?1 0)?
@@ -215,9 +215,9 @@ RULES = r"""
 3 cdla|community data license agreement|community data license agreement(?: permissive| sharing)?(?: 1 0| 2 0)?
 3 ogl|open government licence|open government licence(?: v ?[123](?: 0)?)?
 3 dbcl|database contents license|database contents license
-3 openrail|openrail|(?:bigscience |creativeml )?open ?rail(?: m)?(?: license)?
+3 openrail|rail|(?:bigscience |creativeml )?open ?rail(?: m)?(?: license)?
 3 bigscience|bigscience rail|bigscience rail license
-3 llama|llama community license|llama(?: [23])?(?: [0-9])? community license(?: agreement)?
+3 llama|community license|llama(?: [23])?(?: [0-9])? community license(?: agreement)?
 3 elastic-2|elastic license|elastic license(?: (?:v )?2(?: 0)?)?
 3 sspl|server side public license|server side public license(?: $V1)?
 3 busl|business source license|business source license(?: 1 1)?
@@ -226,7 +226,7 @@ RULES = r"""
 3 public-domain|dedicated to the public domain|(?:has been )?dedicated to the public domain
 3 public-domain|placed in the public domain|(?:has been |is hereby )?placed in the public domain
 4 public-domain|in the public domain|(?:is|are) in the public domain
-2 proprietary|all rights reserved|unauthorized (?:copying|reproduction|distribution) $ANYstrictly prohibited
+2 proprietary|strictly prohibited|unauthorized (?:copying|reproduction|distribution) $ANYstrictly prohibited
 3 proprietary|proprietary and confidential|proprietary and confidential
 3 proprietary|may not be reproduced|may not be reproduced $ANYwithout (?:the )?(?:prior )?written permission
 3 proprietary|end user license agreement|end user license agreement
@@ -234,13 +234,13 @@ RULES = r"""
 4 copyright|copyright c|copyright c (?:19|20)[0-9][0-9]
 4 free|free for personal use|free for personal use(?: only)?
 4 free|for non commercial use|for non commercial use only
-4 open-source|open source license|(?:an )?open source licen[cs]e
+4 open-source|open source licen|(?:an )?open source licen[cs]e
 5 unknown|licensed under|licensed under (?:the |a )?[^ ]+(?: [^ ]+)? licen[cs]e
 5 unknown|released under|released under (?:the |a )?[^ ]+(?: [^ ]+)? licen[cs]e
 5 unknown|distributed under|distributed under (?:the |a )?[^ ]+(?: [^ ]+)? licen[cs]e
 5 unknown|available under|available under (?:the |a )?[^ ]+(?: [^ ]+)? licen[cs]e
-5 unknown|see license|see (?:the )?license(?: file)? for (?:details|more information)
+5 unknown|license|see (?:the )?license(?: file)? for (?:details|more information)
 5 unknown|license file|see the license file
 """
 
-MACROS = {"$V": "(?:version )?", "$ANY": "(?:[^ ]+ ){0,6}?"}
+MACROS = {"$V": "(?:version )?", "$ANY": "(?:[^ ]+ ){0,30}?", "$GAP": "(?:[^ ]+ ){0,12}?", "$BSD": "(?:(?!all advertising materials)[^ ]+ ){0,120}?"}

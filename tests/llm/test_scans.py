@@ -44,6 +44,58 @@ def test_license_rules_hold_together():
         assert re.sub(rb"\(\?:version \)\?|\(\?:|\)\??|\|", b"", r.pattern.pattern)
 
 
+def literals(tree):
+    """Runs of characters that every match of a parsed pattern holds."""
+    out = [""]
+    for op, arg in tree:
+        if str(op) == "LITERAL":
+            out[-1] += chr(arg)
+        elif str(op) == "SUBPATTERN":
+            first, *rest = literals(arg[3])
+            out[-1] += first
+            out += rest
+        elif str(op) not in ("ASSERT", "ASSERT_NOT"):
+            out.append("")
+    return out
+
+
+def test_license_keywords_are_in_every_match():
+    bad = [r.keyword for r in license_scan.default_rules() if not any(r.keyword.decode() in x for x in literals(re._parser.parse(r.pattern.pattern)))]
+    assert bad == []
+
+
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. %sNeither the name of %s may be used to endorse or promote products"
+GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU %s as published by the Free Software Foundation, either version %s of the License, or (at your option) any later version."
+NOTICES = [
+    ("Llama 2 Community License Agreement", "llama"),
+    ("See the LICENSE for details.", "unknown"),
+    ("Unauthorized copying of this file, via any medium is strictly prohibited", "proprietary"),
+    ("CreativeML Open RAIL-M", "openrail"),
+    ("OpenSSL SSLeay License", "openssl"),
+    ("under a BSD license", "bsd"),
+    ("zlib/libpng license", "zlib"),
+    ("PostgreSQL Licence", "postgresql"),
+    ("The FreeType Project LICENSE", "ftl"),
+    ("Creative Commons Licence", "cc"),
+    ("an open source licence", "open-source"),
+    ("may not be reproduced, stored in a retrieval system, or transmitted in any form or by any means, electronic, mechanical, photocopying, recording or otherwise, without the prior written permission", "proprietary"),
+    (GNU % ("General Public License", "3"), "gpl-3"),
+    (GNU % ("General Public License", "2"), "gpl-2"),
+    (GNU % ("Lesser General Public License", "3"), "lgpl-3"),
+    (GNU % ("Lesser General Public License", "2.1"), "lgpl-2.1"),
+    (GNU % ("Affero General Public License", "3"), "agpl-3"),
+    (BSD % ("", "the author"), "bsd-3"),
+    (BSD % ("All advertising materials mentioning features or use of this software must display an acknowledgement. 4. ", "the author"), "bsd-4"),
+]
+
+
+@pytest.mark.parametrize(("text", "label"), NOTICES)
+def test_real_notices_are_named(text, label):
+    rules = license_scan.default_rules()
+    keywords = [(r.keyword, [i]) for i, r in enumerate(rules)]
+    assert label in {rules[i].label for _, _, i in license_scan.detect(text.encode(), rules, keywords)[1]}
+
+
 def test_weaker_detection_inside_is_suppressed():
     rules = license_scan.default_rules()
     groups = {}
