@@ -1,39 +1,44 @@
-"""Katz back-off bigram model: trained on some documents, scoring all of them.
+"""Katz back-off model of any order: trained on some documents, scoring all of them.
 
 Tokens of a text are its words (A-Z lower-cased, ``[^\\x20\\x09-\\x0D]+``) and one
-end token; the first token's history is a begin mark.  Counts up to ``K`` are
-discounted after Good and Turing, the others kept:
+end token; a begin mark stands before the first.  Counts up to ``K`` are
+discounted after Good and Turing, order by order, the others kept.  With h' for
+the history h without its first word,
 
-    p(w | v) = d(c(v, w)) c(v, w) / c(v)      where v w was seen
-             = alpha(v) p(w)                  where v was seen, v w was not
-             = p(w)                           where v was not
+    p(w | h) = d(c(h w)) c(h w) / c(h)     where h w was seen
+             = alpha(h) p(w | h')          where h was seen, h w was not
+             = p(w | h')                   where h was not
     p(w)     = d(c(w)) c(w) / N, and what discounting leaves for one unknown word
 
-alpha(v) is the mass left by the seen successors of v over one minus their p(w),
-both summed exactly, so each distribution over vocabulary and unknown word sums
-to one.  Where no successor of v can be discounted, c(v) + 1 replaces c(v) (and
-N + 1 replaces N).  Where counts of counts give no valid Good-Turing discount,
-half a count is taken off.
+and alpha(h) is the mass left by the seen successors of h over one minus their
+p(w | h'), both summed exactly, so each distribution over vocabulary and unknown
+word sums to one.  Where no successor of h can be discounted, c(h) + 1 replaces
+c(h) (and N + 1 replaces N).  Where counts of counts give no valid Good-Turing
+discount, half a count is taken off.
 
 Execution.  Documents are tokenised in batches of some million tokens; a batch
-keeps its distinct words and each token's place among them.  Words, then
-bigrams, are dealt into buckets as packed sorted arrays, one row for each batch
-and bucket; a bucket adds up the counts, keeps them as its part of the table,
-and answers each batch in the order of its request.  Histories with a large
-share of the tokens are split over buckets by the next word; their sums, a
-bounded number, are added up and broadcast.  A batch then has the counts that
-its tokens need and scores its documents.  Each phase's table is written to the
-shared folder; texts are read once and never shuffled.
-
+keeps its distinct words and each token's place among them.  Words, then n-grams
+of two words, then of three, are dealt into buckets by a hash of their history.
+A bucket adds up the counts, keeps them as its part of the order's table together
+with where each batch's n-grams stand in it, and, once the discounts of the order
+are known, answers each batch with counts and back-off weights.  A batch collects
+the answers of all orders and evaluates the recursion token by token.  What a task
+has for one bucket or batch travels as one row.  Histories with a large share of
+the tokens are split over buckets by the next word; their sums, a bounded number,
+are added up and broadcast.  Texts are read once and never shuffled; each phase is
+a table in the shared folder.
+
+N-grams are told apart by 64-bit hashes of word numbers.  Ids are cast to long.
 Null and empty texts are the end token alone; repeated rows count and score each
 for itself; a null training flag counts as training; without training tokens all
-of the mass is the unknown word's.  Other columns are not read.
+of the mass is the unknown word's; an empty table gives an empty result.  Other
+columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -42,42 +47,80 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinelake.llm.storage import Scratch, arrow_limits
+from kinelake.llm.storage import Scratch, bounded
 from kinelake.llm.text import as_bytes, hash_words, mix
 
+ORDER = 3
 K = 5
 BATCH_TOKENS = 1_000_000
 BUCKET_TOKENS = 1_000_000
-#: Largest number of histories that are split over buckets.
+#: Bytes of messages that a task gathers before it hands them on.
+GATHER = 32 << 20
+#: Largest number of histories of an order that are split over buckets.
 MOST_SPLIT = 1_000_000
 END = np.uint64(0x5EEDED0FD0C5)
-BEGIN = 0
 _U = np.uint64
-_ROW = "batch bigint, kind int, bucket int, p binary, q binary, r binary, s binary, stats array<bigint>"
-_NAMES = ["batch", "kind", "bucket", "p", "q", "r", "s", "stats"]
+_FACTOR = _U(0x9E3779B97F4A7C15)
+_ROW = "key bigint, kind int, ids array<bigint>, data array<binary>, stats array<bigint>"
+_RESULT = "id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
-def squeeze(a: np.ndarray, ascending: bool = False) -> bytes:
-    """An unsigned or float array as zstandard-compressed byte planes; ascending values as differences."""
-    if ascending and len(a):
-        a = np.diff(a, prepend=a.dtype.type(0))
+def squeeze(a: np.ndarray, near: bool = False) -> bytes:
+    """An unsigned or float array as zstandard-compressed byte planes; of ``near`` values the differences."""
+    if near and len(a):
+        d = np.diff(a, prepend=a.dtype.type(0)).view(np.int64)
+        a = ((d << 1) ^ (d >> 63)).view(_U)
     if a.dtype == _U and (not len(a) or a.max() < 1 << 32):
         a = a.astype(np.uint32)
     planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes()
     return bytes([a.dtype.itemsize]) + zstandard.ZstdCompressor(level=1).compress(planes)
 
 
-def unsqueeze(data: bytes, ascending: bool = False, dtype: type = np.uint64) -> np.ndarray:
+def unsqueeze(data: bytes, near: bool = False, dtype: type = np.uint64) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), dtype=np.uint8)
     raw = np.ascontiguousarray(planes.reshape(data[0], -1).T).reshape(-1)
     a = raw.view(np.float64) if dtype is np.float64 else raw.view(np.uint32 if data[0] == 4 else _U).astype(_U)
-    return np.cumsum(a, dtype=_U) if ascending else a
+    return np.cumsum((a >> _U(1)) ^ (_U(0) - (a & _U(1))), dtype=_U) if near else a
+
+
+def _bits(flags: np.ndarray) -> bytes:
+    return np.packbits(flags).tobytes()
+
+
+def _flags(data: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
 
 
 def _rows(rows: list[tuple]) -> pa.Table:
-    columns = list(zip(*rows, strict=True)) or [()] * 8
-    kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4, pa.list_(pa.int64())]
-    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=_NAMES)
+    columns = list(zip(*rows, strict=True)) or [()] * 5
+    kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64())]
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "kind", "ids", "data", "stats"])
+
+
+class _Post:
+    """Messages of a task, gathered by addressee."""
+
+    def __init__(self) -> None:
+        self.held: dict[int, tuple[list[int], list[bytes]]] = {}
+        self.size = 0
+
+    def add(self, to: int, sender: int, data: list[bytes]) -> None:
+        ids, parts = self.held.setdefault(to, ([], []))
+        ids.append(sender)
+        parts.extend(data)
+        self.size += sum(map(len, data))
+
+    def flush(self, least: int = 0) -> Iterator[pa.RecordBatch]:
+        if self.held and self.size >= least:
+            rows = [(to, 2, ids, parts, None) for to, (ids, parts) in sorted(self.held.items())]
+            self.held, self.size = {}, 0
+            yield from _rows(rows).to_batches(max_chunksize=256)
+
+
+def _messages(rows: list[dict], width: int) -> list[tuple[int, list[bytes]]]:
+    """(sender, data) of the messages in gathered rows, by sender."""
+    out = [(i, r["data"][k * width : (k + 1) * width]) for r in rows for k, i in enumerate(r["ids"])]
+    return sorted(out, key=lambda m: m[0])
 
 
 def discounts(counts_of_counts: np.ndarray) -> np.ndarray:
@@ -95,24 +138,26 @@ def discounts(counts_of_counts: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """Global numbers: training tokens, vocabulary and the discounts of both orders."""
+    """Global numbers: training tokens, vocabulary and the discounts of each order known so far."""
 
     tokens: int
     words: int
-    unigram: np.ndarray
-    bigram: np.ndarray
     discounted: bool
     known_mass: float
+    orders: list[np.ndarray] = field(default_factory=list)
+
+    def left(self, order: int, c: np.ndarray) -> np.ndarray:
+        """What discounting leaves of counts ``c`` of an order."""
+        return self.orders[order - 1][np.minimum(c, K + 1).astype(np.int64)] * c
 
     def word_probability(self, c: np.ndarray) -> np.ndarray:
         """p(w) of words with training counts ``c``; 0 is the unknown word."""
         total = self.tokens + (0 if self.discounted else 1)
-        seen = self.unigram[np.minimum(c, K + 1).astype(np.int64)] * c / total
-        return np.where(c > 0, seen, 1 - self.known_mass)
+        return np.where(c > 0, self.left(1, c) / total, 1 - self.known_mass)
 
 
 def _tokenise(df: DataFrame) -> DataFrame:
-    """kind 0 rows, a batch each: p documents (id flag, id, tokens, training), q places of the tokens, r distinct words, s their training counts; stats [tokens]."""
+    """A row for each batch: documents (id flags, ids, tokens, training), places of the tokens, distinct words, their training counts; stats [tokens]."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId() << 24, 0
@@ -120,20 +165,17 @@ def _tokenise(df: DataFrame) -> DataFrame:
 
         def flush() -> pa.Table:
             nonlocal number
-            ids, train, words, lengths = (np.concatenate(x) for x in zip(*[(h[0], h[1], h[2], h[3]) for h in held], strict=True))
-            flags = np.concatenate([h[4] for h in held])
+            ids, train, words, lengths, flags = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             distinct, place = np.unique(words, return_inverse=True)
-            weight = np.repeat(train, lengths)
-            counts = np.bincount(place[weight], minlength=len(distinct)).astype(_U)
+            counts = np.bincount(place[np.repeat(train, lengths)], minlength=len(distinct)).astype(_U)
             docs = flags.tobytes() + ids.tobytes() + lengths.tobytes() + train.tobytes()
             number += 1
-            return _rows([(part + number, 0, -1, docs, squeeze(place.astype(_U)), squeeze(distinct, True), squeeze(counts), [len(words)])])
+            return _rows([(part + number, 0, None, [docs, squeeze(place.astype(_U)), squeeze(distinct, True), squeeze(counts)], [len(words)])])
 
         for b in batches:
             words, counts = hash_words(as_bytes(b.column(1)), lower=True)
-            ends = np.cumsum(counts)
-            words = np.insert(words, ends, END)
+            words = np.insert(words, np.cumsum(counts), END)
             ids = b.column(0)
             held.append((np.array(ids.fill_null(0)), b.column(2).to_numpy(zero_copy_only=False).astype(bool), words, counts + 1, np.array(ids.is_valid().to_numpy(zero_copy_only=False))))
             if sum(len(h[2]) for h in held) >= BATCH_TOKENS:
@@ -144,262 +186,337 @@ def _tokenise(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, _ROW)
 
 
-def _documents(docs: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    n = len(docs) // 18
-    return np.frombuffer(docs[:n], bool), np.frombuffer(docs[n : 9 * n], np.int64), np.frombuffer(docs[9 * n : 17 * n], np.int64), np.frombuffer(docs[17 * n :], bool)
-
-
 def _ask_words(batches: DataFrame, buckets: int) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        post = _Post()
         for b in rows:
             for r in b.to_pylist():
-                words, counts = unsqueeze(r["r"], True), unsqueeze(r["s"])
-                bucket = ((words >> _U(32)) * _U(buckets)) >> _U(32)
-                cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-                out = [(r["batch"], 0, k, squeeze(words[i:j], True), squeeze(counts[i:j]), None, None, None) for k, (i, j) in enumerate(zip(cuts.tolist(), cuts[1:].tolist(), strict=False)) if j > i]
-                yield from _rows(out).to_batches()
+                words, counts = unsqueeze(r["data"][2], True), unsqueeze(r["data"][3])
+                cuts = np.searchsorted(_bucket(words, buckets), np.arange(buckets + 1)).tolist()
+                for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                    if j > i:
+                        post.add(k, r["key"], [squeeze(words[i:j], True), squeeze(counts[i:j])])
+                yield from post.flush(GATHER)
+        yield from post.flush()
 
     return batches.mapInArrow(run, _ROW)
 
 
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of hashes, ascending with them."""
+    return ((keys >> _U(32)) * _U(buckets)) >> _U(32)
+
+
 def _count_words(buckets: int):
     def count(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["batch"])
-        bucket = rows[0]["bucket"]
-        words = [unsqueeze(r["p"], True) for r in rows]
+        bucket = table.column("key")[0].as_py()
+        asked = _messages(table.to_pylist(), 2)
+        words = [unsqueeze(m[0], True) for _, m in asked]
         distinct, place = np.unique(np.concatenate(words), return_inverse=True)
-        total = np.bincount(place, weights=np.concatenate([unsqueeze(r["q"]) for r in rows]).astype(float), minlength=len(distinct)).astype(_U)
+        total = np.bincount(place, weights=np.concatenate([unsqueeze(m[1]) for _, m in asked]).astype(float), minlength=len(distinct)).astype(_U)
         rank = np.empty(len(distinct), dtype=_U)
         rank[np.argsort(-total.astype(np.int64), kind="stable")] = np.arange(len(distinct), dtype=_U)
-        number = rank * _U(buckets) + _U(bucket) + _U(1)  # frequent words get small numbers; 0 is the begin mark
+        number = rank * _U(buckets) + _U(bucket) + _U(1)  # frequent words get small numbers; 0 is the begin mark and any unknown word
         seen = total[total > 0]
-        stats = [int(seen.sum()), len(seen), *(int((seen == r).sum()) for r in range(1, K + 2)), int(np.minimum(seen, K + 1).size and (seen * (seen > K)).sum())]
-        out, at = [(-1, 1, bucket, squeeze(distinct, True), squeeze(total), squeeze(number), None, stats)], 0
-        for r, w in zip(rows, words, strict=True):
+        stats = [int(seen.sum()), len(seen), int(seen[seen > K].sum()), *(int((seen == r).sum()) for r in range(1, K + 2))]
+        out, at = [(bucket, 1, None, [squeeze(distinct, True), squeeze(total), squeeze(number)], stats)], 0
+        for (batch, _), w in zip(asked, words, strict=True):
             own = place[at : at + len(w)]
-            out.append((r["batch"], 2, bucket, squeeze(number[own]), squeeze(total[own]), None, None, None))
+            out.append((batch, 2, [bucket], [squeeze(number[own]), squeeze(total[own])], None))
             at += len(w)
         return _rows(out)
 
     return count
 
 
-def _assemble(table: pa.Table) -> pa.Table:
-    """A batch with its words' numbers (r) and training counts (s)."""
-    rows = sorted(table.to_pylist(), key=lambda r: (r["kind"], r["bucket"]))
-    own, answers = rows[0], rows[1:]
-    join = lambda c: np.concatenate([unsqueeze(a[c]) for a in answers])
-    return _rows([(own["batch"], 0, -1, own["p"], own["q"], squeeze(join("p")), squeeze(join("q")), None)])
-
-
-class _Bigrams:
-    """A batch's distinct known bigrams in the order of its requests, and where each token finds its own."""
-
-    def __init__(self, row: dict, buckets: int, split_from: int, training_only: bool) -> None:
-        place = unsqueeze(row["q"]).astype(np.int64)
-        number, count = unsqueeze(row["r"]), unsqueeze(row["s"])
-        self.valid, self.ids, self.lengths, train = _documents(row["p"])
-        first = np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int64)
-        n = len(number)
-        before = np.empty_like(place)
-        before[1:] = place[:-1]
-        before[first] = n
-        self.count = count[place]
-        number, count = np.append(number, _U(BEGIN)), np.append(count, _U(max(1, split_from)))
-        self.history_seen = count[before] > 0
-        use = self.history_seen & np.repeat(train, self.lengths) if training_only else self.history_seen
-        self.token = np.flatnonzero(use)
-        code, self.inverse, self.times = np.unique(before[self.token] * (n + 1) + place[self.token], return_inverse=True, return_counts=True)
-        p, w = code // (n + 1), code % (n + 1)
-        # All unknown words are one, numbered 0: the request brings alpha alone.
-        self.p, self.w, self.cw = number[p], np.where(count[w] > 0, number[w], _U(0)), count[w]
-        by_both = mix(self.p * _U(0x9E3779B97F4A7C15) + np.where(count[p] >= split_from, self.w, _U(0)))
-        self.bucket = (by_both % _U(buckets)).astype(np.int64)
-        self.order = np.lexsort((self.w, self.p, self.bucket))
-        self.cuts = np.searchsorted(self.bucket[self.order], np.arange(buckets + 1))
+def _with_words(table: pa.Table) -> pa.Table:
+    """A batch with its words' numbers and training counts in place of the words."""
+    rows = table.to_pylist()
+    own = next(r for r in rows if r["kind"] == 0)
+    answers = _messages([r for r in rows if r["kind"] == 2], 2)
+    join = lambda c: np.concatenate([unsqueeze(m[c]) for _, m in answers])
+    return _rows([(own["key"], 0, None, [*own["data"][:2], squeeze(join(0)), squeeze(join(1))], None)])
+
+
+class _Batch:
+    """A batch's tokens and what it knows of the n-grams that end at each."""
+
+    def __init__(self, row: dict) -> None:
+        docs, place, number, count, *levels = row["data"]
+        n = len(docs) // 18
+        self.valid, self.ids = np.frombuffer(docs[:n], bool), np.frombuffer(docs[n : 9 * n], np.int64)
+        self.lengths, train = np.frombuffer(docs[9 * n : 17 * n], np.int64), np.frombuffer(docs[17 * n :], bool)
+        self.train = np.repeat(train, self.lengths)
+        self.first = np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int64)
+        place, count = unsqueeze(place).astype(np.int64), unsqueeze(count)
+        self.number = np.where(count > 0, unsqueeze(number), _U(0))[place]
+        #: counts[k - 1]: training count of the k words that end at each token.
+        self.counts = [count[place]]
+        #: For each order from two: the history's count, one where it is to be added, the back-off weight of unseen n-grams.
+        self.history, self.plus, self.alpha = [], [], []
+        for times, plus, alpha in zip(levels[0::3], levels[1::3], levels[2::3], strict=True):
+            history = self._history_count()
+            times = unsqueeze(times)
+            weight = np.ones(len(times))
+            weight[(history > 0) & (times == 0)] = unsqueeze(alpha, dtype=np.float64)
+            self.history.append(history)
+            self.plus.append(_flags(plus, len(times)))
+            self.alpha.append(weight)
+            self.counts.append(times)
+
+    def _before(self, values: np.ndarray, at_begin: int) -> np.ndarray:
+        out = np.empty_like(values)
+        out[1:] = values[:-1]
+        out[self.first] = at_begin
+        return out
+
+    def _history_count(self) -> np.ndarray:
+        """Training count of each token's history for the next order; the begin mark was seen as often as the end token."""
+        ends = int(self.counts[0][self.lengths[0] - 1]) if len(self.counts) == 1 else 0
+        return self._before(self.counts[-1], ends)
+
+    def grams(self, buckets: int, split_from: int) -> _Grams:
+        return _Grams(self, self._history_count(), buckets, split_from)
+
+    def probability(self, model: Model) -> np.ndarray:
+        """p of each token: the recursion from single words up."""
+        p = model.word_probability(self.counts[0])
+        for k, (times, history, plus, alpha) in enumerate(zip(self.counts[1:], self.history, self.plus, self.alpha, strict=True), start=2):
+            p = np.where(times > 0, model.left(k, times) / np.maximum(history + plus, 1), alpha * p)
+        return p
+
+
+class _Grams:
+    """The distinct n-grams of a batch's next order whose history was seen, in the order of its requests."""
+
+    def __init__(self, b: _Batch, history: np.ndarray, buckets: int, split_from: int) -> None:
+        order = len(b.counts) + 1
+        key = mix(b.number)
+        before = b._before(key, 0)
+        before[b.first] = mix(np.zeros(1, _U))[0]
+        for _ in range(order - 2):
+            key = mix(before * _FACTOR + b.number)
+            before = b._before(key, 0)
+        self.token = np.flatnonzero(history > 0)
+        before = before[self.token]
+        distinct, self.inverse = np.unique(mix(before * _FACTOR + b.number[self.token]), return_inverse=True)
+        at = np.empty(len(distinct), np.int64)
+        at[self.inverse] = np.arange(len(self.token))
+        self.times = np.bincount(self.inverse, weights=b.train[self.token], minlength=len(distinct)).astype(_U)
+        self.before, at = before[at], self.token[at]
+        self.word, self.lower, self.history = b.number[at], b.counts[-1][at], history[at]
+        self.divisor = b.history[-1][at] + b.plus[-1][at].astype(_U) if b.history else np.zeros(len(at), _U)
+        bucket = _bucket(np.where(self.history >= split_from, distinct, self.before), buckets)
+        bits = max(1, int(buckets).bit_length())
+        self.order = np.argsort(bucket << _U(64 - bits) | _place(self.before, distinct) >> _U(bits))
+        self.cuts = np.searchsorted(bucket[self.order], np.arange(buckets + 1)).tolist()
 
     def requests(self) -> Iterator[tuple[int, np.ndarray]]:
-        for k, (i, j) in enumerate(zip(self.cuts.tolist(), self.cuts[1:].tolist(), strict=False)):
+        for k, (i, j) in enumerate(zip(self.cuts, self.cuts[1:], strict=False)):
             if j > i:
                 yield k, self.order[i:j]
 
 
-def _ask_bigrams(batches: DataFrame, buckets: int, split_from: int, training_only: bool) -> DataFrame:
+def _place(before: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """Sort key of n-grams: by history, then by hash."""
+    low = _U((1 << 24) - 1)
+    return (before & ~low) | (gram & low)
+
+
+def _ask_grams(batches: DataFrame, buckets: int, split_from: int) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        post = _Post()
         for b in rows:
             for r in b.to_pylist():
-                g = _Bigrams(r, buckets, split_from, training_only)
-                more = (lambda at: (squeeze(g.times[at].astype(_U)), squeeze(g.cw[at]))) if training_only else (lambda at: (None, None))  # noqa: B023
-                yield from _rows([(r["batch"], 0, k, squeeze(g.p[at], True), squeeze(g.w[at]), *more(at), None) for k, at in g.requests()]).to_batches()
+                g = _Batch(r).grams(buckets, split_from)
+                for k, at in g.requests():
+                    post.add(k, r["key"], [squeeze(g.before[at], True), *(squeeze(x[at]) for x in (g.word, g.times, g.lower, g.divisor, g.history))])
+                del g
+                yield from post.flush(GATHER)
+        yield from post.flush()
 
     return batches.mapInArrow(run, _ROW)
 
 
-def _sum_bigrams(table: pa.Table) -> pa.Table:
-    """A bucket's part of the bigram table: p histories, q words, r counts, s the words' counts."""
-    rows = table.to_pylist()
-    p = np.concatenate([unsqueeze(r["p"], True) for r in rows])
-    w, times, cw = (np.concatenate([unsqueeze(r[c]) for r in rows]) for c in ("q", "r", "s"))
-    order = np.lexsort((w, p))
-    p, w, times, cw = p[order], w[order], times[order], cw[order]
-    new = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (w[1:] != w[:-1])]))
-    times = np.add.reduceat(times, new)
+def _count_grams(table: pa.Table) -> pa.Table:
+    """A bucket's part of an order's table (histories, words, counts, counts of the lower order, its divisors, counts of the histories) and the places of each batch's n-grams in it."""
+    bucket = table.column("key")[0].as_py()
+    asked = _messages(table.to_pylist(), 6)
+    before = [unsqueeze(m[0], True) for _, m in asked]
+    sizes = [len(x) for x in before]
+    before = np.concatenate(before)
+    word, times, lower, divisor, history = (np.concatenate([unsqueeze(m[c]) for _, m in asked]) for c in range(1, 6))
+    order = np.argsort(_place(before, mix(before * _FACTOR + word)))
+    b, w = before[order], word[order]
+    new = np.concatenate([[True], (b[1:] != b[:-1]) | (w[1:] != w[:-1])])
+    place = np.empty(len(order), dtype=_U)
+    place[order] = np.cumsum(new) - 1
+    new = np.flatnonzero(new)
+    times = np.add.reduceat(times[order], new)
+    first = order[new]
     stats = [int((times == r).sum()) for r in range(1, K + 2)]
-    return _rows([(-1, 1, rows[0]["bucket"], squeeze(p[new], True), squeeze(w[new]), squeeze(times), squeeze(cw[new]), stats)])
-
-
-def _history_sums(p: np.ndarray, times: np.ndarray, cw: np.ndarray, model: Model) -> tuple[np.ndarray, ...]:
-    """For each history of sorted ``p``: its number, tokens, discounted tokens, p(w) of its successors, successors that can be discounted."""
-    new = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])) if len(p) else np.empty(0, np.int64)
-    add = lambda x: np.add.reduceat(x, new) if len(new) else x[:0]
-    d = model.bigram[np.minimum(times, K + 1).astype(np.int64)]
-    return p[new], add(times.astype(float)), add(d * times), add(model.word_probability(cw)), add((times <= K).astype(float))
-
-
-def _back_off(tokens: np.ndarray, discounted: np.ndarray, successors: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """alpha and the divisor of the seen counts for each history."""
-    divisor = np.where(low > 0, tokens, tokens + 1)
-    return (1 - discounted / divisor) / (1 - successors), divisor
-
-
-def _split_numbers(words: DataFrame, split_from: int) -> np.ndarray:
-    """Numbers of the histories that are split, ascending; at most ``MOST_SPLIT`` and the begin mark."""
+    own = [squeeze(before[first], True), squeeze(word[first]), squeeze(times), *(squeeze(x[first]) for x in (lower, divisor, history))]
+    places = [squeeze(x, True) for x in np.split(place, np.cumsum(sizes)[:-1])]
+    return _rows([(bucket, 1, [i for i, _ in asked], own + places, stats)])
+
+
+class _Table:
+    """A bucket's part of an order's table, and the sums of its histories."""
+
+    def __init__(self, row: dict, model: Model, order: int) -> None:
+        before, _, times, lower, divisor, history, *self.places = row["data"]
+        self.batches = row["ids"]
+        self.before, self.times, self.history = unsqueeze(before, True), unsqueeze(times), unsqueeze(history)
+        lower = unsqueeze(lower)
+        below = model.word_probability(lower) if order == 2 else model.left(order - 1, lower) / np.maximum(unsqueeze(divisor), 1)
+        by = np.argsort(self.before, kind="stable")
+        b = self.before[by]
+        new = np.concatenate([[True], b[1:] != b[:-1]])
+        self.run = np.empty(len(by), dtype=np.int64)
+        self.run[by] = np.cumsum(new) - 1
+        at = np.flatnonzero(new)
+        add = lambda x: np.add.reduceat(x[by], at)
+        seen = self.times > 0
+        self.key, self.of = b[at], self.history[by[at]]
+        #: Discounted tokens, p of the successors one order lower, successors that can be discounted.
+        self.sums = [add(model.left(order, self.times)), add(np.where(seen, below, 0.0)), add((seen & (self.times <= K)).astype(float))]
+
+
+def _split_sums(grams: DataFrame, model: Model, order: int, split_from: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Keys of the split histories, ascending, and their sums over the buckets."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             for r in b.to_pylist():
-                often = unsqueeze(r["r"])[unsqueeze(r["q"]) >= split_from]
-                yield pa.RecordBatch.from_arrays([pa.array(often.astype(np.int64))], names=["history"])
-
-    found = words.mapInArrow(run, "history bigint").toPandas()["history"].to_numpy(dtype=np.int64)
-    return np.sort(np.append(found, BEGIN)).astype(_U)
+                t = _Table(r, model, order)
+                own = t.of >= split_from
+                yield pa.RecordBatch.from_arrays([pa.array(t.key[own].view(np.int64)), *(pa.array(x[own]) for x in t.sums)], names=["history", "a", "b", "c"])
 
+    sums = grams.mapInArrow(run, "history bigint, a double, b double, c double").groupBy("history").agg(*(F.sum(c).alias(c) for c in "abc")).toPandas()
+    key = sums["history"].to_numpy(dtype=np.int64).view(_U)
+    by = np.argsort(key)
+    return key[by], [sums[c].to_numpy(dtype=float)[by] for c in "abc"]
 
-def _split_sums(parts: DataFrame, model: Model, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Number, alpha and divisor of the split histories, added up over the buckets."""
-    shared = parts.sparkSession.sparkContext.broadcast(numbers)
 
+def _answer_grams(grams: DataFrame, model: Model, order: int, split_from: int, split) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        post = _Post()
         for b in rows:
             for r in b.to_pylist():
-                history, *sums = _history_sums(unsqueeze(r["p"], True), unsqueeze(r["r"]), unsqueeze(r["s"]), model)
-                own = np.isin(history, shared.value)
-                yield pa.RecordBatch.from_arrays([pa.array(history[own].astype(np.int64)), *(pa.array(x[own]) for x in sums)], names=["history", "a", "b", "c", "d"])
-
-    sums = parts.mapInArrow(run, "history bigint, a double, b double, c double, d double")
-    found = sums.groupBy("history").agg(*(F.sum(c).alias(c) for c in "abcd")).orderBy("history").toPandas()
-    alpha, divisor = _back_off(*(found[c].to_numpy(dtype=float) for c in "abcd"))
-    return found["history"].to_numpy(dtype=np.int64).astype(_U), alpha, divisor
-
-
-def _answer_bigrams(model: Model, split):
-    def answer(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: (-r["kind"], r["batch"]))
-        if rows[0]["kind"] == 1:
-            part = rows.pop(0)
-            p, w, times, cw = unsqueeze(part["p"], True), unsqueeze(part["q"]), unsqueeze(part["r"]), unsqueeze(part["s"])
-        else:
-            p, w, times, cw = (np.empty(0, _U) for _ in range(4))
-        history, *sums = _history_sums(p, times, cw, model)
-        alpha, divisor = _back_off(*sums)
-        numbers, alphas, divisors = split.value
-        keys = np.stack([p, w], axis=1)
-        out = []
-        for r in rows:
-            rp, rw = unsqueeze(r["p"], True), unsqueeze(r["q"])
-            found = _lookup(keys, rp, rw)
-            hit = found >= 0
-            counts = np.zeros(len(rp), dtype=_U)
-            counts[hit] = times[found[hit]]
-            own = rp[np.concatenate([[True], rp[1:] != rp[:-1]])]
-            a, d = np.ones(len(own)), np.ones(len(own))
-            for known, ka, kd in ((history, alpha, divisor), (numbers, alphas, divisors)):
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                    same = known[at] == own
-                    a[same], d[same] = ka[at[same]], kd[at[same]]
-            out.append((r["batch"], 2, r["bucket"], squeeze(counts), squeeze(a), squeeze(d), None, None))
-        return _rows(out)
-
-    return answer
-
-
-def _lookup(keys: np.ndarray, p: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Place of each (p, w) among the sorted rows of ``keys``, or -1."""
-    n = len(keys)
-    if not n:
-        return np.full(len(p), -1)
-    if max(int(keys.max()), int(w.max(initial=0)), int(p.max(initial=0))) < 1 << 32:
-        have, want = keys[:, 0] << _U(32) | keys[:, 1], p << _U(32) | w
-        at = np.minimum(np.searchsorted(have, want), n - 1)
-        return np.where(have[at] == want, at, -1)
-    both = np.concatenate([keys, np.stack([p, w], axis=1)])
-    _, place = np.unique(both, axis=0, return_inverse=True)
-    index = np.full(int(place.max()) + 1, -1)
-    index[place[:n]] = np.arange(n)
-    return index[place[n:]]
-
-
-def _score_batch(model: Model, buckets: int, split_from: int):
+                t = _Table(r, model, order)
+                keys, sums = split.value
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, t.key), len(keys) - 1)
+                    whole = (keys[at] == t.key) & (t.of >= split_from)
+                    for own, all_ in zip(t.sums, sums, strict=True):
+                        own[whole] = all_[at[whole]]
+                tokens, successors, low = t.sums
+                plus = low == 0
+                alpha = (1 - tokens / np.maximum(t.of + plus, 1)) / (1 - successors)
+                for batch, places in zip(t.batches, t.places, strict=True):
+                    place = unsqueeze(places, True).astype(np.int64)
+                    times, run_ = t.times[place], t.run[place]
+                    post.add(batch, r["key"], [squeeze(times), _bits(plus[run_]), squeeze(alpha[run_[times == 0]])])
+                yield from post.flush(GATHER)
+        yield from post.flush()
+
+    return grams.mapInArrow(run, _ROW)
+
+
+def _collected(table: pa.Table, buckets: int, split_from: int) -> tuple[dict, list[bytes]]:
+    """A batch's own row and its next level: per token the n-gram's count, the added one, and the weights where it is unseen."""
+    rows = table.to_pylist()
+    own = next(r for r in rows if r["kind"] == 0)
+    answers = dict(_messages([r for r in rows if r["kind"] == 2], 3))
+    b = _Batch(own)
+    g = b.grams(buckets, split_from)
+    times, plus, alpha = np.zeros(len(g.times), _U), np.zeros(len(g.times), bool), np.ones(len(g.times))
+    for k, at in g.requests():
+        t, p, a = answers[k]
+        times[at], plus[at] = unsqueeze(t), _flags(p, len(at))
+        alpha[at[times[at] == 0]] = unsqueeze(a, dtype=np.float64)
+    level = np.zeros(len(b.number), _U)
+    level[g.token] = times[g.inverse]
+    added = np.zeros(len(b.number), bool)
+    added[g.token] = plus[g.inverse]
+    return own, [squeeze(level), _bits(added), squeeze(alpha[g.inverse][level[g.token] == 0])]
+
+
+def _with_level(buckets: int, split_from: int):
+    def collect(table: pa.Table) -> pa.Table:
+        own, level = _collected(table, buckets, split_from)
+        return _rows([(own["key"], 0, None, [*own["data"], *level], None)])
+
+    return collect
+
+
+def _scores(row: dict, model: Model) -> pa.Table:
+    b = _Batch(row)
+    base = np.log10((b.counts[0] + 0.1) / (model.tokens + 0.1 * (model.words + 1)))
+    add = lambda x: np.add.reduceat(x, b.first)
+    return pa.table({"id": pa.array(b.ids, mask=~b.valid), "n_tokens": pa.array(b.lengths), "n_known": pa.array(add((b.counts[0] > 0).astype(np.int64))), "base_score": pa.array(add(base)), "score": pa.array(add(np.log10(b.probability(model))))})
+
+
+def _score_grams(model: Model, buckets: int, split_from: int):
     def score(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: (r["kind"], r["bucket"]))
-        g = _Bigrams(rows[0], buckets, split_from, False)
-        answers = {r["bucket"]: r for r in rows[1:]}
-        times, alpha, divisor = np.zeros(len(g.p), _U), np.ones(len(g.p)), np.ones(len(g.p))
-        for k, at in g.requests():
-            r = answers[k]
-            run = np.cumsum(np.concatenate([[True], g.p[at][1:] != g.p[at][:-1]])) - 1
-            times[at] = unsqueeze(r["p"])
-            alpha[at] = unsqueeze(r["q"], dtype=np.float64)[run]
-            divisor[at] = unsqueeze(r["r"], dtype=np.float64)[run]
-        word = model.word_probability(g.count)
-        probability = word.copy()
-        t, i = g.token, g.inverse
-        seen = times[i] > 0
-        d = model.bigram[np.minimum(times, K + 1).astype(np.int64)] * times / divisor
-        probability[t] = np.where(seen, d[i], alpha[i] * word[t])
-        base = np.log10((g.count + 0.1) / (model.tokens + 0.1 * (model.words + 1)))
-        cuts = np.concatenate([[0], np.cumsum(g.lengths)[:-1]]).astype(np.int64)
-        add = lambda x: np.add.reduceat(x, cuts) if len(cuts) else np.empty(0)
-        return pa.table({"id": pa.array(g.ids, mask=~g.valid), "n_tokens": pa.array(g.lengths), "n_known": pa.array(add((g.count > 0).astype(np.int64))), "base_score": pa.array(add(base)), "score": pa.array(add(np.log10(probability)))})
+        own, level = _collected(table, buckets, split_from)
+        return _scores({"data": [*own["data"], *level]}, model)
 
     return score
 
 
+def _score_words(batches: DataFrame, model: Model) -> DataFrame:
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            for r in b.to_pylist():
+                yield from _scores(r, model).to_batches()
+
+    return batches.mapInArrow(run, _RESULT)
+
 
 def _added(rows: DataFrame, n: int) -> list[int]:
     row = rows.agg(*(F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(n))).first()
     return [int(x or 0) for x in row]
 
 
-def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", training_col: str = "training", *, scratch: Scratch | None = None) -> DataFrame:
-    """Train on the rows where ``training_col`` holds and score all: ``id_col``, n_tokens, n_known, train_tokens, base_score, score."""
+def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", training_col: str = "training", *, order: int = ORDER, scratch: Scratch | None = None) -> DataFrame:
+    """Train on the rows where ``training_col`` holds and score all: ``id_col``, n_tokens, n_known, train_tokens, base_score, score.
+
+    ``order`` is the number of words of the longest n-grams.  The result is a table
+    of the scratch folder; the tables it was made from are removed.
+    """
     spark = df.sparkSession
     scratch = scratch or Scratch(spark)
-    arrow_limits(spark)
-    kinds = f"{id_col} bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(training_col, F.lit(True)).alias("training"))
-    batches = scratch.table(_tokenise(docs), "batches")
+    batches = scratch.table(_tokenise(docs), "batches", rows=500)
     (tokens,) = _added(batches, 1)
-    if not tokens:
-        return spark.createDataFrame([], kinds)
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // BUCKET_TOKENS))
-    arrow_limits(spark, rows=4)
 
-    words = scratch.table(_ask_words(batches, buckets).groupBy("bucket").applyInArrow(_count_words(buckets), _ROW), "words")
-    total, vocabulary, *of_words, often = _added(words.filter("kind = 1"), K + 4)
-    unigram = discounts(np.array(of_words))
+    words = scratch.table(_ask_words(batches, buckets).groupBy("key").applyInArrow(_count_words(buckets), _ROW), "words", rows=4)
+    total, vocabulary, often, *of_words = _added(words.filter("kind = 1"), K + 4)
+    left = discounts(np.array(of_words))
     discounted = sum(of_words[:K]) > 0
-    mass = float((unigram[1 : K + 1] * np.arange(1, K + 1) * of_words[:K]).sum() + often) / (total + (0 if discounted else 1))
-    numbered = scratch.table(batches.unionByName(words.filter("kind = 2")).groupBy("batch").applyInArrow(_assemble, _ROW), "numbered")
-    scratch.drop("batches")
+    mass = float((left[1 : K + 1] * np.arange(1, K + 1) * of_words[:K]).sum() + often) / (total + (0 if discounted else 1))
+    model = Model(total, vocabulary, discounted, mass, [left])
+    known = scratch.table(batches.unionByName(words.filter("kind = 2")).groupBy("key").applyInArrow(_with_words, _ROW), "order-1", rows=4)
+    scratch.drop("batches", "words")
 
     split_from = max(1, -(-total // min(8 * buckets, MOST_SPLIT)))
-    bigrams = scratch.table(_ask_bigrams(numbered, buckets, split_from, True).groupBy("bucket").applyInArrow(_sum_bigrams, _ROW), "bigrams")
-    model = Model(total, vocabulary, unigram, discounts(np.array(_added(bigrams, K + 1))), discounted, mass)
-    numbers = _split_numbers(words.filter("kind = 1"), split_from)
-    split = spark.sparkContext.broadcast(_split_sums(bigrams, model, numbers))
-
-    answers = _ask_bigrams(numbered, buckets, split_from, False).unionByName(bigrams).groupBy("bucket").applyInArrow(_answer_bigrams(model, split), _ROW)
-    scored = numbered.unionByName(answers).groupBy("batch").applyInArrow(_score_batch(model, buckets, split_from), "id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
-    return scored.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    result = None
+    for k in range(2, order + 1):
+        grams = scratch.table(_ask_grams(known, buckets, split_from).groupBy("key").applyInArrow(_count_grams, _ROW), f"grams-{k}", rows=4)
+        model.orders.append(discounts(np.array(_added(grams, K + 1))))
+        with bounded(spark, rows=4):
+            split = spark.sparkContext.broadcast(_split_sums(grams, model, k, split_from))
+        answered = known.unionByName(_answer_grams(grams, model, k, split_from, split)).groupBy("key")
+        if k < order:
+            known = scratch.table(answered.applyInArrow(_with_level(buckets, split_from), _ROW), f"order-{k}", rows=4)
+        else:
+            result = answered.applyInArrow(_score_grams(model, buckets, split_from), _RESULT)
+            result = scratch.table(result, "scores", rows=4)
+        scratch.drop(f"grams-{k}", f"order-{k - 1}")
+        split.destroy()
+    if result is None:
+        result = scratch.table(_score_words(known, model), "scores", rows=4)
+        scratch.drop("order-1")
+    return result.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

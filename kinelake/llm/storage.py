@@ -2,63 +2,117 @@
 
 Lineage is cut with written Parquet tables below ``spark.checkpoint.dir``, a
 folder that the driver and every executor share, so a lost executor costs only
-its running tasks.  A machine-local folder is used only where that setting is
-absent (tests on one machine).
+its running tasks.  A machine-local folder is used only on a local master where
+that setting is absent (tests on one machine); elsewhere its absence is an error.
+
+A scratch folder belongs to whoever made it: ``drop`` removes a table that no
+later plan reads, ``delete`` everything, and what is left goes when the session's
+JVM ends.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows and bytes of the Arrow batches handed to Python while a table is written.
+ROWS, SIZE = 2000, "16m"
+
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one if unset."""
+    """The folder named in ``spark.checkpoint.dir``; on a local master a temporary one if unset."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not root:
         root = sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="kinelake-")
         sc.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings (dots as double underscores) for the time of a block; those before are put back."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def bounded(spark: SparkSession, rows: int = ROWS):
+    """Settings under which tables are written and small results fetched.
+
+    Arrow batches are bounded by rows and by bytes, a file counts as several times
+    its compressed size when Spark decides what to broadcast, and shuffle files go
+    when the write that made them has ended.
+    """
+    return settings(
+        spark,
+        spark__sql__execution__arrow__maxRecordsPerBatch=str(rows),
+        spark__sql__execution__arrow__maxBytesPerBatch=SIZE,
+        spark__sql__sources__fileCompressionFactor="10",
+        spark__sql__classic__shuffleDependency__fileCleanup__enabled="true",
+    )
+
+
+def parts(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows``, for functions of plans that run under the caller's settings."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 class Scratch:
-    """A folder of its own below the shared root, removed by ``delete``."""
+    """A folder of its own below the shared root."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         self.root = f"{shared_root(spark)}/kinelake/{uuid.uuid4().hex}"
+        system, where = self._place(self.root)
+        system.mkdirs(where)
+        system.deleteOnExit(where)
+
+    def _place(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as Parquet and read it back with the same schema."""
-        df.write.option("compression", "zstd").parquet(self.path(name))
+    def table(self, df: DataFrame, name: str, rows: int = ROWS) -> DataFrame:
+        """Write ``df`` as Parquet, in Arrow batches of at most ``rows`` where Python takes part, and read it back with the same schema."""
+        with bounded(self.spark, rows):
+            df.write.option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str = "") -> None:
-        """Remove one table, or everything."""
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        where.getFileSystem(conf).delete(where, True)
+    def drop(self, *names: str) -> None:
+        """Remove tables that no later plan reads."""
+        for name in names:
+            system, where = self._place(self.path(name))
+            system.delete(where, True)
 
-    def delete(self) -> None:
-        self.drop()
-
-
-def realistic_sizes(spark: SparkSession) -> None:
-    """Let Spark take a file for several times its compressed size when it decides what to broadcast."""
-    spark.conf.set("spark.sql.sources.fileCompressionFactor", "10")
+    def keep_only(self, *names: str) -> None:
+        """Remove all tables but these."""
+        system, where = self._place(self.root)
+        self.drop(*(n for n in (s.getPath().getName() for s in system.listStatus(where)) if n not in names))
 
-
-def arrow_limits(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
-    """Bound the Arrow batches handed to Python by rows and by bytes."""
-    realistic_sizes(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    def delete(self) -> None:
+        """Remove everything."""
+        system, where = self._place(self.root)
+        system.delete(where, True)
