@@ -3,7 +3,9 @@
 Features are the distinct byte n-grams (``GRAMS``) of the lower-cased text with
 white space as one space, hashed into ``2**BITS`` buckets.  On the training
 sample each bucket gets the log ratio of its smoothed document counts in toxic
-and clean rows; the ``FEATURES`` buckets whose ratio is best supported are kept.
+and clean rows; the ``FEATURES`` buckets whose ratio is best supported are
+candidates.  How much support a bucket needs is chosen from ``SUPPORTS`` by the
+loss over ``FOLDS`` folds of the training sample; no other row takes part.
 A ridge-penalised logistic regression on the ratios of the buckets that a text
 holds gives the weights.  A text's score is the calibrated probability; since a
 bucket counts once and rare evidence is not divided by length, a long text is
@@ -11,10 +13,13 @@ scored over its whole length.
 
 The sample is bounded: at most ``SAMPLE`` labelled rows of each class, those of
 smallest hash of their id.  Class weights restore the classes' true shares.
+Buckets are counted by the executors; the driver gets the ``FEATURES`` candidates
+and which of them each sample row holds, so its memory has a bound whatever the
+length of the texts.
 
 A null label or a label without document teaches nothing; without both classes
 every score is the share of toxic labels (0 without labels).  Null and empty
-texts score by the intercept.  Repeated rows score alike; a document with several
+texts score by the intercept, texts of any length by all their n-grams.  Repeated rows score alike; a document with several
 labels counts once for each.  Other columns are not read.
 """
 
@@ -28,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinelake.llm.storage import Scratch, arrow_limits
+from kinelake.llm.storage import Scratch, bounded, parts
 from kinelake.llm.text import _LOWER, _SEP, BYTE_VALUES, as_bytes, joined, mix, powers, slices
 
 GRAMS = (3, 4, 5)
@@ -37,8 +42,9 @@ FEATURES = 1 << 15
 SAMPLE = 3000
 SMOOTHING = 1.0
 RIDGE = 1.0
-#: Support (in standard deviations of the difference of shares) below which a bucket is dropped.
-SUPPORT = 5.0
+#: Support (in standard deviations of the difference of shares) below which a bucket is dropped: the choices.
+SUPPORTS = (3.0, 4.0, 5.0)
+FOLDS = 3
 THRESHOLD = 0.3
 _U = np.uint64
 
@@ -65,10 +71,28 @@ def _buckets(part: list[bytes], grams: tuple[int, ...], bits: int) -> Iterator[t
             yield doc[:count][same], (h[same] >> _U(64 - bits)).astype(np.int64)
 
 
+def _overlapping(texts: list[bytes], reach: int) -> Iterator[tuple[list[bytes], list[int]]]:
+    """``slices`` in which a cut text's later parts begin with the last ``reach`` bytes, or one more, of the normalised part before.
+
+    So an n-gram of up to ``reach + 1`` bytes lies whole in one of the parts.
+    """
+    before, end = -1, b""
+    for part, owner in slices(texts):
+        if owner[0] == before:
+            part = [end + part[0], *part[1:]]
+        before, last = owner[-1], part[-1]
+        near = b" ".join(last[-4096:].split()) + b" "
+        if len(near) <= reach + 1 < len(last):
+            near = b" ".join(last.split()) + b" "
+        at = max(0, len(near) - reach)
+        end = near[max(0, at - 1) if near[at : at + 1] == b" " else at :]
+        yield part, owner
+
+
 def features(texts: list[bytes], grams: tuple[int, ...] = GRAMS, bits: int = BITS, use: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text number, bucket) pairs, restricted to buckets that ``use`` marks."""
     keys = [np.empty(0, np.int64)]
-    for part, owner in slices(texts):
+    for part, owner in _overlapping(texts, max(grams) - 1):
         own = np.array(owner, dtype=np.int64)
         found = []
         for doc, bucket in _buckets(part, grams, bits):
@@ -137,67 +161,119 @@ def _logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, y: np.n
     return w, float(b)
 
 
-def fit(doc: np.ndarray, bucket: np.ndarray, toxic: np.ndarray, share: float, bits: int = BITS) -> Model:
-    """A model from distinct (row, bucket) pairs; ``share`` is the toxic share of all labels."""
+def _support(p, q, pos: int, neg: int, root=np.sqrt, size=np.abs):
+    """By how many standard deviations the shares p / pos and q / neg differ."""
+    return size(p / pos - q / neg) / root((p + q) / (pos + neg) * (1 / pos + 1 / neg) + 1e-12)
+
+
+def _fit_columns(rows: np.ndarray, columns: np.ndarray, toxic: np.ndarray, n_columns: int, share: float, least: float) -> tuple[np.ndarray, float]:
+    """Weight of each column and intercept, from (row, column) pairs; columns with less than ``least`` support weigh nothing."""
     pos, neg = int(toxic.sum()), int((1 - toxic).sum())
-    if not pos or not neg:
-        return Model(0.0, np.zeros(1), constant=share)
-    p = np.bincount(bucket[toxic[doc] == 1], minlength=1 << bits).astype(float)
-    q = np.bincount(bucket[toxic[doc] == 0], minlength=1 << bits).astype(float)
-    a, b = p / pos, q / neg
-    spread = np.sqrt((p + q) / (pos + neg) * (1 / pos + 1 / neg) + 1e-12)
-    support = np.abs(a - b) / spread
+    p = np.bincount(columns[toxic[rows] == 1], minlength=n_columns).astype(float)
+    q = np.bincount(columns[toxic[rows] == 0], minlength=n_columns).astype(float)
     ratio = np.log((p + SMOOTHING) / (pos + 2 * SMOOTHING)) - np.log((q + SMOOTHING) / (neg + 2 * SMOOTHING))
-    chosen = np.flatnonzero(support >= SUPPORT)
-    chosen = chosen[np.argsort(-support[chosen], kind="stable")[:FEATURES]]
-    number = np.full(1 << bits, -1)
-    number[chosen] = np.arange(len(chosen))
-    hit = number[bucket] >= 0
-    rows, columns = doc[hit], number[bucket[hit]]
+    chosen = _support(p, q, pos, neg) >= least
+    number = np.cumsum(chosen) - 1
+    use = chosen[columns]
     weight = np.where(toxic == 1, share / pos, (1 - share) / neg) * (pos + neg)
-    w, intercept = _logistic(rows, columns, ratio[chosen][columns], toxic.astype(float), weight, len(chosen), RIDGE)
-    weights = np.zeros(1 << bits)
+    w, intercept = _logistic(rows[use], number[columns[use]], ratio[columns[use]], toxic.astype(float), weight, int(chosen.sum()), RIDGE)
+    weights = np.zeros(n_columns)
     weights[chosen] = w * ratio[chosen]
+    return weights, intercept
+
+
+def fit(rows: np.ndarray, columns: np.ndarray, toxic: np.ndarray, buckets: np.ndarray, share: float, bits: int = BITS) -> Model:
+    """A model from the (row, column) pairs of the candidate ``buckets``; ``share`` is the toxic share of all labels.
+
+    Rows are dealt into folds in their order; the support with the least weighted
+    loss on the folds left out is used for all rows (the greatest on ties).
+    """
+    fold = np.arange(len(toxic)) % FOLDS
+    weight = np.where(toxic == 1, share / max(1, toxic.sum()), (1 - share) / max(1, (1 - toxic).sum()))
+    losses = []
+    for least in SUPPORTS:
+        loss = 0.0
+        for k in range(FOLDS):
+            train, test = fold != k, fold == k
+            if not toxic[train].sum() or toxic[train].all() or not test.any():
+                continue
+            place = np.cumsum(train) - 1
+            own = train[rows]
+            w, intercept = _fit_columns(place[rows[own]], columns[own], toxic[train], len(buckets), share, least)
+            z = intercept + np.bincount(rows, weights=w[columns], minlength=len(toxic))[test]
+            loss += float(weight[test] @ np.logaddexp(0, -(2 * toxic[test] - 1) * z))
+        losses.append(loss)
+    least = max(zip(SUPPORTS, losses, strict=True), key=lambda x: (-x[1], x[0]))[0]
+    w, intercept = _fit_columns(rows, columns, toxic, len(buckets), share, least)
+    weights = np.zeros(1 << bits)
+    weights[buckets] = w
     return Model(intercept, weights, bits=bits)
 
 
 def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, sample: int = SAMPLE, scratch: Scratch | None = None) -> Model:
     """Fit on at most ``sample`` labelled rows of each class."""
-    scratch = scratch or Scratch(documents.sparkSession)
-    arrow_limits(documents.sparkSession)
+    spark = documents.sparkSession
+    own = scratch or Scratch(spark)
     rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).filter("id is not null and toxic in (0, 1)")
     counts = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    share = counts.get(1, 0) / max(1, sum(counts.values()))
     order = F.xxhash64("id")
     chosen = [rows.filter(F.col("toxic") == c).orderBy(order, "id").limit(sample) for c in (0, 1)]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * sample rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc, bucket = features(as_bytes(b.column(1)))
+            doc, bucket = features(as_bytes(b.column(2)))
             cuts = np.searchsorted(doc, np.arange(b.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bucket[i:j].astype("<u4").tobytes() for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["toxic", "buckets"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([bucket[i:j].astype("<u4").tobytes() for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["toxic", "h", "buckets"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = np.zeros((2, 1 << BITS), dtype=np.int64)
+        for b in batches:
+            for toxic, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                both[toxic, np.frombuffer(raw, dtype="<u4")] += 1  # a row holds a bucket once
+        held = np.flatnonzero(both.any(axis=0))
+        for i in range(0, len(held), 65536):
+            at = held[i : i + 65536]
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(both[1, at]), pa.array(both[0, at])], names=["bucket", "p", "q"])
+
+    found = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id").select("toxic", F.xxhash64("id", "text").alias("h"), "text").mapInArrow(run, "toxic int, h bigint, buckets binary")
+    found = own.table(found, "sample")
+    sizes = {r.toxic: r.n for r in found.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    pos, neg = sizes.get(1, 0), sizes.get(0, 0)
+    if not pos or not neg:
+        return Model(0.0, np.zeros(1), constant=share)
+    totals = found.select("toxic", "buckets").mapInArrow(count, "bucket bigint, p bigint, q bigint").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    support = _support(F.col("p"), F.col("q"), pos, neg, F.sqrt, F.abs)
+    best = totals.select("bucket", support.alias("support")).filter(F.col("support") >= min(SUPPORTS)).orderBy(F.desc("support"), "bucket").limit(FEATURES)
+    with bounded(spark):
+        buckets = np.sort(best.toPandas()["bucket"].to_numpy(dtype=np.int64))
+    number = np.full(1 << BITS, -1, dtype=np.int32)
+    number[buckets] = np.arange(len(buckets))
+    shared = spark.sparkContext.broadcast(number)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = [shared.value[np.frombuffer(raw, dtype="<u4")] for raw in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[x >= 0].astype("<u2").tobytes() for x in held], pa.binary())], names=["toxic", "h", "columns"])
 
-    found = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id").select("toxic", "text").mapInArrow(run, "toxic int, buckets binary")
-    # Written in parallel, then fetched file by file: at most 2 * sample rows, a few at a time in the JVM.
-    found = scratch.table(found, "sample").toLocalIterator()
-    toxic, parts = [], []
-    for r in found:
-        toxic.append(r.toxic)
-        parts.append(np.frombuffer(r.buckets, dtype="<u4"))
-    n = sum(counts.values())
-    doc = np.repeat(np.arange(len(parts)), [len(x) for x in parts]) if parts else np.empty(0, np.int64)
-    bucket = np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64)
-    return fit(doc, bucket, np.array(toxic, dtype=np.int64), counts.get(1, 0) / n if n else 0.0)
+    # A row holds at most FEATURES candidates of two bytes each.
+    with bounded(spark):
+        rows = found.mapInArrow(pick, "toxic int, h bigint, columns binary").orderBy("h", "toxic").toPandas()
+    shared.destroy()
+    if scratch is None:
+        own.delete()
+    lists = [np.frombuffer(c, dtype="<u2") for c in rows["columns"]]
+    of = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    return fit(of, np.concatenate(lists).astype(np.int64), rows["toxic"].to_numpy(dtype=np.int64), buckets, share)
 
 
 def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, score and predicted of every row; the model (8 bytes a bucket) is broadcast."""
-    spark = documents.sparkSession
-    arrow_limits(spark)
-    shared = spark.sparkContext.broadcast(model)
+    shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.scores(as_bytes(b.column(1))), pa.float64())], names=["id", "score"])
 
     kind = documents.schema[id_col].dataType.simpleString()

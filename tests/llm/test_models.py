@@ -76,68 +76,120 @@ def test_classifier_without_both_classes(spark):
     assert toxicity.score(docs.limit(0), toxicity.Model(0.0, np.zeros(1))).count() == 0
 
 
-def test_features_do_not_depend_on_slices():
-    long = (words(random.Random(3), 3000) + "\n").encode()
-    one = toxicity.features([b"a", long, b"", b"b c"])
-    old, toxicity.slices.__defaults__ = toxicity.slices.__defaults__, (500,)
+@pytest.mark.parametrize("size", [1, 7, 50, 500])
+def test_features_do_not_depend_on_slices(size):
+    rng = random.Random(size)
+    long = [(words(rng, 300) + "\n").encode(), "".join(rng.choice("ab \n\t\u00e9") for _ in range(2000)).encode(), b"  \n" * 300 + b"x yz" + b" " * 900 + b"end"]
+    some = [b"a", *long, b"", b"b c"]
+    one = toxicity.features(some)
+    old, toxicity.slices.__defaults__ = toxicity.slices.__defaults__, (size,)
     try:
-        other = toxicity.features([b"a", long, b"", b"b c"])
+        other = toxicity.features(some)
     finally:
         toxicity.slices.__defaults__ = old
-    missing = len(one[0]) - len(set(zip(*map(np.ndarray.tolist, one), strict=True)) & set(zip(*map(np.ndarray.tolist, other), strict=True)))
-    assert missing <= 3 * 4 * (len(long) // 500 + 1)  # only n-grams across a cut
+    assert [x.tolist() for x in one] == [x.tolist() for x in other]
+
+
+def plain_grams(text):
+    t = b" ".join((text or "").translate(LOWER).encode().split())
+    t += b" " if t else b""
+    return {t[i : i + n] for n in toxicity.GRAMS for i in range(len(t) - n + 1)}
+
+
+def plain_classifier(rows, labels):
+    """Log-count ratios and a gradient-descent logistic regression over sets of n-grams; scores of all rows."""
+    of = {i: plain_grams(t) for i, t, _ in rows}
+    train = [(of[i], t) for i, t, _ in labels]
+    pos, neg = sum(t for _, t in train), sum(1 - t for _, t in train)
+    p, q = Counter(g for x, t in train if t for g in x), Counter(g for x, t in train if not t for g in x)
+    support = lambda g: abs(p[g] / pos - q[g] / neg) / math.sqrt((p[g] + q[g]) / (pos + neg) * (1 / pos + 1 / neg) + 1e-12)
+    chosen = sorted(g for g in {*p, *q} if support(g) >= toxicity.SUPPORTS[0])
+    ratio = np.array([math.log((p[g] + 1) / (pos + 2)) - math.log((q[g] + 1) / (neg + 2)) for g in chosen])
+    x = np.array([[g in s for g in chosen] for s, _ in train]) * ratio
+    y, share = np.array([t for _, t in train], float), pos / (pos + neg)
+    weight = np.where(y == 1, share / pos, (1 - share) / neg) * (pos + neg)
+    w, b = np.zeros(len(chosen)), 0.0
+    step = 1 / (0.25 * np.linalg.eigvalsh((x * weight[:, None]) @ x.T).max() + 0.25 * weight.sum() + 1)
+    for _ in range(60_000):
+        r = weight * (1 / (1 + np.exp(-(x @ w + b))) - y)
+        w, b = w - step * (x.T @ r + w), b - step * r.sum()
+    return {i: 1 / (1 + math.exp(-(sum(a * c for g, a, c in zip(chosen, w, ratio, strict=True) if g in of[i]) + b))) for i in of}
+
+
+def test_scores_against_a_plain_classifier(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SUPPORTS", (3.0,))
+    rows, labels = labelled(120, 2)
+    rows += [(20_000, None, "a"), (20_001, "", "a"), (20_002, "x", "a")]
+    table = spark.createDataFrame(labels[:90], "doc_id long, toxic int, text string")
+    docs = frame(spark, rows)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.train(docs, table)).collect()}
+    want = plain_classifier(rows, labels[:90])
+    assert max(abs(got[i] - want[i]) for i in want) < 0.01
 
 
-def plain_katz(rows, held):
+def plain_katz(rows, held, order):
+    """The model by dictionaries of histories; a history is a tuple, None the unknown word."""
     end, begin = object(), object()
     docs = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)) + [end] for _, t, _ in rows]
-    u, b = Counter(), Counter()
+    counts = [Counter() for _ in range(order + 1)]
     for w, h in zip(docs, held, strict=True):
         if not h:
-            u.update(w)
-            b.update(zip([begin, *w], w, strict=False))
-    n, v = sum(u.values()), len(u)
-    of = lambda c: katz.discounts(np.array([sum(x == r for x in c.values()) for r in range(1, katz.K + 2)]))
-    du, db = of(u), of(b)
-    total = n if any(c <= katz.K for c in u.values()) else n + 1
-    p1 = {w: du[min(c, katz.K + 1)] * c / total for w, c in u.items()}
-    unknown = 1 - sum(p1.values())
+            counts[1].update((x,) for x in w)
+            for k in range(2, order + 1):
+                marked = [begin, *w]
+                counts[k].update(tuple(marked[i : i + k]) for i in range(len(marked) - k + 1))
+    n, v = sum(counts[1].values()), len(counts[1])
+    d = [None] + [katz.discounts(np.array([sum(x == r for x in c.values()) for r in range(1, katz.K + 2)])) for c in counts[1:]]
+    cut = lambda k, c: d[k][min(c, katz.K + 1)] * c
+    total = n if any(c <= katz.K for c in counts[1].values()) else n + 1
+    unknown = 1 - sum(cut(1, c) / total for c in counts[1].values())
     after = defaultdict(dict)
-    for (x, y), c in b.items():
-        after[x][y] = c
+    for k in range(2, order + 1):
+        for g, c in counts[k].items():
+            after[g[:-1]][g[-1]] = c
     back = {}
-    for x, ys in after.items():
-        c = sum(ys.values())
-        div = c if any(k <= katz.K for k in ys.values()) else c + 1
-        back[x] = ((1 - sum(db[min(k, katz.K + 1)] * k for k in ys.values()) / div) / (1 - sum(p1[y] for y in ys)), div)
-
-    def p(x, y):
-        if y in after.get(x, {}):
-            c = after[x][y]
-            return db[min(c, katz.K + 1)] * c / back[x][1]
-        return back[x][0] * p1.get(y, unknown) if x in back else p1.get(y, unknown)
-
-    for x in [begin, *list(after)[:20]]:  # each distribution sums to one
-        assert abs(sum(p(x, y) for y in u) + p(x, None) - 1) < 1e-9
+
+    def p(h, y):
+        if not h:
+            return cut(1, counts[1][(y,)]) / total if (y,) in counts[1] else unknown
+        if h not in after:
+            return p(h[1:], y)
+        if h not in back:
+            c = sum(after[h].values())
+            div = c if any(x <= katz.K for x in after[h].values()) else c + 1
+            low = h[1:] if h[0] is not begin or len(h) > 1 else ()
+            back[h] = ((1 - sum(cut(len(h) + 1, x) for x in after[h].values()) / div) / (1 - sum(p(low, z) for z in after[h])), div)
+        if y in after[h]:
+            return cut(len(h) + 1, after[h][y]) / back[h][1]
+        return back[h][0] * p(h[1:], y)
+
+    rng = random.Random(1)
+    for h in [(begin,), *rng.sample(list(after), min(25, len(after)))]:  # each distribution sums to one
+        assert abs(sum(p(h, y) for (y,) in counts[1]) + p(h, None) - 1) < 1e-9
     out = []
     for (i, _, _), w in zip(rows, docs, strict=True):
-        base = sum(math.log10((u.get(y, 0) + 0.1) / (n + 0.1 * (v + 1))) for y in w)
-        out.append((i, len(w), sum(y in u for y in w), n, base, sum(math.log10(p(x, y)) for x, y in zip([begin, *w], w, strict=False))))
+        base = sum(math.log10((counts[1].get((y,), 0) + 0.1) / (n + 0.1 * (v + 1))) for y in w)
+        marked = [begin, *w]
+        score = sum(math.log10(p(tuple(marked[max(0, j - order + 1) : j]), marked[j])) for j in range(1, len(marked)))
+        out.append((i, len(w), sum((y,) in counts[1] for y in w), n, base, score))
     return out
 
 
-@pytest.mark.parametrize("size", [1_000_000, 200])
-def test_katz_against_plain_model(spark, monkeypatch, size):
+@pytest.mark.parametrize(("order", "size", "split"), [(3, 1_000_000, 1_000_000), (3, 200, 1_000_000), (3, 200, 1), (2, 200, 1_000_000), (4, 700, 1_000_000), (1, 200, 1_000_000)])
+def test_katz_against_plain_model(spark, monkeypatch, order, size, split):
     monkeypatch.setattr(katz, "BATCH_TOKENS", size)
-    rows = [r for r in texts() if r[0] != 60]
+    monkeypatch.setattr(katz, "MOST_SPLIT", split)
+    if size < 1000:
+        monkeypatch.setattr(katz, "GATHER", 1)
+    rows = [r for r in texts() if r[0] != 60] + [(900 + i, "the same words again " * 8, "a") for i in range(7)]
     held = [r[0] is not None and zlib.crc32(str(r[0]).encode()) % 3 == 0 for r in rows]
     from pyspark.sql import functions as F
 
     docs = frame(spark, rows).withColumn("training", F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 0, F.lit(True)))
-    got = katz.score_documents(docs).collect()
+    got = katz.score_documents(docs, order=order).collect()
     key = lambda r: (r[0] is None, r[0] or 0, r[1], round(r[5], 4))
     mine = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got), key=key)
-    for a, b in zip(mine, sorted(plain_katz(rows, held), key=key), strict=True):
+    for a, b in zip(mine, sorted(plain_katz(rows, held, order), key=key), strict=True):
         assert a[:4] == b[:4] and a[4] == pytest.approx(b[4], abs=1e-6) and a[5] == pytest.approx(b[5], abs=1e-6)
 
 
