@@ -1,16 +1,22 @@
 """Token-id files of bit-shuffled planes.
 
-A file holds the ids of one shard of documents in ascending id order:
+A file holds the ids of successive documents in ascending id order (null first;
+equal ids by text), and closes once it has ``FILE_IDS`` ids:
 
     b"KLPLANE1"
     for each block of ``BLOCK`` ids (the last may be shorter): its planes, each
         a zstandard frame; planes of zeros only are left out
     the document table: one zstandard frame of id flags, ids and lengths
-    the chunk index: JSON {"width", "kind", "blocks": [[ids, [[offset, length], ...]], ...], "docs": [offset, length, documents], "shard"}
+    the chunk index: JSON {"width", "kind", "blocks": [[ids, [[offset, length], ...]], ...], "docs": [offset, length, documents]}
     8 bytes: length of the index, little-endian; b"KLPLANE1"
 
 Planes are the four bytes of the ids (kind "byte") or their 32 bits, eight ids a
 byte (kind "bit").  Any block can be read by itself through the index.
+
+Documents are dealt to writers by ranges of id, then of the beginning of the text,
+so that rows of a repeated or null id are spread too, and sorted by the JVM; a
+writer streams and holds one file's ids.  Memory follows the file size and the
+longest text, not the number of documents or of rows of one id.
 """
 
 from __future__ import annotations
@@ -25,15 +31,20 @@ from urllib.parse import urlparse
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinelake.llm.storage import Scratch, arrow_limits
+from kinelake.llm.storage import Scratch, parts
 from kinelake.llm.tokens import encode_documents, worker_encoder
 
 MAGIC = b"KLPLANE1"
 BLOCK = 1 << 16
-SHARD_DOCS = 16_384
+#: Ids after which a file closes, and documents for each writer.
+FILE_IDS = 1 << 22
+WRITER_DOCS = 16_384
+#: Characters of the text that decide, with the id, to which writer a document goes.
+KEY_CHARS = 24
 LEVEL = 1
 
 
@@ -64,7 +75,7 @@ def from_planes(planes: list[bytes], n: int, kind: str) -> np.ndarray:
     return raw.reshape(-1).view("<u4")
 
 
-def write_shard(doc_ids: list[int | None], docs: list[bytes], shard: int, kind: str = "byte") -> bytes:
+def write_shard(doc_ids: list[int | None], docs: list[bytes], kind: str = "byte") -> bytes:
     """A file's bytes; ``docs`` are ids as little-endian unsigned 32-bit integers."""
     pack = zstandard.ZstdCompressor(level=LEVEL)
     out, at, blocks = [MAGIC], len(MAGIC), []
@@ -81,12 +92,12 @@ def write_shard(doc_ids: list[int | None], docs: list[bytes], shard: int, kind:
         block = ids[i : i + BLOCK]
         blocks.append([len(block), [put(p) for p in to_planes(block, kind)]])
     table = bytes(x is not None for x in doc_ids) + np.array([x or 0 for x in doc_ids], dtype="<i8").tobytes() + np.array([len(x) // 4 for x in docs], dtype="<i8").tobytes()
-    index = json.dumps({"width": 4, "kind": kind, "blocks": blocks, "docs": [*put(table), len(docs)], "shard": shard}).encode()
+    index = json.dumps({"width": 4, "kind": kind, "blocks": blocks, "docs": [*put(table), len(docs)]}).encode()
     return b"".join([*out, index, struct.pack("<Q", len(index)), MAGIC])
 
 
-def read_shard(data: bytes) -> tuple[int, list[int | None], np.ndarray, np.ndarray]:
-    """Shard number, document ids, their lengths and all ids of a file."""
+def read_shard(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    """Document ids, their lengths and all ids of a file."""
     if data[:8] != MAGIC or data[-8:] != MAGIC:
         raise ValueError("not a plane file")
     size = struct.unpack("<Q", data[-16:-8])[0]
@@ -97,15 +108,19 @@ def read_shard(data: bytes) -> tuple[int, list[int | None], np.ndarray, np.ndarr
     at, n, docs = index["docs"]
     table = get(at, n)
     doc_ids = [i if known else None for known, i in zip(table[:docs], np.frombuffer(table[docs : 9 * docs], dtype="<i8").tolist(), strict=True)]
-    return index["shard"], doc_ids, np.frombuffer(table[9 * docs :], dtype="<i8"), np.concatenate([np.empty(0, "<u4"), *ids])
+    return doc_ids, np.frombuffer(table[9 * docs :], dtype="<i8"), np.concatenate([np.empty(0, "<u4"), *ids])
 
 
-def put_file(folder: str, name: str, data: bytes) -> None:
-    """Write a file whole or not at all; a repeated task writes the same bytes."""
+def _system(folder: str):
     from pyarrow import fs
 
     parsed = urlparse(folder)
-    system, path = (fs.LocalFileSystem(), parsed.path) if parsed.scheme in ("", "file") else fs.FileSystem.from_uri(folder)
+    return (fs.LocalFileSystem(), parsed.path) if parsed.scheme in ("", "file") else fs.FileSystem.from_uri(folder)
+
+
+def put_file(folder: str, name: str, data: bytes) -> None:
+    """Write a file whole or not at all; a repeated task writes the same bytes."""
+    system, path = _system(folder)
     system.create_dir(path, recursive=True)
     part = f"{path}/.{name}.{uuid.uuid4().hex}"
     with system.open_output_stream(part) as f:
@@ -113,80 +128,81 @@ def put_file(folder: str, name: str, data: bytes) -> None:
     system.move(part, f"{path}/{name}")
 
 
-def write_ids(df: DataFrame, folder: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", *, kind: str = "byte", shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """Tokenise every text into plane files below ``folder``; returns (shard, n_docs, n_ids) rows, not yet run.
+def file_name(part: int, number: int) -> str:
+    return f"part-{part:08d}-{number:06d}.klp"
 
-    Shards are ranges of ids that ascend with the shard number (null first), cut
-    at quantiles of the id; there is one for each ``shard_docs`` documents and at
-    least two for each shuffle partition.  Texts are shuffled once, by shard,
-    and sorted within it by id, then text.
-    """
-    spark = df.sparkSession
-    arrow_limits(spark)
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    shards = max(-(-rows.count() // shard_docs), 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    known = rows.select("id").filter("id is not null")
-    cuts = sorted(set(known.approxQuantile("id", [i / shards for i in range(1, shards)], 1 / (8 * shards)) if shards > 1 else []))
-    cut_list = F.array(*[F.lit(int(c)) for c in cuts]) if cuts else F.array().cast("array<bigint>")
-
-    # The number of cuts below an id, by bisection in a literal array.
-    found = F.when(F.col("id").isNull(), F.lit(0)).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(max(1, len(cuts).bit_length()))), F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi")), lambda a, _: _halve(a, cut_list), lambda a: a["lo"] + 1))
 
-    def write(table: pa.Table) -> pa.Table:
-        shard = table.column("shard")[0].as_py()
-        ids, texts = table.column("id").to_pylist(), table.column("text").to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, texts[i] or ""))
-        docs = encode_documents(worker_encoder(tokenizer_path), [texts[i] for i in order])
-        put_file(folder, f"shard-{shard:08d}.klp", write_shard([ids[i] for i in order], docs, shard, kind))
-        return pa.table({"shard": pa.array([shard], pa.int64()), "n_docs": pa.array([len(docs)], pa.int64()), "n_ids": pa.array([sum(map(len, docs)) // 4], pa.int64())})
+def write_ids(df: DataFrame, folder: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", *, kind: str = "byte", writers: int | None = None, file_ids: int = FILE_IDS) -> DataFrame:
+    """Tokenise every text into plane files below ``folder``; returns (part, number, n_docs, n_ids) of each file, not yet run.
 
-    return rows.withColumn("shard", found.cast("long")).groupBy("shard").applyInArrow(write, "shard bigint, n_docs bigint, n_ids bigint")
+    Files ascend in id by part, then number.  Texts are shuffled once.  Ids are
+    cast to long.
+    """
+    spark = df.sparkSession
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if not writers:
+        writers = max(-(-rows.count() // WRITER_DOCS), 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, part, number = worker_encoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        ids, docs, size = [], [], 0
+
+        def close() -> pa.RecordBatch:
+            nonlocal number, size
+            put_file(folder, file_name(part, number), write_shard(ids, docs, kind))
+            row = pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (part, number, len(docs), size)], names=["part", "number", "n_docs", "n_ids"])
+            ids.clear()
+            docs.clear()
+            number, size = number + 1, 0
+            return row
 
+        for b in batches:
+            for i, d in zip(b.column(0).to_pylist(), encode_documents(encoder, b.column(1).to_pylist()), strict=True):
+                ids.append(i)
+                docs.append(d)
+                size += len(d) // 4
+                if size >= file_ids:
+                    yield close()
+        if docs:
+            yield close()
 
-def _halve(a, cuts):
-    mid = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
-    done = a["lo"] >= a["hi"]
-    right = F.get(cuts, mid) <= F.col("id")
-    return F.struct(
-        F.when(~done & right, mid + 1).otherwise(a["lo"]).alias("lo"),
-        F.when(~done & ~right, mid).otherwise(a["hi"]).alias("hi"),
-    )
+    first = F.col("id").asc_nulls_first()
+    dealt = rows.repartitionByRange(writers, first, F.substring("text", 1, KEY_CHARS)).sortWithinPartitions(first, "text")
+    return dealt.mapInArrow(write, "part bigint, number bigint, n_docs bigint, n_ids bigint")
 
 
-def read_ids(df_manifest: DataFrame, folder: str) -> DataFrame:
-    """Documents of the files below ``folder``: doc_id, start, n_tokens, ids_crc32.
+def read_ids(manifest: DataFrame, folder: str) -> DataFrame:
+    """Documents of the files of a written ``manifest``: doc_id, start, n_tokens, ids_crc32.
 
-    ``start`` counts the ids of all documents before, over all shards.
+    ``start`` counts the ids of all documents before, over all files.
     """
-    spark = df_manifest.sparkSession
-    arrow_limits(spark, rows=8)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for data in b.column(0).to_pylist():
-                shard, doc_ids, lengths, ids = read_shard(data)
-                ends = np.cumsum(lengths)
-                starts = ends - lengths
-                raw = memoryview(ids.tobytes())
-                crc = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(crc), pa.int64()), pa.array(doc_ids, pa.int64()), pa.array(starts), pa.array(lengths), pa.array(crc, pa.int64())], names=["shard", "doc_id", "at", "n_tokens", "ids_crc32"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.klp").load(folder).select("content")
-    base = df_manifest.select("shard", (F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_ids")).alias("base"))
-    docs = files.mapInArrow(read, "shard bigint, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint")
-    return docs.join(base, "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "shard")
+        system, path = _system(folder)
+        for b in parts(batches, 1):
+            part, number, base = (c[0].as_py() for c in b.columns)
+            with system.open_input_stream(f"{path}/{file_name(part, number)}") as f:
+                doc_ids, lengths, ids = read_shard(f.read())
+            ends = np.cumsum(lengths)
+            starts = ends - lengths
+            raw = memoryview(ids.tobytes())
+            crc = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(base + starts), pa.array(lengths), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, 0)
+    files = manifest.select("part", "number", (F.sum("n_ids").over(before) - F.col("n_ids")).alias("base"))  # a row for each file
+    tasks = max(1, min(manifest.count(), 8 * int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return files.repartition(tasks, "part", "number").mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def round_trip(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", *, kind: str = "byte", scratch: Scratch | None = None) -> DataFrame:
     """Write every text's ids and read them back.
 
     Null and empty texts are the end id alone; rows that repeat an id keep their
-    own ids, in order of text; an empty table gives an empty result.
+    own ids, in order of text; a text of any length lies in one file; an empty
+    table gives an empty result; other columns are not read.
     """
     scratch = scratch or Scratch(df.sparkSession)
     folder = scratch.path("planes")
     manifest = scratch.table(write_ids(df, folder, tokenizer_path, id_col, text_col, kind=kind), "manifest")
-    if manifest.isEmpty():
-        kinds = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, shard bigint"
-        return df.sparkSession.createDataFrame([], kinds)
     return read_ids(manifest, folder)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinelake.llm.storage import Scratch, arrow_limits
+from kinelake.llm.storage import Scratch, parts
 from kinelake.llm.tokens import encode_documents, worker_encoder
 
 LENGTH = 1024
@@ -33,7 +33,6 @@ BROADCAST_PARTS = 200_000
 
 def tokenise_partitions(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """part, at (ids before it in its partition), id, n, ids (two or four bytes each) of every row."""
-    arrow_limits(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, at = worker_encoder(tokenizer_path), TaskContext.get().partitionId(), 0
@@ -62,13 +61,12 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
     """Boundary records: ``id_col``, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded_length."""
     scratch = scratch or Scratch(df.sparkSession)
     docs = scratch.table(tokenise_partitions(df, tokenizer_path, id_col, text_col), "tokens")
-    arrow_limits(df.sparkSession)
     totals = docs.groupBy("part").agg(F.max(F.col("at") + F.col("n")).alias("total"))
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
     base = totals.select("part", (F.sum("total").over(ahead) - F.col("total")).alias("base"), F.sum("total").over(Window.partitionBy()).alias("all_tokens"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             of, rows = [], []
             for i, (at, n, raw, whole) in enumerate(zip(b.column("at").to_pylist(), b.column("n").to_pylist(), b.column("ids").to_pylist(), b.column("all_tokens").to_pylist(), strict=True)):
                 ids = memoryview(raw if len(raw) == 4 * n else np.frombuffer(raw, dtype="<u2").astype("<u4").tobytes())

@@ -6,6 +6,9 @@ does a comma or full stop between a word of letters and white space.  A text is
 cut into such chunks, each distinct chunk is encoded by the library and kept in
 a bounded cache, and the ids of a text are those of its chunks in order.  Tests
 hold this against encoding whole texts.
+
+As in the library's plain call, the string of a special token in a text is that
+token: the text is cut there first.  ``special_as_text`` makes it ordinary text.
 """
 
 from __future__ import annotations
@@ -29,21 +32,32 @@ END_ID = 0
 class ChunkEncoder:
     """Ids of texts as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special_as_text: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = {} if special_as_text else self.tokenizer.get_added_tokens_decoder()
+        self.tokenizer.encode_special_tokens = special_as_text
+        if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError("special tokens that take in what stands around them are not supported")
+        self.special = {t.content: np.array([i], dtype="<u4").tobytes() for i, t in added.items()}
+        self.cut = re.compile("(" + "|".join(re.escape(c) for c in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.line_id = self._alone("\n")
         self.cache: dict[str, bytes] = {}
 
+    def _chunks(self, text: str) -> list[str]:
+        """Chunks of a text; special tokens are chunks of their own."""
+        if not any(c in text for c in self.special):
+            return _CHUNK.findall(text)
+        return [c for p in self.cut.split(text) for c in ([p] if p in self.special else _CHUNK.findall(p))]
+
     def _alone(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _encode(self, missing: set[str]) -> dict[str, bytes]:
         """Ids of chunks, each by itself."""
-        plain = [c for c in missing if not c.isspace()]
+        plain = [c for c in missing if not c.isspace() and c not in self.special]
         lines = ["\n".join(plain[i : i + LINES]) + "\n" for i in range(0, len(plain), LINES)]
         ids = np.array([i for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids], dtype="<u4")
         ends = (4 * np.flatnonzero(ids == np.frombuffer(self.line_id, dtype="<u4")[0])).tolist()
@@ -52,14 +66,14 @@ class ChunkEncoder:
             out[c] = raw[at:end]
             at = end + 4
         for c in missing.difference(plain):
-            out[c] = self._alone(c)
+            out[c] = self.special.get(c) or self._alone(c)
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, without an end id."""
         get, found, open_, missing = self.cache.get, [], [], set()
         for t in texts:
-            chunks = _CHUNK.findall(t)
+            chunks = self._chunks(t)
             ids = list(map(get, chunks))
             found.append(ids)
             if None in ids:
@@ -77,14 +91,15 @@ class ChunkEncoder:
         return [b"".join(ids) for ids in found]
 
 
-_encoders: dict[str, ChunkEncoder] = {}
+_encoders: dict[tuple[str, bool], ChunkEncoder] = {}
 
 
-def worker_encoder(path: str) -> ChunkEncoder:
+def worker_encoder(path: str, special_as_text: bool = False) -> ChunkEncoder:
     """One encoder, and so one cache, for each Python worker."""
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+    key = path, special_as_text
+    if key not in _encoders:
+        _encoders[key] = ChunkEncoder(*key)
+    return _encoders[key]
 
 
 def text_groups(texts: list[str | None], size: int = 4 << 20) -> list[list[str]]:

@@ -17,11 +17,10 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: np.array(t.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
-AWKWARD = ["", " ", "\n", "a  b", "a \n b", " a", "a ", "\n\n  x\t\ty\r\n", "it's don't 'S", "word, end. ok.,\nß. É, x.", "日本語 テキスト", "a b  c　", "\x1c\x1d a\x85b", "<|endoftext|> x", "é. x", "1,2. 3", ".,", "a,\n", "a.", "a,b", " ,", "x ​ y", "end\n"]
+AWKWARD = ["", " ", "\n", "a  b", "a \n b", " a", "a ", "\n\n  x\t\ty\r\n", "it's don't 'S", "word, end. ok.,\nß. É, x.", "日本語 テキスト", "a b  c　", "\x1c\x1d a\x85b", "<|endoftext|> x", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>y  <|endoftext|>\n", "<|endoftext|", "é. x", "1,2. 3", ".,", "a,\n", "a.", "a,b", " ,", "x ​ y", "end\n"]
 
 
 def test_chunks_give_the_ids_of_whole_texts(plain):
@@ -32,10 +31,9 @@ def test_chunks_give_the_ids_of_whole_texts(plain):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(st.characters(codec="utf-8"), max_size=20), max_size=6))
+@given(st.lists(st.one_of(st.text(st.characters(codec="utf-8"), max_size=20), st.sampled_from(["<|endoftext|>", " <|endoftext|>", "<|endoftext|> ", "<|endoftext|", "\n<|endoftext|>,"])), max_size=6))
 def test_chunks_on_any_text(parts):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     text = " ".join(parts) + ",".join(parts) + "\n".join(parts)
     encoder = tokens.worker_encoder(PATH)
     assert encoder.encode([text])[0] == np.array(t.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -54,8 +52,8 @@ def test_cache_stays_bounded(monkeypatch):
 def test_plane_file_round_trip(kind):
     rng = np.random.default_rng(1)
     docs = [rng.integers(0, 1 << b, n).astype("<u4").tobytes() for b, n in ((4, 0), (16, 7), (31, 70_001), (1, 3))]
-    shard, ids, lengths, got = bitplane.read_shard(bitplane.write_shard([None, 1, -5, 1 << 60], docs, 9, kind))
-    assert (shard, ids, lengths.tolist()) == (9, [None, 1, -5, 1 << 60], [len(d) // 4 for d in docs]) and got.tobytes() == b"".join(docs)
+    ids, lengths, got = bitplane.read_shard(bitplane.write_shard([None, 1, -5, 1 << 60], docs, kind))
+    assert (ids, lengths.tolist()) == ([None, 1, -5, 1 << 60], [len(d) // 4 for d in docs]) and got.tobytes() == b"".join(docs)
     with pytest.raises(ValueError):
         bitplane.read_shard(b"x" * 40)
 
@@ -71,12 +69,35 @@ def expected(plain, rows):
 
 
 def test_ids_are_written_and_read_back(spark, plain):
-    rows = texts()
+    rows = [*texts(), (70, "a <|endoftext|> b", "a")]
     got = bitplane.round_trip(frame(spark, rows), PATH).collect()
     assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got), key=lambda r: r[1]) == expected(plain, rows)
     assert bitplane.round_trip(frame(spark, rows).limit(0), PATH).count() == 0
 
 
+def test_special_tokens_can_be_ordinary_text():
+    t = Tokenizer.from_file(PATH)
+    t.encode_special_tokens = True
+    text = "a <|endoftext|> b"
+    assert tokens.ChunkEncoder(PATH, True).encode([text])[0] == np.array(t.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+def test_one_id_repeated_is_spread_over_writers_and_files(spark, plain, tmp_path):
+    # A third of the rows share an id, another third have none.
+    kinds = spark.range(100_000).selectExpr("case id % 3 when 0 then 5 when 1 then null else id end as doc_id", "concat('w', id % 997, ' text') as text")
+    folder = f"file://{tmp_path}/planes"
+    files = bitplane.write_ids(kinds, folder, PATH, writers=12, file_ids=5000).collect()
+    assert sum(f.n_docs for f in files) == 100_000 and len({f.part for f in files}) > 6
+    assert max(f.n_ids for f in files) < 5000 + 10 and max(f.n_docs for f in files) < 3000
+    manifest = spark.createDataFrame(files)
+    got = bitplane.read_ids(manifest, folder).orderBy("start").collect()
+    order = [(r.doc_id is not None, r.doc_id or 0) for r in got]
+    assert order == sorted(order) and [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+    want = {f"w{k} text": plain(f"w{k} text").tobytes() + b"\0\0\0\0" for k in range(997)}
+    crc = {t: zlib.crc32(b) for t, b in want.items()}
+    assert sorted((r.doc_id or -1, r.ids_crc32) for r in got) == sorted((r.doc_id or -1, crc[r.text]) for r in kinds.collect())
+
+
 def test_packing_cuts_every_id_once(spark, plain):
     rows = [r for r in texts() if r[0] not in (61, 62)]
     got = packing.pack(frame(spark, rows), PATH, length=64).collect()
