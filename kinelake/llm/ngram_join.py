@@ -17,16 +17,22 @@ Copies with equal sets are one node.  The join over the nodes:
   candidates that survive l matches (at most their sum over l).  A pair needs
   min(l, l') matches at levels up to it before it is verified.
 * Postings with up to ``SMALL`` documents meet in an equi-join and are counted
-  by pair.  Longer ones are verified in place, in blocks of ``BLOCK`` documents
-  against each other, with early union inside a block pair: their pairs are
-  never listed.  Because those matches are not counted, a pair's required
-  matches fall by the number of long postings its documents are in.
+  by pair.  Longer ones are verified in place and their pairs never listed.
+  First each member meets the posting's first one; the links so far give early
+  classes.  What is left are pairs of different classes: a class that fills
+  blocks of ``BLOCK`` documents of its own meets the other classes' blocks only,
+  the rest are dealt into mixed blocks, and blocks are compared with early union.
+  So a posting whose members are mostly near copies of each other is sent once
+  for each block of the others.  Long texts count as several documents of a
+  block.  Because these matches are not counted, a pair's required matches fall
+  by the number of long postings its documents are in.
 * Candidates pass an exact upper bound on the overlap (differing bits of set
   bitmaps), then the sets are compared, rebuilt from the texts of those
   documents only.
 
 Nulls: a null text is empty, a null id is never smaller than another id.  Rows
-that repeat an id are separate documents of that id.  Other columns are not read.
+that repeat an id are separate documents of that id.  Texts of any length give
+their whole set.  An empty table gives an empty one.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -40,12 +46,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinelake.llm.components import connected_components
-from kinelake.llm.storage import Scratch, arrow_limits
+from kinelake.llm.storage import Scratch, bounded
 from kinelake.llm.text import as_bytes, hash_words, mix, window_hash
 
 TABLE = 1 << 17
 MOST = 6
 SMALL, BLOCK = 128, 512
+#: Shingles that count as one document of a block.
+UNIT = 1024
 #: A shingle's occurrences in a batch of documents from which the batch reports it, and in all reports to count as frequent.
 LOCAL, FREQUENT = 4, 16
 FILTER_BITS = 20
@@ -245,15 +253,66 @@ def _both(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
     return pairs.join(x, "a").join(y, "b")
 
 
+def deal_blocks(members: DataFrame) -> DataFrame:
+    """(token, i, j, node): members of each posting for every pair of blocks that may hold links of different classes.
+
+    ``members``: token, node, n (shingles), class.  A class that fills a block has
+    blocks of its own; all others of a posting share mixed ones.
+    """
+    weight = F.greatest(F.lit(1), F.ceil(F.col("n") / UNIT))
+    sizes = members.groupBy("token", "class").agg(F.sum(weight).alias("w"))
+    large = F.when(F.col("w") >= BLOCK, F.col("class")).alias("group")  # NULL: mixed
+    groups = sizes.select("token", large, "w").groupBy("token", "group").agg(F.ceil(F.sum("w") / BLOCK).cast("int").alias("own"))
+    # One row for each large class of a posting, and one for all others.
+    listed = groups.groupBy("token").agg(F.sort_array(F.collect_list(F.struct(F.col("group").isNull().alias("mixed"), "group", "own"))).alias("groups"), F.sum("own").cast("int").alias("blocks"), F.max(F.col("group").isNull()).alias("any_mixed"))
+    listed = listed.filter((F.size("groups") > 1) | F.col("any_mixed"))
+    upto = F.transform("groups", lambda g, k: F.aggregate(F.slice("groups", F.lit(1), k), F.lit(0), lambda t, x: t + x["own"]))
+    ranges = listed.select("token", "blocks", F.explode(F.arrays_zip("groups", upto.alias("low"))).alias("g")).select("token", "blocks", F.col("g.groups.group").alias("group"), F.col("g.groups.own").alias("own"), F.col("g.low").alias("low"))
+    member = members.join(sizes, ["token", "class"]).select("token", "node", large)
+    here = member.join(ranges.withColumnRenamed("token", "t").withColumnRenamed("group", "h"), (F.col("token") == F.col("t")) & F.col("group").eqNullSafe(F.col("h")))
+    here = here.withColumn("at", F.col("low") + F.pmod(F.xxhash64("node"), F.col("own")).cast("int"))
+    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    others = F.when(F.col("group").isNull(), others).otherwise(F.filter(others, lambda x: (x < F.col("low")) | (x >= F.col("low") + F.col("own"))))
+    met = here.select("token", "node", "at", F.explode(others).alias("other"))
+    return met.select("token", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "node")
+
+
+def _hot_links(hot: DataFrame, nodes: DataFrame, sets: DataFrame, linked: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Links that the long postings (token, node, n) add to those found so far, up to reachability."""
+    # Every member against its posting's first.
+    first = hot.groupBy("token").agg(F.min(F.struct("node", "n")).alias("p")).select("token", F.col("p.node").alias("a"), F.col("p.n").alias("na"))
+    star = hot.select("token", F.col("node").alias("b"), F.col("n").alias("nb")).join(first, "token").filter("a <> b").select("a", "b", "na", "nb").distinct()
+    star = star.filter((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
+    star = scratch.table(_check_pairs(_both(star, nodes, "bits"), percent, exact=False), "star")
+    star = scratch.table(_check_pairs(_both(star, sets, "hashes"), percent, exact=True), "star-linked", rows=500)
+
+    names = connected_components(linked.union(star), scratch, "early")
+    members = scratch.table(hot.join(names, "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("class")), "members")
+    spread = deal_blocks(members).join(sets, "node")
+
+    def in_block(table: pa.Table) -> pa.Table:
+        node = np.sort(table.column("node").to_numpy())
+        order = np.argsort(table.column("node").to_numpy(), kind="stable")
+        hashes = table.column("hashes").to_pylist()
+        root = link_block([np.frombuffer(hashes[i], _U) for i in order], percent)
+        other = root != np.arange(len(root))
+        return pa.table({"a": pa.array(node[root[other]]), "b": pa.array(node[other])})
+
+    return star.union(spread.groupBy("token", "i", "j").applyInArrow(in_block, "a bigint, b bigint"))
+
+
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = 4, percent: int = 85, scratch: Scratch | None = None) -> DataFrame:
-    """A row for every document: ``id_col``, n_shingles, component_id (smallest id reachable by links)."""
+    """A row for every document: ``id_col``, n_shingles, component_id (smallest id reachable by links).
+
+    The result is a table of the scratch folder; the tables it was made from are removed.
+    """
     spark = df.sparkSession
     scratch = scratch or Scratch(spark)
-    arrow_limits(spark)
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     first = scratch.table(_first_pass(docs, n), "first")
-    found = first.filter("kind = 1").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(TABLE).toPandas()
+    with bounded(spark):
+        found = first.filter("kind = 1").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(TABLE).toPandas()
     tokens, counts = found["token"].to_numpy(dtype=np.int64).view(_U), found["n"].to_numpy(dtype=np.int64)
     order = np.argsort(tokens)
 
@@ -288,26 +347,12 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n:
     pairs = pairs.filter(F.col("shared") >= F.greatest(F.lit(1), F.col("want") - F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))))).select("a", "b", "na", "nb")
     pairs = scratch.table(_check_pairs(_both(pairs, nodes, "bits"), percent, exact=False), "pairs")
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(hot.filter("level = 1").select("node")).distinct()
+    hot = hot.filter("level = 1").select("token", "node", "n")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(hot.select("node")).distinct()
     sets = scratch.table(_sets_of(docs, needed.join(reps, "node"), n), "sets")
-    arrow_limits(spark, rows=500)
-    linked = _check_pairs(_both(pairs, sets, "hashes"), percent, exact=True)
-
-    # Long postings: block i against block j; both sides of each pair meet in one group.
-    blocks = F.ceil(F.col("docs") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    spread = hot.filter("level = 1").select("token", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    spread = spread.select("token", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(sets, "node")
-
-    def in_block(table: pa.Table) -> pa.Table:
-        node = np.sort(table.column("node").to_numpy())
-        order = np.argsort(table.column("node").to_numpy(), kind="stable")
-        hashes = table.column("hashes").to_pylist()
-        root = link_block([np.frombuffer(hashes[i], _U) for i in order], percent)
-        other = root != np.arange(len(root))
-        return pa.table({"a": pa.array(node[root[other]]), "b": pa.array(node[other])})
-
-    linked = linked.union(spread.groupBy("token", "i", "j").applyInArrow(in_block, "a bigint, b bigint"))
+    linked = scratch.table(_check_pairs(_both(pairs, sets, "hashes"), percent, exact=True), "linked", rows=500)
+    if not hot.isEmpty():
+        linked = linked.union(_hot_links(hot, nodes, sets, linked, percent, scratch))
 
     names = connected_components(linked, scratch)
     smallest = scratch.table(names.join(reps.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("component")), "smallest")
@@ -315,15 +360,28 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n:
     # tables lets Spark split a large class.
     of_node = names.join(smallest.hint("merge"), "root").select("node", "component")
     named = reps.join(of_node, "node", "left").select("key", F.coalesce("component", "rep").alias("component"))
-    arrow_limits(spark)
-    return first.filter("kind = 0").join(named, "key", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    out = first.filter("kind = 0").join(named, "key", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    out = scratch.table(out, "classes")
+    scratch.keep_only("classes", "rows")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
 
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, scratch: Scratch | None = None, **options) -> DataFrame:
+    """One row of each class: that with the smallest id (null last), of several the first.
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``df`` without the documents of each class but the one with the smallest id; rows that share an id stay or go together."""
-    found = classes(df, id_col, text_col, **options)
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return df.join(gone, id_col, "left_anti").select(*df.columns)
+    Rows without words are classes of their own.  The rows are written once with
+    a row number, so each row is decided by itself, whatever its id; other
+    columns, of any name, stay as they are.
+    """
+    scratch = scratch or Scratch(df.sparkSession)
+    rows = scratch.table(df.select(F.struct(*df.columns).alias("doc"), F.monotonically_increasing_id().alias("uid")), "rows")
+    found = classes(rows.select(F.col("uid").alias("doc_id"), F.col(f"doc.{text_col}").alias("text")), scratch=scratch, **options)
+    ids = rows.select("uid", F.col(f"doc.{id_col}").alias("id"))
+    best = F.min(F.struct(F.col("id").isNull(), "id", "uid"))["uid"]
+    kept = found.join(ids, F.col("doc_id") == F.col("uid")).groupBy("component_id").agg(best.alias("uid")).select("uid")
+    kept = scratch.table(kept, "kept")
+    scratch.drop("classes")
+    return rows.join(kept, "uid", "left_semi").select("doc.*")
 
 
 #: The query in SQL: all pairs that share a shingle, then reachability.

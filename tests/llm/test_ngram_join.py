@@ -58,6 +58,42 @@ def test_against_all_pairs(spark, monkeypatch, small, block):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == plain_classes(rows)
 
 
+def test_a_posting_of_near_copies_is_sent_a_few_times(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 10)
+    # Two large classes, a few small ones, a long text; a posting that is one class.
+    rows = [(1, k, 100, 0) for k in range(200)] + [(1, 200 + k, 100, 200) for k in range(50)] + [(1, 300 + k, 100, 300 + k) for k in range(8)] + [(1, 400, 5 * ngram_join.UNIT, 400)] + [(2, k, 100, 0) for k in range(40)]
+    members = spark.createDataFrame(rows, "token long, node long, n int, class long")
+    dealt = ngram_join.deal_blocks(members).collect()
+    assert {r.token for r in dealt} == {1}
+    groups = {}
+    for r in dealt:
+        groups.setdefault((r.i, r.j), set()).add(r.node)
+    of = {node: c for t, node, _, c in rows if t == 1}
+    together = {(a, b) for g in groups.values() for a in g for b in g if a < b}
+    assert all((a, b) in together for a in of for b in of if a < b and of[a] != of[b])
+    assert not any(i == j and len({of[x] for x in g}) == 1 and len(g) > 1 for (i, j), g in groups.items())
+    assert len(dealt) <= 200 * 7 + 50 * 22 + 9 * 27
+
+
+def test_long_texts_in_one_posting(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SMALL", 2)
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "FREQUENT", 3)
+    monkeypatch.setattr(ngram_join, "LOCAL", 2)
+    rng = random.Random(9)
+    rows = family(rng, 6, 6000, 40, 1000) + family(rng, 6, 6000, 2000, 2000)
+    got = ngram_join.classes(frame(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == plain_classes(rows)
+
+
+def test_keep_one_decides_each_row(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(7, text, "a"), (7, text, "b"), (None, text, "c"), (3, text + " eleven", "a"), (None, "quite another text of some more words", "a"), (None, "quite another text of some more words", "b"), (9, "", "a"), (9, None, "a")]
+    kept = ngram_join.keep_one(frame(spark, rows), n=5, percent=80).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted([(3, text + " eleven"), (0, "quite another text of some more words"), (9, ""), (9, "")])
+    assert kept[0].asDict().keys() == set(frame(spark, rows).columns)
+
+
 def test_keep_one_leaves_one_of_each_class(spark):
     rng = random.Random(2)
     rows = family(rng, 10, 90, 2, 1000) + [(5, None, "a"), (6, "", "b"), (7, "alone in the world of texts", "b")]
