@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinelake.llm.license_rules import MACROS, RULES
-from kinelake.llm.storage import arrow_limits
+from kinelake.llm.storage import parts
 from kinelake.llm.text import as_bytes
 
 #: Fixed values of the query's contract.
@@ -96,7 +96,6 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ``detections`` holds structs (label, first_word, end_word exclusive,
     priority, base, confidence) in text order.
     """
-    arrow_limits(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules = default_rules()
@@ -104,7 +103,7 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for i, r in enumerate(rules):
             groups.setdefault(r.keyword, []).append(i)
         keywords = list(groups.items())
-        for b in batches:
+        for b in parts(batches):
             found = [detect(t, rules, keywords) for t in as_bytes(b.column(1))]
             rows = [[{"label": rules[i].label, "first_word": s, "end_word": e, "priority": rules[i].priority, "base": rules[i].base, "confidence": CONFIDENCE[rules[i].priority]} for s, e, i in x] for _, x in found]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array(rows, pa.list_(_DETECTION))], names=["id", "n_words", "detections"])

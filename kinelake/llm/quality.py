@@ -8,17 +8,17 @@ with more than half of its words in repeated windows.
 
 Lines: each line is normalised (A-Z lower-cased, white space collapsed) and
 hashed.  For each host the distinct documents that hold a line are counted,
-documents with the same lines counting once.  A line in more documents than the
-limit of its host (``max_docs``, or ``max_share`` of the host's distinct
-documents if that is more) is removed everywhere but in the host's first
-document (smallest id) that holds it.  A document is rejected as depleted if
-what remains has fewer than ``min_words`` words or less than ``min_remaining``
-of them.
-
-Two-step counts, each combined before its shuffle; joins are plain equi-joins
-that Spark may split where a key is hot.  Null and empty texts have zero
-measures and fail; a null host is a host of its own; repeated rows are decided
-alike; an empty table gives an empty one; other columns are not read.
+exact copies each for itself.  A line in more than ``max_docs`` documents of a
+host, whatever the host's size, is removed from all of them; with ``keep_first``
+the host's first document (smallest id, null last) keeps it.  A document is
+rejected as depleted if what remains has fewer than ``min_words`` words or less
+than ``min_remaining`` of them.
+
+Counts are combined before their shuffle; joins are plain equi-joins that Spark
+may split where a key is hot.  Null and empty texts have zero measures and fail;
+a null host is a host of its own; each row is a document, so repeated rows count
+and are decided each for itself; texts of any length are measured whole; an
+empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,11 +31,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinelake.llm.storage import Scratch, arrow_limits
+from kinelake.llm.storage import Scratch, parts
 from kinelake.llm.text import _SEP, as_bytes, joined, mix, prefix_hash, slices, span_hash, window_hash, word_spans
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-MAX_DOCS, MAX_SHARE, MIN_REMAINING = 20, 0.01, 0.3
+MAX_DOCS, MIN_REMAINING = 20, 0.3
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 #: Code points that start in a byte and stand in a word.
@@ -114,37 +114,32 @@ def lines_of(text: bytes) -> tuple[int, dict[int, int]]:
 
 
 def measure_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", row_col: str | None = None) -> DataFrame:
-    """``id``, ``host``, ``uid`` (``row_col``, or a new row number), the measures, ``content`` (a hash of the lines) and ``lines`` (hash, words) of every row."""
-    arrow_limits(df.sparkSession)
+    """``id``, ``host``, ``uid`` (``row_col``, or a new row number), the measures and ``lines`` (hash, words) of every row."""
     line = pa.struct([("h", pa.int64()), ("w", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             texts = as_bytes(b.column(2))
             m = measure(texts)
             found = [lines_of(t) for t in texts]
             m["n_dup_lines"] = np.array([n for n, _ in found], dtype=np.int64)
-            content = [xxhash.xxh3_64_intdigest(np.array(sorted(w.items()), dtype=np.int64).tobytes()) - (1 << 63) for _, w in found]
             rows = [[{"h": h, "w": n} for h, n in w.items()] for _, w in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), *(pa.array(m[k]) for k in MEASURES), pa.array(content, pa.int64()), pa.array(rows, pa.list_(line))], names=["id", "host", "uid", *MEASURES, "content", "lines"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), *(pa.array(m[k]) for k in MEASURES), pa.array(rows, pa.list_(line))], names=["id", "host", "uid", *MEASURES, "lines"])
 
     kinds = [df.schema[c].dataType.simpleString() for c in (id_col, host_col)]
     uid = F.col(row_col) if row_col else F.monotonically_increasing_id()
     return df.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"), uid.alias("uid")).mapInArrow(
-        run, f"id {kinds[0]}, host {kinds[1]}, uid bigint, {', '.join(f'{k} bigint' for k in MEASURES)}, content bigint, lines array<struct<h:bigint,w:bigint>>"
+        run, f"id {kinds[0]}, host {kinds[1]}, uid bigint, {', '.join(f'{k} bigint' for k in MEASURES)}, lines array<struct<h:bigint,w:bigint>>"
     )
 
 
-def frequent_lines(docs: DataFrame, max_docs: int, max_share: float, scratch: Scratch) -> DataFrame:
+def frequent_lines(docs: DataFrame, max_docs: int, keep_first: bool) -> DataFrame:
     """The lines to remove from measured documents: ``uid``, ``h`` and ``w`` (words)."""
-    # The empty line stands for the host itself, so one count gives both lines and documents.
-    lines = docs.select("uid", "id", F.coalesce(F.hex(F.encode("host", "UTF-8")), F.lit("-")).alias("host"), "content", F.explode(F.concat(F.array(F.struct(F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("w"))), "lines")).alias("line")).select("uid", "id", "host", "content", "line.h", "line.w")
-    distinct = lines.groupBy("host", "h", "content").agg(F.min("id").alias("first_id"))
-    counted = distinct.groupBy("host", "h").agg(F.count("*").alias("n_docs"), F.min("first_id").alias("first_id")).filter((F.col("n_docs") > max_docs) | (F.col("h") == 0))
-    counted = scratch.table(counted, "frequent")
-    limits = counted.filter("h = 0").select("host", F.greatest(F.lit(float(max_docs)), F.col("n_docs") * max_share).alias("most"))
-    frequent = counted.filter("h <> 0").join(limits, "host").filter("n_docs > most").select("host", "h", "first_id")
-    return lines.filter("h <> 0").join(frequent, ["host", "h"]).filter(~F.col("id").eqNullSafe(F.col("first_id"))).select("uid", "h", "w")
+    lines = docs.select("uid", "id", F.coalesce(F.hex(F.encode("host", "UTF-8")), F.lit("-")).alias("host"), F.explode("lines").alias("line")).select("uid", "id", "host", "line.h", "line.w")
+    first = F.min(F.struct(F.col("id").isNull(), "id", "uid"))["uid"]
+    frequent = lines.groupBy("host", "h").agg(F.count("*").alias("n_docs"), *([first.alias("first")] if keep_first else [])).filter(F.col("n_docs") > max_docs)
+    hit = lines.join(frequent, ["host", "h"])
+    return (hit.filter("uid <> first") if keep_first else hit).select("uid", "h", "w")
 
 
 def _failed(min_words: int, max_repeat_percent: int) -> Column:
@@ -165,26 +160,36 @@ def judge(
     min_words: int = MIN_WORDS,
     max_repeat_percent: int = MAX_REPEAT_PERCENT,
     max_docs: int = MAX_DOCS,
-    max_share: float = MAX_SHARE,
     min_remaining: float = MIN_REMAINING,
+    keep_first: bool = False,
     scratch: Scratch | None = None,
 ) -> DataFrame:
-    """A verdict for every row: ``id_col``, the measures, n_removed_words, base_failed, kept."""
+    """A verdict for every row: ``id_col``, the measures, n_removed_words, base_failed, kept.
+
+    The result is a table of the scratch folder; the tables it was made from are removed.
+    """
     scratch = scratch or Scratch(df.sparkSession)
     docs = scratch.table(measure_documents(df, id_col, text_col, host_col), "measured")
-    removed = frequent_lines(docs, max_docs, max_share, scratch).groupBy("uid").agg(F.sum("w").alias("n_removed_words"))
-    return (
-        docs.drop("lines", "host", "content")
+    removed = frequent_lines(docs, max_docs, keep_first).groupBy("uid").agg(F.sum("w").alias("n_removed_words"))
+    verdicts = (
+        docs.drop("lines", "host")
         .join(removed, "uid", "left")
         .withColumn("n_removed_words", F.coalesce(F.col("n_removed_words"), F.lit(0)).cast("long"))
-        .select(F.col("id").alias(id_col), *MEASURES, "n_removed_words", _failed(min_words, max_repeat_percent).alias("base_failed"), _kept(min_words, max_repeat_percent, min_remaining).alias("kept"))
+        .select("id", *MEASURES, "n_removed_words", _failed(min_words, max_repeat_percent).alias("base_failed"), _kept(min_words, max_repeat_percent, min_remaining).alias("kept"))
     )
+    verdicts = scratch.table(verdicts, "verdicts")
+    scratch.keep_only("verdicts")
+    return verdicts.withColumnRenamed("id", id_col)
 
 
 def keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **options) -> DataFrame:
-    """The rows of ``df`` whose document is kept; rows that share an id stay if one of them is kept."""
-    kept = judge(df, id_col, text_col, host_col, **options).filter("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return df.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The rows of ``df`` whose document is kept; rows that share an id stay if one of them is kept.
+
+    Other columns, of any name, stay as they are.
+    """
+    kept = judge(df, id_col, text_col, host_col, **options).filter("kept").select(F.col(id_col).alias("kept_id")).distinct()
+    rows = df.select(F.struct(*df.columns).alias("doc"))
+    return rows.join(kept, F.col(f"doc.{id_col}").eqNullSafe(F.col("kept_id")), "left_semi").select("doc.*")
 
 
 def texts(
@@ -196,38 +201,40 @@ def texts(
     min_words: int = MIN_WORDS,
     max_repeat_percent: int = MAX_REPEAT_PERCENT,
     max_docs: int = MAX_DOCS,
-    max_share: float = MAX_SHARE,
     min_remaining: float = MIN_REMAINING,
+    keep_first: bool = False,
     scratch: Scratch | None = None,
 ) -> DataFrame:
     """The kept rows of ``df``, their texts without the frequent lines; each row is decided by itself.
 
-    Other columns stay as they are.  The rows are written once with a row number
-    and joined on it, so null and shared ids lose or multiply nothing.
+    Other columns, of any name, stay as they are.  The rows are written once with
+    a row number and joined on it, so null and shared ids lose or multiply nothing.
     """
     scratch = scratch or Scratch(df.sparkSession)
-    rows = scratch.table(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    docs = scratch.table(measure_documents(rows, id_col, text_col, host_col, "_row"), "measured")
-    removed = frequent_lines(docs, max_docs, max_share, scratch).groupBy("uid").agg(F.sum("w").alias("n_removed_words"), F.collect_list("h").alias("_gone"))
+    rows = scratch.table(df.select(F.struct(*df.columns).alias("doc"), F.monotonically_increasing_id().alias("uid")), "rows")
+    docs = scratch.table(measure_documents(rows.select("uid", *(F.col(f"doc.{c}").alias(k) for c, k in ((id_col, "id"), (text_col, "text"), (host_col, "host")))), "id", "text", "host", "uid"), "measured")
+    removed = frequent_lines(docs, max_docs, keep_first).groupBy("uid").agg(F.sum("w").alias("n_removed_words"), F.collect_list("h").alias("gone"))
     kept = (
         docs.select("uid", "n_words", "n_repeat_words")
         .join(removed, "uid", "left")
         .withColumn("n_removed_words", F.coalesce(F.col("n_removed_words"), F.lit(0)))
         .filter(_kept(min_words, max_repeat_percent, min_remaining))
-        .select(F.col("uid").alias("_row"), "_gone")
+        .select("uid", "gone")
     )
+    kept = scratch.table(kept, "kept")
+    scratch.drop("measured")
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            gone = b.column(b.num_columns - 1).to_pylist()
-            b = b.select(list(range(b.num_columns - 1)))
+        for b in parts(batches):
+            gone, columns = b.column(1).to_pylist(), b.column(0).flatten()
             if any(gone):
-                cut = [without_lines(t, set(g)) if g else t for t, g in zip(b.column(at).to_pylist(), gone, strict=True)]
-                b = b.set_column(at, b.schema.field(at), pa.array(cut, b.schema.field(at).type))
-            yield b
+                cut = [without_lines(t, set(g)) if g else t for t, g in zip(columns[at].to_pylist(), gone, strict=True)]
+                columns[at] = pa.array(cut, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.join(kept, "_row").select(*df.columns, "_gone").mapInArrow(run, df.schema)
+    names = df.columns
+    return rows.join(kept, "uid").select("doc", "gone").mapInArrow(run, df.schema)
 
 
 #: The query in SQL, for ids that name one row each.
@@ -245,12 +252,8 @@ WITH d AS (SELECT doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') A
   SELECT doc_id, host, h, sum(n) AS n FROM (
     SELECT doc_id, host, translate(array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS h, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM worded)
   GROUP BY doc_id, host, h
-), content AS (SELECT w.doc_id, w.host, md5(coalesce(string_agg(h || chr(31) || n, chr(30) ORDER BY h), '')) AS content FROM w LEFT JOIN lines USING (doc_id) GROUP BY w.doc_id, w.host
-), hosts AS (SELECT host, count(DISTINCT content) AS docs FROM content GROUP BY host
-), often AS (
-  SELECT l.host, l.h, min(l.doc_id) AS first_id FROM lines l JOIN content c USING (doc_id) JOIN hosts ON hosts.host = l.host
-  GROUP BY l.host, l.h, hosts.docs HAVING count(DISTINCT content) > greatest(20, hosts.docs * 0.01)
-), gone AS (SELECT l.doc_id, sum(l.n) AS n FROM lines l JOIN often o ON o.host = l.host AND o.h = l.h WHERE l.doc_id <> o.first_id GROUP BY l.doc_id
+), often AS (SELECT host, h FROM lines GROUP BY host, h HAVING count(DISTINCT doc_id) > 20
+), gone AS (SELECT l.doc_id, sum(l.n) AS n FROM lines l JOIN often o ON o.host = l.host AND o.h = l.h GROUP BY l.doc_id
 ), m AS (
   SELECT w.doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(cover.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS n_removed_words

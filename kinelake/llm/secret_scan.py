@@ -12,7 +12,9 @@ path are not, nor is a string that reads both as an identifier and as a value.
 
 Spans are in code points, end exclusive.  Every text is scanned by itself in an
 Arrow batch, without a shuffle.  Null and empty texts give no span; repeated
-rows give repeated results; other columns are not read.
+rows give repeated results; other columns are not read.  The time a text takes
+grows with its length, whatever it holds: no pattern is tried again from each
+place of a long run.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinelake.llm.storage import arrow_limits
+from kinelake.llm.storage import parts
 
 #: Fixed patterns of the query's contract and the least lengths of a hit.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -41,7 +43,10 @@ STRONG = 3
 # Weak parts, by role.
 ACCESS_PART = re.compile(r"\b(?:AKIA|ASIA|AIDA|AROA)[A-Z0-9]{8,}|(?<![a-z0-9_])(?:access_?key(?:_?id)?|client_?id|account|user(?:name)?|login)\x20*[:=]\x20*[\"']?([A-Za-z0-9@._-]{4,})", re.IGNORECASE | re.ASCII)
 SECRET_PART = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_a-z-]*[A-Z])(?=[0-9+/_A-Z-]*[a-z])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])|(?<![A-Za-z0-9])[0-9a-f]{12,}(?![A-Za-z0-9])")
-ENDPOINT_PART = re.compile(r"\b(?:https?|s3|postgres(?:ql)?|mysql|mongodb|redis|amqps?|ftp)://[^\s\"'<>]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:amazonaws\.com|windows\.net|googleapis\.com)\b", re.IGNORECASE | re.ASCII)
+URL = re.compile(r"\b(?:https?|s3|postgres(?:ql)?|mysql|mongodb|redis|amqps?|ftp)://[^\s\"'<>]+", re.IGNORECASE | re.ASCII)
+HOST_END = re.compile(r"\.(?:amazonaws\.com|windows\.net|googleapis\.com)\b", re.IGNORECASE | re.ASCII)
+_LABELS = re.compile(r"[a-z0-9-]+(?:\.[a-z0-9-]+)*", re.IGNORECASE | re.ASCII)
+_EDGE = re.compile(r"\b[a-z0-9-]", re.IGNORECASE | re.ASCII)
 _WEAK_HINT = re.compile(r"://|AKIA|ASIA|AIDA|AROA|access_?key|client_?id|account|user|login|amazonaws|windows\.net|googleapis", re.IGNORECASE | re.ASCII)
 SCOPE = 200
 _USER = re.compile(r"[a-z0-9]+://[^\s/?#@]*@", re.IGNORECASE | re.ASCII)
@@ -81,16 +86,48 @@ def near(spans: list[tuple[int, int]], others: list[tuple[int, int]], scope: int
     return found
 
 
+def endpoints(text: str) -> list[tuple[int, int]]:
+    """URLs, and outside them host names of the providers.
+
+    A host name is looked for from its fixed end: each stretch of labels joined by
+    single dots is walked once, and reaches from its first word edge to the last
+    such end in it.
+    """
+    urls = [m.span() for m in URL.finditer(text)]
+    ends = [m.span() for m in HOST_END.finditer(text)]
+    if not ends:
+        return urls
+    out, k, u = list(urls), 0, 0
+    for run in _LABELS.finditer(text):
+        last = None
+        while k < len(ends) and ends[k][0] < run.end():
+            if ends[k][0] > run.start():
+                last = ends[k]
+            k += 1
+        edge = last and _EDGE.search(text, run.start(), last[0])
+        if edge:
+            while u < len(urls) and urls[u][1] <= edge.start():
+                u += 1
+            if u == len(urls) or edge.start() < urls[u][0]:
+                out.append((edge.start(), last[1]))
+        if k == len(ends):
+            break
+    return sorted(out)
+
+
 def inside(text: str, values: list[tuple[int, int]], ends: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Overlap join: the pairs (value, endpoint) where the endpoint holds the value as a part of its own."""
     out, j = [], 0
+    users: dict[int, int] = {}  # where each endpoint's user part ends
     for i, (s, e) in enumerate(values):
         while j < len(ends) and ends[j][1] <= s:
             j += 1
         k = j
         while k < len(ends) and ends[k][0] < e:
-            user = _USER.match(text, *ends[k])
-            if (user and s < user.end()) or text[s - 1 : s] == "=" or _RUN.search(text, s, e):
+            if k not in users:
+                user = _USER.match(text, *ends[k])
+                users[k] = user.end() if user else -1
+            if s < users[k] or text[s - 1 : s] == "=" or _RUN.search(text, s, e):
                 out.append((i, k))
             k += 1
     return out
@@ -100,8 +137,8 @@ def linked_spans(text: str, scope: int = SCOPE) -> list[tuple[int, int, int]]:
     """Weak parts that a complementary part within the scope confirms."""
     if not _WEAK_HINT.search(text):
         return []
-    parts = [[m.span() for m in rx.finditer(text)] for rx in (ACCESS_PART, SECRET_PART, ENDPOINT_PART)]
-    ids, values, ends = parts
+    ids, values = ([m.span() for m in rx.finditer(text)] for rx in (ACCESS_PART, SECRET_PART))
+    ends = endpoints(text)
     if not values or not (ids or ends):
         return []
     held = inside(text, values, ends)
@@ -118,11 +155,10 @@ def find_secrets(text: str, scope: int = SCOPE) -> list[tuple[int, int, int]]:
 
 def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
     """Spans of every text: ``id_col``, spans array of (kind, start, end), by start, then kind."""
-    arrow_limits(df.sparkSession)
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             rows = [[{"kind": KINDS[k], "start": s, "end": e} for s, e, k in find_secrets(t or "", scope)] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(span))], names=["id", "spans"])
 
@@ -135,7 +171,6 @@ def mask_secrets(df: DataFrame, text_col: str = "text", scope: int = SCOPE, mask
 
     Rows, their number and other columns stay; a null text stays null.
     """
-    arrow_limits(df.sparkSession)
     at = df.columns.index(text_col)
 
     def masked(text: str | None) -> str | None:
@@ -151,7 +186,7 @@ def mask_secrets(df: DataFrame, text_col: str = "text", scope: int = SCOPE, mask
         return "".join(out) + text[done:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             yield b.set_column(at, b.schema.field(at), pa.array([masked(t) for t in b.column(at).to_pylist()], b.schema.field(at).type))
 
     return df.mapInArrow(run, df.schema)
