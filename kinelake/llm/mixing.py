@@ -6,9 +6,10 @@ the excess is shared again by weight (water filling, solved in one pass over the
 sources ordered by capacity per weight).
 
 * Pack: each source's documents follow one another in a fixed order, as one row
-  of words cut into blocks of ``block`` words.  Places come from two-level prefix
-  sums: within chunks of a source's documents, then over the chunks' totals, so
-  a source of any size is spread over many tasks.
+  of words cut into blocks of ``block`` words (sources with less than ``block``
+  squared words: of fewer, so that the last block is a small share of any).
+  Places come from two-level prefix sums: within chunks of a source's documents,
+  then over the chunks' totals, so a source of any size is spread over many tasks.
 * Draw: output shards of ``slots`` block slots draw their source for each slot
   from the target shares with hashed uniforms: multinomial counts per shard.
   Draws beyond a source's quota are passed on to sources short of theirs, so
@@ -17,9 +18,11 @@ sources ordered by capacity per weight).
   swap-or-not permutation of the source's block numbers.
 * Join: slots and blocks meet by source and block number.
 
-Every draw is a hash of numbers, so reruns agree.  A null or empty text has size
-zero and is taken zero times; rows that repeat an id are handled each by itself;
-an empty table gives an empty result; other columns are not read.
+Every draw is a hash of numbers, and a document's place follows from its id and
+text, so reruns agree.  A null or empty text has size zero and is taken zero
+times; rows that repeat an id, or have none, are handled each by itself; texts of
+any length are cut in time that grows with their length; an empty table gives an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinelake.llm.storage import Scratch, realistic_sizes
+from kinelake.llm.storage import Scratch, bounded
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -69,35 +72,38 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return levelled.withColumn("target", F.when(F.col("full"), F.col("cap")).otherwise(F.col("weight") * level)).select("source", "key", "source_size", F.col("target").cast("double").alias("target"))
 
 
-def documents_in_order(df: DataFrame, id_col: str, text_col: str, source_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Every document with its place in its source, and the sources with their targets."""
-    realistic_sizes(df.sparkSession)
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    docs = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"))
+def documents_in_order(docs: DataFrame, block: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Every document of ``docs`` (uid, id, text, source) with its place in its source, and the sources with their targets and block sizes."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    docs = docs.select("uid", "id", F.xxhash64("text").alias("mark"), "source", size.alias("size"))
     docs = scratch.table(docs.withColumn("named", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-"))), "sizes")
     by_source = docs.groupBy("source", "named").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     by_source = scratch.table(by_source, "by_source")
-    sources = scratch.table(targets(by_source.select("source", "source_size")).join(by_source.select("named", F.col("source").alias("s"), "n_docs"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "sources")
+    width = F.least(F.lit(block), F.greatest(F.lit(1), F.floor(F.col("source_size") / block))).cast("long")
+    sources = scratch.table(targets(by_source.select("source", "source_size")).join(by_source.select("named", F.col("source").alias("s"), "n_docs"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("width", width), "sources")
 
-    chunk = F.pmod(F.xxhash64(F.lit(SEED + 2), "id"), F.ceil(F.col("n_docs") / CHUNK))
-    docs = docs.join(sources.select("named", "key", "n_docs"), "named").withColumn("chunk", chunk)
-    inside = Window.partitionBy("key", "chunk").orderBy("id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    chunk = F.pmod(F.xxhash64(F.lit(SEED + 2), "id", "mark"), F.ceil(F.col("n_docs") / CHUNK))
+    docs = docs.join(sources.select("named", "key", "n_docs", "width"), "named").withColumn("chunk", chunk)
+    inside = Window.partitionBy("key", "chunk").orderBy("id", "mark", "size", "uid").rowsBetween(Window.unboundedPreceding, 0)
     docs = docs.withColumn("inside", F.sum("size").over(inside) - F.col("size"))
     chunks = docs.groupBy("key", "chunk").agg(F.sum("size").alias("words"))
     ahead = Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
     chunks = chunks.select("key", "chunk", (F.sum("words").over(ahead) - F.col("words")).alias("base"))
-    placed = docs.join(chunks, ["key", "chunk"]).select("id", "key", "size", (F.col("base") + F.col("inside")).alias("start"))
-    return scratch.table(placed, "placed"), sources
+    placed = docs.join(chunks, ["key", "chunk"]).select("uid", "id", "key", "size", "width", (F.col("base") + F.col("inside")).alias("start"))
+    placed = scratch.table(placed, "placed")
+    scratch.drop("sizes", "by_source")
+    return placed, sources
 
 
-def drawn_blocks(sources: DataFrame, scratch: Scratch, block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
+def drawn_blocks(sources: DataFrame, scratch: Scratch, slots: int = SLOTS) -> DataFrame:
     """(key, block, times, first_shard): how often the mix takes each block of a source."""
     spark = sources.sparkSession
-    realistic_sizes(spark)
-    quota = sources.filter("source_size > 0").select("key", F.ceil(F.col("source_size") / block).alias("blocks"), F.least(F.round(F.col("target") / block), 2 * F.ceil(F.col("source_size") / block)).cast("long").alias("quota"))
+    blocks = F.ceil(F.col("source_size") / F.col("width"))
+    quota = sources.filter("source_size > 0").select("key", blocks.alias("blocks"), F.least(F.round(F.col("target") / F.col("width")), 2 * blocks).cast("long").alias("quota"))
     up = Window.orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
     quota = scratch.table(quota.withColumn("upto", F.sum("quota").over(up)), "quota")
-    total = quota.agg(F.max("upto")).first()[0] or 0
+    with bounded(spark):
+        total = quota.agg(F.max("upto")).first()[0] or 0
 
     # Draw: a hashed uniform for each slot, looked up among the cumulative quotas.  Slots
     # are first grouped by the stretch of a fixed grid that the uniform falls in, and a
@@ -132,29 +138,34 @@ def drawn_blocks(sources: DataFrame, scratch: Scratch, block: int = BLOCK, slots
     placed = held.unionByName(passed).repartition(parts, "shard", "key").select("shard", "key", F.explode(F.sequence(F.col("k"), F.col("k") + F.col("n") - 1)).alias("k"))
     placed = placed.join(quota.select("key", "blocks"), "key").withColumn("round", F.floor(F.col("k") / F.col("blocks")))
     placed = placed.select("shard", "key", permuted(F.pmod("k", "blocks"), F.col("blocks"), F.xxhash64("key", "round")).alias("block"))
-    return placed.groupBy("key", "block").agg(F.count("*").alias("times"), F.min("shard").alias("first_shard"))
+    drawn = scratch.table(placed.groupBy("key", "block").agg(F.count("*").alias("times"), F.min("shard").alias("first_shard")), "drawn")
+    scratch.drop("quota", "shard_counts", "kept", "balance")
+    return drawn
 
 
-def taken_pieces(placed: DataFrame, drawn: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(id, key, start, first, words, times): the stretch of each document in each taken block; ``first`` counts words of the document."""
+def taken_pieces(placed: DataFrame, drawn: DataFrame) -> DataFrame:
+    """(uid, size, first, words, times): the stretch of each document in each taken block; ``first`` counts words of the document."""
     end = F.col("start") + F.col("size")
-    pieces = placed.filter("size > 0").select("id", "key", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))).alias("block"))
-    low = F.greatest("start", F.col("block") * block)
-    high = F.least(end, (F.col("block") + 1) * block)
-    pieces = pieces.select("id", "key", "start", "block", (low - F.col("start")).alias("first"), (high - low).alias("words"))
-    return pieces.join(drawn, ["key", "block"]).select("id", "key", "start", "first", "words", "times")
+    pieces = placed.filter("size > 0").select("uid", "key", "start", "size", "width", F.explode(F.sequence(F.floor(F.col("start") / F.col("width")), F.floor((end - 1) / F.col("width")))).alias("block"))
+    low = F.greatest("start", F.col("block") * F.col("width"))
+    high = F.least(end, (F.col("block") + 1) * F.col("width"))
+    pieces = pieces.select("uid", "key", "size", "block", (low - F.col("start")).alias("first"), (high - low).alias("words"))
+    return pieces.join(drawn, ["key", "block"]).select("uid", "size", "first", "words", "times")
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, block: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
-    """For every document: ``id_col``, size, source_size, target, taken."""
+    """For every document: ``id_col``, size, source_size, target, taken.
+
+    The result is a table of the scratch folder; the tables it was made from are removed.
+    """
     scratch = scratch or Scratch(df.sparkSession)
-    placed, sources = documents_in_order(df, id_col, text_col, source_col, scratch)
-    pieces = taken_pieces(placed, drawn_blocks(sources, scratch, block), block)
-    taken = pieces.groupBy("key", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    # Documents with words have a start of their own in their source.
-    with_words = placed.filter("size > 0").join(taken, ["key", "start"], "left")
-    rows = with_words.unionByName(placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long")))
-    return rows.join(sources.select("key", "source_size", "target"), "key").select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    docs = df.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+    placed, sources = documents_in_order(docs, block, scratch)
+    taken = taken_pieces(placed, drawn_blocks(sources, scratch)).groupBy("uid").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    rows = placed.join(taken, "uid", "left").join(sources.select("key", "source_size", "target"), "key")
+    rows = scratch.table(rows.select("id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")), "mixed")
+    scratch.keep_only("mixed")
+    return rows.withColumnRenamed("id", id_col)
 
 
 def mixed_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, block: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
@@ -162,21 +173,25 @@ def mixed_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     A document taken in part keeps the taken stretches in order; one of which
     stretches are taken twice comes in two rows.  Documents not taken are absent.
-    ``n_chars`` follows the text where ``df`` has it.  Rows are found by their id:
-    a null id is never taken, and rows that share an id come with each other's
-    stretches.
+    ``n_chars`` follows the text where ``df`` has it; other columns, of any name,
+    stay as they are.  The rows are written once with a row number and found by
+    it, so null and repeated ids lose or multiply nothing.
     """
     scratch = scratch or Scratch(df.sparkSession)
-    placed, sources = documents_in_order(df, id_col, text_col, source_col, scratch)
-    pieces = taken_pieces(placed, drawn_blocks(sources, scratch, block), block)
-    copies = pieces.select("id", "key", "start", "first", "words", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy"))
-    wanted = copies.groupBy("id", "key", "start", "copy").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("stretches"), F.sum("words").alias("n"))
-    size = placed.select(F.col("id").alias("i"), F.col("key").alias("k"), F.col("start").alias("s"), "size")
-    wanted = wanted.join(size, (F.col("key") == F.col("k")) & (F.col("start") == F.col("s")) & (F.col("size") > 0)).select("id", "copy", F.when(F.col("n") < F.col("size"), F.col("stretches")).alias("stretches"))
-    words = F.regexp_extract_all(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
-    joined = df.join(wanted.withColumnRenamed("id", "_mix_id").withColumnRenamed("copy", "_mix_copy").withColumnRenamed("stretches", "_mix_stretches"), F.col(id_col) == F.col("_mix_id"))
-    part = F.aggregate("_mix_stretches", F.array().cast("array<string>"), lambda a, s: F.concat(a, F.slice(words, (s["first"] + 1).cast("int"), s["words"].cast("int"))))
-    out = joined.withColumn(text_col, F.when(F.col("_mix_stretches").isNull(), F.col(text_col)).otherwise(F.array_join(part, "")))
+    rows = scratch.table(df.select(F.struct(*df.columns).alias("doc"), F.monotonically_increasing_id().alias("uid")), "rows")
+    docs = rows.select("uid", F.col(f"doc.{id_col}").alias("id"), F.col(f"doc.{text_col}").alias("text"), F.col(f"doc.{source_col}").alias("source"))
+    placed, sources = documents_in_order(docs, block, scratch)
+    pieces = taken_pieces(placed, drawn_blocks(sources, scratch))
+    copies = pieces.select("uid", "size", "first", "words", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy"))
+    wanted = copies.groupBy("uid", "copy", "size").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("stretches"), F.sum("words").alias("n"))
+    wanted = scratch.table(wanted.select("uid", F.when(F.col("n") < F.col("size"), F.col("stretches")).alias("stretches")), "wanted")
+    scratch.drop("placed", "drawn", "sources")
+    # The words are an element of an array of one, so that they are listed once a row and not once a stretch.
+    words = F.regexp_extract_all(f"doc.{text_col}", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    cut = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("stretches", lambda s: F.slice(w, (s["first"] + 1).cast("int"), s["words"].cast("int")))), ""))
+    text = F.when(F.col("stretches").isNull(), F.col(f"doc.{text_col}")).otherwise(F.get(cut, F.lit(0)))
+    joined = rows.join(wanted, "uid").select("doc", text.alias("text"))
+    value = {c: F.col(f"doc.{c}") for c in df.columns} | {text_col: F.col("text")}
     if "n_chars" in df.columns:
-        out = out.withColumn("n_chars", F.length(text_col).cast(df.schema["n_chars"].dataType))
-    return out.select(*df.columns)
+        value["n_chars"] = F.length("text").cast(df.schema["n_chars"].dataType)
+    return joined.select(*(v.alias(c) for c, v in value.items()))

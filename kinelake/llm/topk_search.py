@@ -6,7 +6,9 @@ dealt into blocks by a hash of their id, and every query block meets every
 candidate block in one task.  There the candidates' weights are laid out as
 posting lists; each query scatters weight times posting into a dense score array,
 term after term, a partition selection keeps its ``k`` best, and the blocks'
-lists are merged.  Memory is bounded by the block sizes.
+lists are merged.  Memory is bounded by the block sizes.  A side is sent once for
+each block of the other, so blocks grow, up to ``MOST_BLOCK`` rows, while there
+are more block pairs than ``TASKS``.
 
 Scores are exact 64-bit integers; ties go to the smaller id.  Vectors that are
 null or hold null or non-finite components, and rows with a null id, take no
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 SCALE = 256
 K = 5
 QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 8192
+MOST_BLOCK, TASKS = 1 << 16, 1 << 14
 
 
 def integer_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int = SCALE) -> DataFrame:
@@ -38,7 +41,7 @@ def integer_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int = SCALE
 def postings(rows: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each term, the rows that hold it and their weights."""
     length = np.array([len(r) for r in rows], dtype=np.int64)
-    term = np.concatenate([np.arange(n) for n in length]) if len(rows) else np.empty(0, np.int64)
+    term = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
     row, weight = np.repeat(np.arange(len(rows)), length), np.concatenate(rows) if len(rows) else np.empty(0, np.int64)
     use = weight != 0
     order = np.argsort(term[use], kind="stable")
@@ -74,17 +77,30 @@ def search_block(query_ids: np.ndarray, queries: list[np.ndarray], ids: np.ndarr
     return out
 
 
+def block_sizes(n_queries: int, n_candidates: int) -> tuple[int, int]:
+    """Rows of a query block and of a candidate block."""
+    q, c = QUERY_BLOCK, CANDIDATE_BLOCK
+    while -(-n_queries // q) * -(-n_candidates // c) > TASKS and min(q, c) < MOST_BLOCK:
+        q, c = (2 * q, c) if q <= c else (q, 2 * c)
+    return q, c
+
+
 def search(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score for (id, weights) rows on both sides."""
     n_q, n_c = queries.count(), candidates.count()
-    blocks_q, blocks_c = max(1, -(-n_q // QUERY_BLOCK)), max(1, -(-n_c // CANDIDATE_BLOCK))
+    rows_q, rows_c = block_sizes(n_q, n_c)
+    blocks_q, blocks_c = max(1, -(-n_q // rows_q)), max(1, -(-n_c // rows_c))
     own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.select("id", "weights", own(blocks_q).alias("qb"), every(blocks_c).alias("cb")).groupBy("qb", "cb")
     right = candidates.select("id", "weights", own(blocks_c).alias("cb"), every(blocks_q).alias("qb")).groupBy("qb", "cb")
 
+    def vectors(t: pa.Table) -> list[np.ndarray]:
+        lists = t.column("weights").combine_chunks()
+        ends, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+        return [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
     def meet(q: pa.Table, c: pa.Table) -> pa.Table:
-        vectors = lambda t: [np.asarray(w, dtype=np.int64) for w in t.column("weights").to_pylist()]
         found = search_block(q.column("id").to_numpy(), vectors(q), c.column("id").to_numpy(), vectors(c), k) if len(q) and len(c) else []
         columns = list(zip(*found, strict=True)) or [()] * 3
         return pa.table([pa.array(x, pa.int64()) for x in columns], names=["query_id", "vec_id", "score"])
