@@ -25,8 +25,9 @@ are known, answers each batch with counts and back-off weights.  A batch collect
 the answers of all orders and evaluates the recursion token by token.  What a task
 has for one bucket or batch travels as one row.  Histories with a large share of
 the tokens are split over buckets by the next word; their sums, a bounded number,
-are added up and broadcast.  Texts are read once and never shuffled; each phase is
-a table in the shared folder.
+are added up and broadcast.  An order's n-grams are counted in ``ROUNDS`` shares of
+the buckets, so that the shuffle files of one share exist at a time.  Texts are
+read once and never shuffled; each phase is a table in the shared folder.
 
 N-grams are told apart by 64-bit hashes of word numbers.  Ids are cast to long.
 Null and empty texts are the end token alone; repeated rows count and score each
@@ -39,6 +40,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +58,8 @@ BATCH_TOKENS = 1_000_000
 BUCKET_TOKENS = 1_000_000
 #: Bytes of messages that a task gathers before it hands them on.
 GATHER = 32 << 20
+#: Shares of the buckets that are asked one after the other.
+ROUNDS = 2
 #: Largest number of histories of an order that are split over buckets.
 MOST_SPLIT = 1_000_000
 END = np.uint64(0x5EEDED0FD0C5)
@@ -304,9 +308,9 @@ class _Grams:
         at[self.inverse] = np.arange(len(self.token))
         self.times = np.bincount(self.inverse, weights=b.train[self.token], minlength=len(distinct)).astype(_U)
         self.before, at = before[at], self.token[at]
-        self.word, self.lower, self.history = b.number[at], b.counts[-1][at], history[at]
+        self.word, self.lower, self.split = b.number[at], b.counts[-1][at], history[at] >= split_from
         self.divisor = b.history[-1][at] + b.plus[-1][at].astype(_U) if b.history else np.zeros(len(at), _U)
-        bucket = _bucket(np.where(self.history >= split_from, distinct, self.before), buckets)
+        bucket = _bucket(np.where(self.split, distinct, self.before), buckets)
         bits = max(1, int(buckets).bit_length())
         self.order = np.argsort(bucket << _U(64 - bits) | _place(self.before, distinct) >> _U(bits))
         self.cuts = np.searchsorted(bucket[self.order], np.arange(buckets + 1)).tolist()
@@ -323,14 +327,15 @@ def _place(before: np.ndarray, gram: np.ndarray) -> np.ndarray:
     return (before & ~low) | (gram & low)
 
 
-def _ask_grams(batches: DataFrame, buckets: int, split_from: int) -> DataFrame:
+def _ask_grams(batches: DataFrame, buckets: int, split_from: int, turn: int) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         post = _Post()
         for b in rows:
             for r in b.to_pylist():
                 g = _Batch(r).grams(buckets, split_from)
                 for k, at in g.requests():
-                    post.add(k, r["key"], [squeeze(g.before[at], True), *(squeeze(x[at]) for x in (g.word, g.times, g.lower, g.divisor, g.history))])
+                    if k % ROUNDS == turn:
+                        post.add(k, r["key"], [squeeze(g.before[at], True), *(squeeze(x[at]) for x in (g.word, g.times, g.lower, g.divisor)), _bits(g.split[at])])
                 del g
                 yield from post.flush(GATHER)
         yield from post.flush()
@@ -338,81 +343,89 @@ def _ask_grams(batches: DataFrame, buckets: int, split_from: int) -> DataFrame:
     return batches.mapInArrow(run, _ROW)
 
 
-def _count_grams(table: pa.Table) -> pa.Table:
-    """A bucket's part of an order's table (histories, words, counts, counts of the lower order, its divisors, counts of the histories) and the places of each batch's n-grams in it."""
-    bucket = table.column("key")[0].as_py()
-    asked = _messages(table.to_pylist(), 6)
-    before = [unsqueeze(m[0], True) for _, m in asked]
-    sizes = [len(x) for x in before]
-    before = np.concatenate(before)
-    word, times, lower, divisor, history = (np.concatenate([unsqueeze(m[c]) for _, m in asked]) for c in range(1, 6))
-    order = np.argsort(_place(before, mix(before * _FACTOR + word)))
-    b, w = before[order], word[order]
-    new = np.concatenate([[True], (b[1:] != b[:-1]) | (w[1:] != w[:-1])])
-    place = np.empty(len(order), dtype=_U)
-    place[order] = np.cumsum(new) - 1
-    new = np.flatnonzero(new)
-    times = np.add.reduceat(times[order], new)
-    first = order[new]
-    stats = [int((times == r).sum()) for r in range(1, K + 2)]
-    own = [squeeze(before[first], True), squeeze(word[first]), squeeze(times), *(squeeze(x[first]) for x in (lower, divisor, history))]
-    places = [squeeze(x, True) for x in np.split(place, np.cumsum(sizes)[:-1])]
-    return _rows([(bucket, 1, [i for i, _ in asked], own + places, stats)])
+def _runs(before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of n-grams by history, and where each history begins in it."""
+    by = np.argsort(before, kind="stable")
+    b = before[by]
+    return by, np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+
+
+def _count_grams(model: Model, order: int):
+    def count(table: pa.Table) -> pa.Table:
+        """A bucket's part of an order's table (histories, words, counts, which are split, p of the successors one order lower where it is needed) and the places of each batch's n-grams in it."""
+        bucket = table.column("key")[0].as_py()
+        asked = _messages(table.to_pylist(), 6)
+        before = [unsqueeze(m[0], True) for _, m in asked]
+        sizes = [len(x) for x in before]
+        split = np.concatenate([_flags(m[5], n) for (_, m), n in zip(asked, sizes, strict=True)])
+        before = np.concatenate(before)
+        word, times = (np.concatenate([unsqueeze(m[c]) for _, m in asked]) for c in (1, 2))
+        by = np.argsort(_place(before, mix(before * _FACTOR + word)))
+        b, w = before[by], word[by]
+        new = np.concatenate([[True], (b[1:] != b[:-1]) | (w[1:] != w[:-1])])
+        place = np.empty(len(by), dtype=_U)
+        place[by] = np.cumsum(new) - 1
+        new = np.flatnonzero(new)
+        times, first = np.add.reduceat(times[by], new), by[new]
+        before, word, split = before[first], word[first], split[first]
+        lower, divisor = (np.concatenate([unsqueeze(m[c]) for _, m in asked])[first] for c in (3, 4))
+        below = model.word_probability(lower) if order == 2 else model.left(order - 1, lower) / np.maximum(divisor, 1)
+
+        by, at = _runs(before)
+        successors = np.add.reduceat(np.where(times > 0, below, 0.0)[by], at)
+        needed = np.logical_or.reduceat((split | (times == 0))[by], at)
+        stats = [int((times == r).sum()) for r in range(1, K + 2)]
+        own = [squeeze(before, True), squeeze(word), squeeze(times), _bits(split), squeeze(np.where(needed, successors, 0.0))]
+        places = [squeeze(x, True) for x in np.split(place, np.cumsum(sizes)[:-1])]
+        return _rows([(bucket, 1, [i for i, _ in asked], own + places, stats)])
+
+    return count
 
 
 class _Table:
     """A bucket's part of an order's table, and the sums of its histories."""
 
     def __init__(self, row: dict, model: Model, order: int) -> None:
-        before, _, times, lower, divisor, history, *self.places = row["data"]
+        before, _, times, split, successors, *self.places = row["data"]
         self.batches = row["ids"]
-        self.before, self.times, self.history = unsqueeze(before, True), unsqueeze(times), unsqueeze(history)
-        lower = unsqueeze(lower)
-        below = model.word_probability(lower) if order == 2 else model.left(order - 1, lower) / np.maximum(unsqueeze(divisor), 1)
-        by = np.argsort(self.before, kind="stable")
-        b = self.before[by]
-        new = np.concatenate([[True], b[1:] != b[:-1]])
+        before, self.times = unsqueeze(before, True), unsqueeze(times)
+        by, at = _runs(before)
         self.run = np.empty(len(by), dtype=np.int64)
-        self.run[by] = np.cumsum(new) - 1
-        at = np.flatnonzero(new)
+        self.run[by] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(by))))
         add = lambda x: np.add.reduceat(x[by], at)
-        seen = self.times > 0
-        self.key, self.of = b[at], self.history[by[at]]
-        #: Discounted tokens, p of the successors one order lower, successors that can be discounted.
-        self.sums = [add(model.left(order, self.times)), add(np.where(seen, below, 0.0)), add((seen & (self.times <= K)).astype(float))]
+        self.key, self.split = before[by[at]], _flags(split, len(by))[by[at]]
+        #: Tokens, discounted tokens, p of the successors one order lower, successors that can be discounted.
+        self.sums = [add(self.times.astype(float)), add(model.left(order, self.times)), unsqueeze(successors, dtype=np.float64).copy(), add(((self.times > 0) & (self.times <= K)).astype(float))]
 
 
-def _split_sums(grams: DataFrame, model: Model, order: int, split_from: int) -> tuple[np.ndarray, list[np.ndarray]]:
+def _split_sums(grams: DataFrame, model: Model, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Keys of the split histories, ascending, and their sums over the buckets."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             for r in b.to_pylist():
                 t = _Table(r, model, order)
-                own = t.of >= split_from
-                yield pa.RecordBatch.from_arrays([pa.array(t.key[own].view(np.int64)), *(pa.array(x[own]) for x in t.sums)], names=["history", "a", "b", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(t.key[t.split].view(np.int64)), *(pa.array(x[t.split]) for x in t.sums)], names=["history", "a", "b", "c", "d"])
 
-    sums = grams.mapInArrow(run, "history bigint, a double, b double, c double").groupBy("history").agg(*(F.sum(c).alias(c) for c in "abc")).toPandas()
+    sums = grams.mapInArrow(run, "history bigint, a double, b double, c double, d double").groupBy("history").agg(*(F.sum(c).alias(c) for c in "abcd")).toPandas()
     key = sums["history"].to_numpy(dtype=np.int64).view(_U)
     by = np.argsort(key)
-    return key[by], [sums[c].to_numpy(dtype=float)[by] for c in "abc"]
+    return key[by], [sums[c].to_numpy(dtype=float)[by] for c in "abcd"]
 
 
-def _answer_grams(grams: DataFrame, model: Model, order: int, split_from: int, split) -> DataFrame:
+def _answer_grams(grams: DataFrame, model: Model, order: int, split) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         post = _Post()
         for b in rows:
             for r in b.to_pylist():
                 t = _Table(r, model, order)
                 keys, sums = split.value
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, t.key), len(keys) - 1)
-                    whole = (keys[at] == t.key) & (t.of >= split_from)
-                    for own, all_ in zip(t.sums, sums, strict=True):
-                        own[whole] = all_[at[whole]]
-                tokens, successors, low = t.sums
+                at = np.searchsorted(keys, t.key[t.split])
+                for own, all_ in zip(t.sums, sums, strict=True):
+                    own[t.split] = all_[at]
+                tokens, left, successors, low = t.sums
                 plus = low == 0
-                alpha = (1 - tokens / np.maximum(t.of + plus, 1)) / (1 - successors)
+                alpha = (1 - left / np.maximum(tokens + plus, 1)) / (1 - successors)
                 for batch, places in zip(t.batches, t.places, strict=True):
                     place = unsqueeze(places, True).astype(np.int64)
                     times, run_ = t.times[place], t.run[place]
@@ -504,17 +517,18 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     split_from = max(1, -(-total // min(8 * buckets, MOST_SPLIT)))
     result = None
     for k in range(2, order + 1):
-        grams = scratch.table(_ask_grams(known, buckets, split_from).groupBy("key").applyInArrow(_count_grams, _ROW), f"grams-{k}", rows=4)
+        shares = [scratch.table(_ask_grams(known, buckets, split_from, t).groupBy("key").applyInArrow(_count_grams(model, k), _ROW), f"grams-{k}-{t}", rows=4) for t in range(ROUNDS)]
+        grams = reduce(DataFrame.union, shares)
         model.orders.append(discounts(np.array(_added(grams, K + 1))))
         with bounded(spark, rows=4):
-            split = spark.sparkContext.broadcast(_split_sums(grams, model, k, split_from))
-        answered = known.unionByName(_answer_grams(grams, model, k, split_from, split)).groupBy("key")
+            split = spark.sparkContext.broadcast(_split_sums(grams, model, k))
+        answered = known.unionByName(_answer_grams(grams, model, k, split)).groupBy("key")
         if k < order:
             known = scratch.table(answered.applyInArrow(_with_level(buckets, split_from), _ROW), f"order-{k}", rows=4)
         else:
             result = answered.applyInArrow(_score_grams(model, buckets, split_from), _RESULT)
             result = scratch.table(result, "scores", rows=4)
-        scratch.drop(f"grams-{k}", f"order-{k - 1}")
+        scratch.drop(*(f"grams-{k}-{t}" for t in range(ROUNDS)), f"order-{k - 1}")
         split.destroy()
     if result is None:
         result = scratch.table(_score_words(known, model), "scores", rows=4)
