@@ -54,10 +54,10 @@ from kinelake.llm.text import as_bytes, hash_words, mix
 
 ORDER = 3
 K = 5
-BATCH_TOKENS = 1_000_000
-BUCKET_TOKENS = 1_000_000
+BATCH_TOKENS = 750_000
+BUCKET_TOKENS = 750_000
 #: Bytes of messages that a task gathers before it hands them on.
-GATHER = 32 << 20
+GATHER = 16 << 20
 #: Shares of the buckets that are asked one after the other.
 ROUNDS = 2
 #: Largest number of histories of an order that are split over buckets.

@@ -234,7 +234,8 @@ def texts(
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     names = df.columns
-    return rows.join(kept, "uid").select("doc", "gone").mapInArrow(run, df.schema)
+    # One kind of join at every size, so that disk grows with the input alone.
+    return rows.join(kept.hint("merge"), "uid").select("doc", "gone").mapInArrow(run, df.schema)
 
 
 #: The query in SQL, for ids that name one row each.

@@ -83,6 +83,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
+        spark._jvm.java.lang.System.gc()  # Spark then removes the shuffle files of plans that nobody holds
         self.root = f"{shared_root(spark)}/kinelake/{uuid.uuid4().hex}"
         system, where = self._place(self.root)
         system.mkdirs(where)
