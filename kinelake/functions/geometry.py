@@ -89,9 +89,9 @@ def line_distance(l0: list[Column], m0: list[Column], l1: list[Column], m1: list
 
 
 def angle_2d(points: list[list[Column]]) -> Column:
-    """Degrees: slope of a segment (2 points), signed angle at the middle (3), or between two segments (4)."""
+    """Degrees: slope of a segment from its second to its first point (2), signed angle at the middle (3), or between two segments (4)."""
     if len(points) == 2:
-        u = difference(points[1], points[0])
+        u = difference(points[0], points[1])
         return F.degrees(F.atan2(u[1], u[0]))
     u, v = _two_segments(points)
     return F.degrees(-F.atan2(u[0] * v[1] - u[1] * v[0], u[0] * v[0] + u[1] * v[1]))

@@ -134,7 +134,7 @@ def kalman(x: np.ndarray, rate: float, trust: float = 500.0, measurement: float
     dt = 1 / rate
     f = np.array([[1, dt, dt * dt / 2], [0, 1, dt], [0, 0, 1]])
     g = np.array([dt * dt / 2, dt, 1])
-    q = np.outer(g, g) * (measurement * trust)
+    q = np.outer(g, g) * (measurement * trust) ** 2
     h, r = np.array([1.0, 0, 0]), measurement**2
 
     def run(v: np.ndarray) -> np.ndarray:
@@ -178,25 +178,24 @@ def one_euro(x: np.ndarray, rate: float, cutoff: float = 4.0, beta: float = 1.5,
     return on_runs(x, lambda v: sweep(sweep(v)[::-1])[::-1], 1)
 
 
-def penalised_spline(y: np.ndarray, smoothing: float) -> np.ndarray:
-    """Smoothing by second differences: minimises |y - s|^2 + smoothing |D s|^2."""
-    return _smoother(len(y), smoothing) @ y
-
-
-def _smoother(n: int, smoothing: float) -> np.ndarray:
-    values, vectors = _difference_modes(n)
-    return (vectors / (1 + smoothing * values)) @ vectors.T
+def smoothing_spline(y: np.ndarray, smoothing: float) -> np.ndarray:
+    """Natural cubic smoothing spline at unit steps: minimises |y - s|^2 + smoothing times the integral of s''^2."""
+    values, vectors = _bending_modes(len(y))
+    return vectors @ (vectors.T @ y / (1 + smoothing * values))
 
 
 _modes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _difference_modes(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _bending_modes(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues and vectors of the bending energy of the natural cubic spline through n values."""
     if n not in _modes:
         d = np.diff(np.eye(n), 2, axis=0)
+        r = (4 * np.eye(n - 2) + np.eye(n - 2, k=1) + np.eye(n - 2, k=-1)) / 6
         if len(_modes) > 8:
             _modes.clear()
-        _modes[n] = np.linalg.eigh(d.T @ d)
+        values, vectors = np.linalg.eigh(d.T @ np.linalg.solve(r, d))
+        _modes[n] = np.maximum(values, 0.0), vectors
     return _modes[n]
 
 
@@ -209,18 +208,29 @@ def gcv_spline(x: np.ndarray, rate: float, cutoff: float | None = None, factor:
 
     def run(v: np.ndarray) -> np.ndarray:
         if cutoff:
-            return penalised_spline(v, (rate / (2 * math.pi * cutoff)) ** 4 * factor)
+            return smoothing_spline(v, (rate / (2 * math.pi * cutoff)) ** 4 * factor)
         centre = np.median(v)
         spread = 1.4826 * np.median(np.abs(v - centre)) or 1.0
         y = (v - centre) / spread
-        values, vectors = _difference_modes(len(y))
+        values, vectors = _bending_modes(len(y))
         z = vectors.T @ y
-        best = min((10.0**e for e in np.arange(-6, 8.01, 0.25)), key=lambda s: _gcv(values, z, s))
+        score = lambda e: _gcv(values, z, 10.0**e)
+        best = 10.0 ** _least(score, min(np.arange(-6, 8.01, 0.25), key=score), 0.25)
         return vectors @ (z / (1 + best * factor * values)) * spread + centre
 
     return on_runs(x, run, 4, zero_missing=True)
 
 
+def _least(f: Callable[[float], float], at: float, reach: float) -> float:
+    """Where ``f`` is least within ``reach`` of ``at``, by golden sections."""
+    ratio = (math.sqrt(5) - 1) / 2
+    a, b = at - reach, at + reach
+    while b - a > 1e-7:
+        c, d = b - ratio * (b - a), a + ratio * (b - a)
+        a, b = (a, d) if f(c) < f(d) else (c, b)
+    return (a + b) / 2
+
+
 def _gcv(values: np.ndarray, z: np.ndarray, smoothing: float) -> float:
     keep = 1 / (1 + smoothing * values)
     n = len(z)

@@ -91,7 +91,7 @@ def match_by_low_rank(affinity: np.ndarray, groups: list[int], rounds: int = 20,
             mu *= 2
         elif change > 10 * primal:
             mu /= 2
-    return np.where(allowed & (affinity > 0), x, 0.0)
+    return np.where(allowed, x, 0.0)
 
 
 def proposals(matrix: np.ndarray, groups: list[int], min_affinity: float = 0.2, min_cameras: int = 2) -> np.ndarray:
@@ -202,8 +202,8 @@ def associate_one(keypoint: DataFrame, cameras: list[tuple[int, np.ndarray]], fr
 
 
 def suppress_boxes(boxes: np.ndarray, scores: np.ndarray, threshold: float = 0.45) -> list[int]:
-    """Greedy non-maximum suppression: places of the boxes kept, by falling score."""
-    order, kept = list(np.argsort(-scores, kind="stable")), []
+    """Greedy non-maximum suppression: places of the boxes kept, by falling score, ties by coordinates."""
+    order, kept = list(np.lexsort((*boxes.T[::-1], -scores))), []
     while order:
         i = order.pop(0)
         kept.append(int(i))

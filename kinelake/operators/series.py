@@ -125,10 +125,8 @@ def lagged_correlation(df: DataFrame, keys: list[str], frame: str, x: str, y: st
     left = df.select(*keys, F.col(frame).alias("_f"), F.col(x).alias("_x"), F.explode(F.sequence(F.lit(-lags), F.lit(lags - 1))).alias("lag"))
     right = df.select(*keys, F.col(frame).alias("_g"), F.col(y).alias("_y"))
     joined = left.withColumn("_g", F.col("_f") - F.col("lag")).join(right, [*keys, "_g"]).filter("_x is not null and _y is not null")
-    n, sx, sy = F.count("*"), F.sum("_x"), F.sum("_y")
-    cov = F.sum(F.col("_x") * F.col("_y")) - sx * sy / n
-    vx, vy = F.sum(F.col("_x") * F.col("_x")) - sx * sx / n, F.sum(F.col("_y") * F.col("_y")) - sy * sy / n
-    return joined.groupBy(*keys, "lag").agg(n.alias("n"), F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy)).alias("r"))
+    spread = (F.stddev_pop("_x") > 0) & (F.stddev_pop("_y") > 0)
+    return joined.groupBy(*keys, "lag").agg(F.count("*").alias("n"), F.when(spread, F.corr("_x", "_y")).alias("r"))
 
 
 def best_lag(correlations: DataFrame, keys: list[str]) -> DataFrame:

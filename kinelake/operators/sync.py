@@ -23,20 +23,21 @@ def search_window(activity: DataFrame, cameras: DataFrame, frame: str, half_widt
 
 
 def offsets(activity: DataFrame, trial_keys: list[str], frame: str, reference: int, lags: int) -> DataFrame:
-    """trial_keys, cam_id, offset, r: the lag at which each camera's activity fits the reference camera's best."""
+    """trial_keys, cam_id, offset, r: by how many frames each camera runs late, where its activity fits the reference camera's best.
+
+    The reference camera meets the others by trial and frame, in shuffled joins.
+    """
     ref = activity.filter(F.col("cam_id") == reference).select(*trial_keys, frame, F.col("activity").alias("ref"))
     others = activity.filter(F.col("cam_id") != reference).select(*trial_keys, "cam_id", frame, F.col("activity").alias("other"))
     # Every camera meets the reference's frames, with NULL where it has none.
     cams = others.select(*trial_keys, "cam_id").distinct()
-    left = cams.join(ref, trial_keys) if trial_keys else cams.join(F.broadcast(ref))
+    left = cams.join(ref, trial_keys) if trial_keys else cams.join(ref, F.lit(True))  # a row for each camera of the rig
     keys = [*trial_keys, "cam_id"]
     x = left.select(*keys, F.col(frame).alias("_f"), "ref", F.explode(F.sequence(F.lit(-lags), F.lit(lags - 1))).alias("lag"))
     joined = x.withColumn(frame, F.col("_f") - F.col("lag")).join(others, [*keys, frame])
-    n, sx, sy = F.count("*"), F.sum("ref"), F.sum("other")
-    cov = F.sum(F.col("ref") * F.col("other")) - sx * sy / n
-    vx, vy = F.sum(F.col("ref") * F.col("ref")) - sx * sx / n, F.sum(F.col("other") * F.col("other")) - sy * sy / n
-    table = joined.filter("ref is not null and other is not null").groupBy(*keys, "lag").agg(F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy)).alias("r"))
-    return series.best_lag(table, keys).withColumnRenamed("lag", "offset")
+    spread = (F.stddev_pop("ref") > 0) & (F.stddev_pop("other") > 0)
+    table = joined.filter("ref is not null and other is not null").groupBy(*keys, "lag").agg(F.when(spread, F.corr("ref", "other")).alias("r"))
+    return series.best_lag(table, keys).select(*keys, (-F.col("lag")).alias("offset"), "r")
 
 
 def shifted(keypoints: DataFrame, offset_table: DataFrame, trial_keys: list[str], frame: str) -> DataFrame:

@@ -348,7 +348,7 @@ def reproject_distorted(spark, sf_dir):
 
 
 _ANGLES = f"""
-WITH d AS (SELECT vec_id, c0 - c3 AS ux, c1 - c4 AS uy, c2 - c5 AS uz, c6 - c3 AS vx, c7 - c4 AS vy, c8 - c5 AS vz, c3 - c0 AS sx, c4 - c1 AS sy FROM {_points_sql(9)}),
+WITH d AS (SELECT vec_id, c0 - c3 AS ux, c1 - c4 AS uy, c2 - c5 AS uz, c6 - c3 AS vx, c7 - c4 AS vy, c8 - c5 AS vz, c0 - c3 AS sx, c1 - c4 AS sy FROM {_points_sql(9)}),
 a AS (SELECT vec_id, degrees(atan2(sqrt((uy*vz-uz*vy)*(uy*vz-uz*vy) + (uz*vx-ux*vz)*(uz*vx-ux*vz) + (ux*vy-uy*vx)*(ux*vy-uy*vx)), ux*vx + uy*vy + uz*vz)) AS three,
   degrees(-atan2(ux*vy - uy*vx, ux*vx + uy*vy)) AS flat, degrees(atan2(sy, sx)) AS slope FROM d)
 """
@@ -585,57 +585,187 @@ def natural_order(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", place.alias("place"))
 
 
-# Filters and matchings that SQL cannot express.
-
-
-def _filtered(name: str, **options) -> None:
+# Filters: the SQL is written from the filters' definitions.
+
+_NUMBERED = "(SELECT user_id, event_id, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)"
+
+
+def _runs_sql(table: str) -> str:
+    """Runs of values that are not zero in a table (user_id, i, v): user_id, i, v, run, k (place in the run), m (its length)."""
+    return f"""(SELECT user_id, i, v, run, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY user_id, run) AS m
+      FROM (SELECT user_id, i, v, i - row_number() OVER (PARTITION BY user_id ORDER BY i) AS run FROM {table} WHERE v <> 0) WINDOW w AS (PARTITION BY user_id, run ORDER BY i))"""
+
+
+def _butterworth_sql(table: str, cutoff: float, rate: float = 60.0) -> str:
+    """CTEs up to ``z`` (user_id, i, v): second order forward and backward on runs of ten or more, odd extension by nine."""
+    c = float(1 / np.tan(np.pi * cutoff / rate))
+    g = float(1 / (1 + np.sqrt(2) * c + c * c))
+    a1, a2 = 2 * g * (1 - c * c), float(g * (1 - np.sqrt(2) * c + c * c))
+
+    def sweep(name: str, of: str) -> str:
+        # Before its start the filter has seen the first value for ever.
+        return f"""{name} AS (SELECT user_id, run, j, x AS x1, x AS x2, x AS y1, x AS y2 FROM {of} WHERE j = 0
+          UNION ALL SELECT e.user_id, e.run, e.j, e.x, f.x1, {g!r} * (e.x + 2 * f.x1 + f.x2) - {a1!r} * f.y1 - {a2!r} * f.y2, f.y1 FROM {name} f JOIN {of} e ON e.user_id = f.user_id AND e.run = f.run AND e.j = f.j + 1)"""
+
+    return f"""r AS {_runs_sql(table)}, s AS (SELECT * FROM r WHERE m > 9), j AS (SELECT unnest(range(1, 10)) AS p),
+    e AS (SELECT user_id, run, k + 9 AS j, v AS x FROM s
+      UNION ALL SELECT b.user_id, b.run, 9 - p, 2 * a.v - b.v FROM j JOIN s b ON b.k = p JOIN s a ON a.user_id = b.user_id AND a.run = b.run AND a.k = 0
+      UNION ALL SELECT b.user_id, b.run, b.m + 8 + p, 2 * a.v - b.v FROM j JOIN s b ON b.k = b.m - 1 - p JOIN s a ON a.user_id = b.user_id AND a.run = b.run AND a.k = a.m - 1),
+    {sweep("f", "e")},
+    h AS (SELECT user_id, run, max(j) OVER (PARTITION BY user_id, run) - j AS j, y1 AS x FROM f),
+    {sweep("q", "h")},
+    z AS (SELECT r.user_id, r.i, coalesce(q.y1, r.v) AS v FROM r LEFT JOIN q ON q.user_id = r.user_id AND q.run = r.run AND q.j = r.m + 8 - r.k)"""
+
+
+_BUTTERWORTH = f"""WITH RECURSIVE n AS {_NUMBERED}, {_butterworth_sql("n", 6.0)}
+SELECT n.user_id, n.event_id, round(coalesce(z.v, n.v) + 1e-9, 6) AS value FROM n LEFT JOIN z ON z.user_id = n.user_id AND z.i = n.i"""
+
+_ON_SPEED = f"""WITH RECURSIVE n AS {_NUMBERED},
+d0 AS (SELECT user_id, i, v - lag(v) OVER (PARTITION BY user_id ORDER BY i) AS v FROM n),
+d AS (SELECT user_id, i, coalesce(v, max(CASE WHEN i = 1 THEN v END) OVER (PARTITION BY user_id) / 2) AS v FROM d0), {_butterworth_sql("d", 10.0)},
+t AS (SELECT n.user_id, n.event_id, first_value(n.v) OVER w + sum(coalesce(z.v, d.v)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v
+  FROM n JOIN d ON d.user_id = n.user_id AND d.i = n.i LEFT JOIN z ON z.user_id = n.user_id AND z.i = n.i WINDOW w AS (PARTITION BY n.user_id ORDER BY n.i))
+SELECT user_id, event_id, round(v + 1e-9, 6) AS value FROM t"""
+
+_GAUSSIAN = f"""WITH n AS {_NUMBERED}, o AS (SELECT unnest(range(-4, 5)) AS o),
+j AS (SELECT user_id, event_id, exp(-0.5 * o * o) AS w, CASE WHEN i + o < 0 THEN -(i + o) - 1 WHEN i + o >= n THEN 2 * n - 1 - (i + o) ELSE i + o END AS k FROM n CROSS JOIN o)
+SELECT j.user_id, j.event_id, round(sum(w * n.v) / sum(w) + 1e-9, 6) AS value FROM j JOIN n ON n.user_id = j.user_id AND n.i = j.k GROUP BY ALL"""
+
+_LOESS = f"""WITH n AS {_NUMBERED}, l AS (SELECT *, greatest(0, least(i - 2, n - 5)) AS l FROM n),
+p AS (SELECT l.user_id, l.event_id, l.i, b.i AS t, b.v, abs(b.i - l.i) / greatest(l.i - l, l + 4 - l.i)::DOUBLE AS u FROM l JOIN n b ON b.user_id = l.user_id AND b.i BETWEEN l.l AND l.l + 4),
+w AS (SELECT *, CASE WHEN u >= 0.999 THEN 0.0 WHEN u <= 0.001 THEN 1.0 ELSE pow(1 - u * u * u, 3) END AS w FROM p),
+m AS (SELECT *, sum(w * t) OVER g / sum(w) OVER g AS mean, w / sum(w) OVER g AS share FROM w WINDOW g AS (PARTITION BY event_id)),
+s AS (SELECT user_id, event_id, i, any_value(mean) AS mean, sum(share * v) AS level, sum(share * (t - mean) * v) / sum(share * (t - mean) * (t - mean)) AS slope FROM m GROUP BY user_id, event_id, i)
+SELECT s.user_id, s.event_id, round(CASE WHEN n.n > 5 THEN level + slope * (s.i - mean) ELSE n.v END + 1e-9, 6) AS value FROM s JOIN n ON n.event_id = s.event_id"""
+
+_MEDIAN5 = f"""SELECT user_id, event_id, round(list_sort([coalesce(lag(v, 2) OVER w, 0.0), coalesce(lag(v) OVER w, 0.0), v, coalesce(lead(v) OVER w, 0.0), coalesce(lead(v, 2) OVER w, 0.0)])[3] + 1e-9, 6) AS value
+FROM {_NUMBERED} WINDOW w AS (PARTITION BY user_id ORDER BY event_id)"""
+
+_HAMPEL = f"""WITH w AS (SELECT user_id, event_id, v, list(v) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS win FROM {_NUMBERED}),
+m AS (SELECT *, list_sort(win)[4] AS med FROM w), s AS (SELECT *, list_sort(list_transform(win, lambda x: abs(x - med)))[4] AS mad FROM m)
+SELECT user_id, event_id, round(CASE WHEN len(win) = 7 AND mad > 0 AND abs((0.6745 * (v - med)) / mad) > 2 THEN med ELSE v END + 1e-9, 6) AS value FROM s"""
+
+_EURO_STEP = """SELECT user_id, i, r / (r + 1) * v + (1 - r / (r + 1)) * o, s FROM (SELECT *, 2 * pi() * (4.0 + 1.5 * abs(s)) / 60 AS r FROM (
+  SELECT n.user_id, n.i, n.v, f.o, a * (n.v - f.o) * 60 + (1 - a) * f.s AS s FROM {name} f JOIN {of} n ON n.user_id = f.user_id AND n.i = f.i + 1, (SELECT (2 * pi() / 60) / (2 * pi() / 60 + 1) AS a)))"""
+
+_ONE_EURO = f"""WITH RECURSIVE n AS {_NUMBERED},
+f AS (SELECT user_id, i, v AS o, 0.0::DOUBLE AS s FROM n WHERE i = 0 UNION ALL {_EURO_STEP.format(name="f", of="n")}),
+m AS (SELECT n.user_id, n.n - 1 - n.i AS i, f.o AS v FROM f JOIN n ON n.user_id = f.user_id AND n.i = f.i),
+b AS (SELECT user_id, i, v AS o, 0.0::DOUBLE AS s FROM m WHERE i = 0 UNION ALL {_EURO_STEP.format(name="b", of="m")})
+SELECT n.user_id, n.event_id, round(b.o + 1e-9, 6) AS value FROM n JOIN b ON b.user_id = n.user_id AND b.i = n.n - 1 - n.i"""
+
+
+def _kalman_sql(rate: float = 60.0, trust: float = 500.0, measurement: float = 20.0) -> str:
+    """Constant acceleration, process noise (measurement * trust) squared; the covariances depend on the place in a run alone."""
+    dt = 1 / rate
+    h, q, r = dt * dt / 2, (measurement * trust) ** 2, measurement**2
+    # f_ij: F P; a..f: P predicted; then the update.
+    rows = f"a + {dt!r} * b + {h!r} * c AS f00, b + {dt!r} * d + {h!r} * e AS f01, c + {dt!r} * e + {h!r} * f AS f02, b + {dt!r} * c AS f10, d + {dt!r} * e AS f11, e + {dt!r} * f AS f12, c AS f20, e AS f21, f AS f22"
+    ahead = f"f00 + {dt!r} * f01 + {h!r} * f02 + {h * h * q!r} AS pa, f01 + {dt!r} * f02 + {h * dt * q!r} AS pb, f02 + {h * q!r} AS pc, f11 + {dt!r} * f12 + {dt * dt * q!r} AS pd, f12 + {dt * q!r} AS pe, f22 + {q!r} AS pf"
+    step = f"SELECT k, pa - pa * pa / (pa + {r!r}) AS a, pb - pa * pb / (pa + {r!r}) AS b, pc - pa * pc / (pa + {r!r}) AS c, pd - pb * pb / (pa + {r!r}) AS d, pe - pb * pc / (pa + {r!r}) AS e, pf - pc * pc / (pa + {r!r}) AS f, pa / (pa + {r!r}) AS g0, pb / (pa + {r!r}) AS g1, pc / (pa + {r!r}) AS g2"
+    p0 = f"{measurement!r}::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c, {measurement!r}::DOUBLE AS d, 0.0::DOUBLE AS e, {measurement!r}::DOUBLE AS f"
+    inverse = "pd * pf - pe * pe AS i00, pc * pe - pb * pf AS i01, pb * pe - pc * pd AS i02, pa * pf - pc * pc AS i11, pb * pc - pa * pe AS i12, pa * pd - pb * pb AS i22, pa * (pd * pf - pe * pe) - pb * (pb * pf - pc * pe) + pc * (pb * pe - pc * pd) AS det"
+    gain = ", ".join(f"(f0{i} * i0{j} + f1{i} * {'i11' if j == 1 else 'i01' if j == 0 else 'i12'} + f2{i} * i{j}2) / det AS c{i}{j}" if j != 2 else f"(f0{i} * i02 + f1{i} * i12 + f2{i} * i22) / det AS c{i}{j}" for i in range(3) for j in range(3))
+    gain = gain.replace("f2{i} * i{j}2", "")
+    moved = f"s0 + {dt!r} * s1 + {h!r} * s2"
+    return f"""WITH RECURSIVE n AS {_NUMBERED}, r AS {_runs_sql("n")}, u AS (SELECT * FROM r WHERE m > 2),
+    p AS ({step} FROM (SELECT 0 AS k, {ahead} FROM (SELECT {rows} FROM (SELECT {p0})))
+      UNION ALL {step} FROM (SELECT k + 1 AS k, {ahead} FROM (SELECT k, {rows} FROM p WHERE k < (SELECT max(m) FROM u)))),
+    c AS (SELECT k, {gain} FROM (SELECT *, {inverse} FROM (SELECT *, {ahead} FROM (SELECT k, {rows} FROM p)))),
+    v0 AS (SELECT user_id, run, max(CASE WHEN k = 0 THEN v END) AS a, max(CASE WHEN k = 1 THEN v END) AS b, max(CASE WHEN k = 2 THEN v END) AS c FROM u GROUP BY ALL),
+    s AS (SELECT user_id, run, -1::BIGINT AS k, a AS s0, (b - a) / {dt!r} AS s1, (c - 2 * b + a) / {dt * dt!r} AS s2 FROM v0
+      UNION ALL SELECT user_id, run, k, t0 + g0 * (v - t0), t1 + g1 * (v - t0), t2 + g2 * (v - t0) FROM (
+        SELECT u.user_id, u.run, u.k, u.v, g0, g1, g2, {moved} AS t0, s1 + {dt!r} * s2 AS t1, s2 AS t2 FROM s JOIN u ON u.user_id = s.user_id AND u.run = s.run AND u.k = s.k + 1 JOIN p ON p.k = u.k)),
+    b AS (SELECT s.user_id, s.run, s.k, s0, s1, s2 FROM s JOIN (SELECT DISTINCT user_id, run, m FROM u) l ON l.user_id = s.user_id AND l.run = s.run AND s.k = l.m - 1
+      UNION ALL SELECT user_id, run, k, s0 + c00 * d0 + c01 * d1 + c02 * d2, s1 + c10 * d0 + c11 * d1 + c12 * d2, s2 + c20 * d0 + c21 * d1 + c22 * d2 FROM (
+        SELECT s.user_id, s.run, s.k, s.s0, s.s1, s.s2, c.*, b.s0 - (s.s0 + {dt!r} * s.s1 + {h!r} * s.s2) AS d0, b.s1 - (s.s1 + {dt!r} * s.s2) AS d1, b.s2 - s.s2 AS d2
+        FROM b JOIN s ON s.user_id = b.user_id AND s.run = b.run AND s.k = b.k - 1 AND s.k >= 0 JOIN (SELECT k AS ck, * EXCLUDE (k) FROM c) c ON c.ck = s.k))
+    SELECT n.user_id, n.event_id, round(coalesce(b.s0, n.v) + 1e-9, 4) AS value FROM n LEFT JOIN r ON r.user_id = n.user_id AND r.i = n.i LEFT JOIN b ON b.user_id = r.user_id AND b.run = r.run AND b.k = r.k"""
+
+
+def _filtered(name: str, options: dict, sql: str | None = None, digits: int = 6) -> None:
     def run(spark, sf_dir):
-        return filters.smooth(events(spark, sf_dir).select("user_id", "event_id", "value"), ["user_id"], ["event_id"], ["value"], name, 60.0, **options)
+        found = filters.smooth(events(spark, sf_dir).select("user_id", "event_id", "value"), ["user_id"], ["event_id"], ["value"], name, 60.0, **options)
+        return found.withColumn("value", rounded(F.col("value"), digits))
 
     run.__name__ = f"filter_{name}"
-    query()(run)
+    query(sql)(run)
 
 
-for _name, _options in (
-    ("butterworth", {"cutoff": 6.0}),
-    ("butterworth_on_speed", {"cutoff": 10.0}),
-    ("gaussian", {"sigma": 1.0}),
-    ("loess", {"size": 5}),
-    ("median", {"size": 5}),
-    ("kalman", {}),
-    ("one_euro", {}),
-    ("gcv_spline", {}),
-    ("hampel", {"skip_missing": True}),
-    ("interpolate", {"most": 20, "kind": "cubic"}),
-):
-    _filtered(_name, **_options)
+_filtered("butterworth", {"cutoff": 6.0}, _BUTTERWORTH)
+_filtered("butterworth_on_speed", {"cutoff": 10.0}, _ON_SPEED)
+_filtered("gaussian", {"sigma": 1.0}, _GAUSSIAN)
+_filtered("loess", {"size": 5}, _LOESS)
+_filtered("median", {"size": 5}, _MEDIAN5)
+_filtered("kalman", {}, _kalman_sql(), 4)
+_filtered("one_euro", {}, _ONE_EURO)
+_filtered("gcv_spline", {})
+_filtered("hampel", {"skip_missing": True}, _HAMPEL)
+_filtered("interpolate", {"most": 20, "kind": "cubic"})
 
 
-@query()
+# Matchings: the truth is planted in the input, and the SQL states it.
+
+
+def _planted(spark, sf_dir) -> DataFrame:
+    """Eight embeddings a frame: four cameras of two people, whose numbers change places by camera and frame."""
+    i = F.col("vec_id") % 8
+    rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("frame"), F.floor(i / 2).cast("int").alias("cam_id"), (i % 2).cast("int").alias("person_id"))
+    return rows.withColumn("truth", ((F.col("person_id") + F.col("cam_id") * F.col("frame")) % 2).cast("int"))
+
+
+_PLANTED = "(SELECT *, CAST((person_id + cam_id * frame) % 2 AS INTEGER) AS truth FROM (SELECT vec_id // 8 AS frame, CAST((vec_id % 8) // 2 AS INTEGER) AS cam_id, CAST(vec_id % 2 AS INTEGER) AS person_id FROM embeddings))"
+
+
+@query(f"SELECT frame, cam_id, person_id, truth AS of_camera_0 FROM {_PLANTED}")
 def associate_people(spark, sf_dir):
-    rows = _people(spark, sf_dir)
-    names = dict(zip(("c0", "c1", "c2", "c3", "c4", "c5"), ("lx", "ly", "lz", "mx", "my", "mz"), strict=True))
-    return associate.associate_people(associate.ray_pairs(rows.withColumnsRenamed(names), ["frame"], 0.1), rows, ["frame"], [0, 1, 2, 3])
+    """Affinities of the planted people; in every third frame the first and last camera know nothing of each other."""
+    rows = _planted(spark, sf_dir)
+    a = rows.select("frame", F.col("cam_id").alias("cam_a"), F.col("person_id").alias("person_a"), F.col("truth").alias("ta"))
+    b = rows.select("frame", F.col("cam_id").alias("cam_b"), F.col("person_id").alias("person_b"), F.col("truth").alias("tb"))
+    gap = (F.col("frame") % 3 == 0) & (F.col("cam_a") == 0) & (F.col("cam_b") == 3)
+    pairs = a.join(b, "frame").filter("cam_a < cam_b").withColumn("affinity", F.when(gap, 0.0).when(F.col("ta") == F.col("tb"), 0.9).otherwise(0.05))
+    found = associate.associate_people(pairs, rows, ["frame"], [0, 1, 2, 3])
+    first = found.filter("cam_id = 0").select("frame", "proposal", F.col("person_id").alias("of_camera_0"))
+    return found.join(first, ["frame", "proposal"]).select("frame", "cam_id", "person_id", "of_camera_0")
 
 
-@query()
+@query("""
+WITH f AS (SELECT DISTINCT vec_id // 2 AS frame FROM embeddings)
+SELECT frame, 0.0::DOUBLE AS error, CAST(0 AS INTEGER) AS p1, CAST((2 * frame - frame) % 2 AS INTEGER) AS p2, CAST((3 * frame - frame) % 2 AS INTEGER) AS p3, CAST((4 * frame - frame) % 2 AS INTEGER) AS p4 FROM f
+""")
 def associate_one(spark, sf_dir):
+    """Two people well apart in all directions, whose numbers change places by camera and frame."""
     cameras = ring(4)
-    seen = triangulate.observe(points(spark, sf_dir, 3), cameras, ["vec_id"], ["c0", "c1", "c2"])
-    rows = seen.select(F.floor(F.col("vec_id") / 2).alias("frame"), "cam_id", (F.col("vec_id") % 2).cast("int").alias("person_id"), "x", "y", "score")
-    return associate.associate_one(rows, cameras, ["frame"])
+    rows = points(spark, sf_dir, 3).withColumns({c: F.col(c) + by * (F.col("vec_id") % 2) for c, by in (("c0", 1.0), ("c1", 0.9), ("c2", 0.8))})
+    seen = triangulate.observe(rows, cameras, ["vec_id"], ["c0", "c1", "c2"]).withColumn("frame", F.floor(F.col("vec_id") / 2))
+    person = ((F.col("vec_id") + F.col("cam_id") * F.col("frame")) % 2).cast("int")
+    found = associate.associate_one(seen.select("frame", "cam_id", person.alias("person_id"), "x", "y", "score"), cameras, ["frame"])
+    return found.select("frame", F.round("error", 3).alias("error"), *(F.get("persons", F.lit(i)).alias(f"p{i + 1}") for i in range(4)))
 
 
-@query()
+@query("SELECT vec_id // 10 AS frame, CAST((vec_id % 10) // 5 AS INTEGER) AS person_id, CAST(vec_id % 5 AS INTEGER) AS kpt_id, CAST(((vec_id % 10) // 5 + vec_id // 10) % 2 AS INTEGER) AS track_id FROM embeddings")
 def reidentify(spark, sf_dir):
-    rows = _people(spark, sf_dir).filter("cam_id = 0").select(F.lit(1).alias("trial"), "frame", "person_id", "kpt_id", F.col("c0").alias("x"), F.col("c1").alias("y"), F.col("c2").alias("z"))
-    return tracking.reidentify(rows, ["trial"])
+    """Two people five metres apart who change numbers in every frame."""
+    person = F.floor((F.col("vec_id") % 10) / 5).cast("int")
+    frame = F.floor(F.col("vec_id") / 10)
+    rows = points(spark, sf_dir, 3).select(F.lit(1).alias("trial"), frame.alias("frame"), person.alias("person_id"), (F.col("vec_id") % 5).cast("int").alias("kpt_id"), (F.col("c0") + 5.0 * ((person + frame) % 2)).alias("x"), F.col("c1").alias("y"), F.col("c2").alias("z"))
+    return tracking.reidentify(rows, ["trial"]).select("frame", "person_id", "kpt_id", "track_id")
 
 
-@query()
+@query("""
+WITH RECURSIVE b AS (SELECT vec_id, vec_id // 20 AS frame, list_min(xs) AS x0, list_min(ys) AS y0, list_max(xs) AS x1, list_max(ys) AS y1, row_number() OVER (PARTITION BY vec_id // 20 ORDER BY (vec_id * 7) % 20 DESC) AS k
+  FROM (SELECT vec_id, list_transform(embedding[1:16], lambda v: CAST(v AS DOUBLE)) AS xs, list_transform(embedding[17:32], lambda v: CAST(v AS DOUBLE)) AS ys FROM embeddings)),
+r AS (SELECT DISTINCT frame, 0::BIGINT AS k, [] ::STRUCT(vec_id BIGINT, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE)[] AS kept FROM b
+  UNION ALL SELECT b.frame, b.k, CASE WHEN len(list_filter(kept, lambda o: greatest(0, least(o.x1, b.x1) - greatest(o.x0, b.x0)) * greatest(0, least(o.y1, b.y1) - greatest(o.y0, b.y0))
+    > 0.45 * ((o.x1 - o.x0) * (o.y1 - o.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - greatest(0, least(o.x1, b.x1) - greatest(o.x0, b.x0)) * greatest(0, least(o.y1, b.y1) - greatest(o.y0, b.y0))))) = 0
+    THEN list_append(kept, {'vec_id': b.vec_id, 'x0': b.x0, 'y0': b.y0, 'x1': b.x1, 'y1': b.y1}) ELSE kept END FROM r JOIN b ON b.frame = r.frame AND b.k = r.k + 1)
+SELECT unnest(list_transform(arg_max(kept, k), lambda o: o.vec_id)) AS vec_id FROM r GROUP BY frame
+""")
 def non_max_suppression(spark, sf_dir):
-    rows = bbox(spark, sf_dir).select(F.floor(F.col("vec_id") / 20).alias("frame"), "*", F.lit(1.0).alias("score"))
-    return associate.non_max_suppression(rows, ["frame"])
+    doubles = lambda a: F.transform(F.slice("embedding", a, 16), lambda v: v.cast("double"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 20).alias("frame"), *(f(doubles(a)).alias(n) for f, a, n in ((F.array_min, 1, "xmin"), (F.array_min, 17, "ymin"), (F.array_max, 1, "xmax"), (F.array_max, 17, "ymax"))), ((F.col("vec_id") * 7) % 20).cast("double").alias("score"))
+    return associate.non_max_suppression(rows, ["frame"]).select("vec_id")
 
 
 @query()
@@ -645,10 +775,28 @@ def gait_forward_events(spark, sf_dir):
     return gait.alternating(gait.by_forward_coordinates(rows, ["trial"], "frame"), ["trial"])
 
 
-@query()
+#: By how many frames each camera runs late.
+_LATE = {1: 3, 2: -2, 3: 5}
+
+
+def _late(spark, sf_dir) -> DataFrame:
+    """Five keypoints of four cameras that see the same, some later or earlier; frames from 10."""
+    late = F.coalesce(F.create_map(*[F.lit(x) for kv in _LATE.items() for x in kv])[F.col("cam_id")], F.lit(0))
+    rows = points(spark, sf_dir, 3).withColumn("cam_id", F.explode(F.array(*[F.lit(c) for c in (0, *_LATE)])))
+    return rows.select(F.lit(1).alias("trial"), "cam_id", (F.floor(F.col("vec_id") / 5) + 10 + late).alias("frame"), (F.col("vec_id") % 5).cast("int").alias("kpt_id"), F.col("c1").alias("y"))
+
+
+@query("SELECT cam_id, \"offset\", 1.0::DOUBLE AS r FROM (VALUES (1, 3), (2, -2), (3, 5)) t(cam_id, \"offset\")")
 def synchronise(spark, sf_dir):
-    rows = _people(spark, sf_dir).filter("person_id = 0").select(F.lit(1).alias("trial"), "cam_id", "frame", "kpt_id", F.col("c1").alias("y"))
-    return sync.offsets(sync.vertical_activity(rows, ["trial", "cam_id"], "frame"), ["trial"], "frame", 0, 3)
+    found = sync.offsets(sync.vertical_activity(_late(spark, sf_dir), ["trial", "cam_id"], "frame"), ["trial"], "frame", 0, 8)
+    return found.select("cam_id", "offset", F.round("r", 6).alias("r"))
+
+
+@query(f"SELECT CAST(c AS INTEGER) AS cam_id, vec_id // 5 + 10 AS frame, CAST(vec_id % 5 AS INTEGER) AS kpt_id, c1 AS y FROM {_points_sql(3)}, (SELECT unnest([0, 1, 2, 3]) AS c)")
+def synchronised_keypoints(spark, sf_dir):
+    rows = _late(spark, sf_dir)
+    found = sync.offsets(sync.vertical_activity(rows, ["trial", "cam_id"], "frame"), ["trial"], "frame", 0, 8)
+    return sync.shifted(rows, found, ["trial"], "frame").drop("trial")
 
 
 @query()

@@ -66,6 +66,24 @@ def test_kalman_and_one_euro_follow_constants():
     assert np.std(k.one_euro(noisy, 60, beta=0.0)[50:-50]) < 0.2
 
 
+def test_kalman_follows_a_movement():
+    t = np.arange(240) / 60
+    y = np.sin(2 * np.pi * 2 * t) + 3
+    assert np.sqrt(np.mean((k.kalman(y, 60) - y)[30:-30] ** 2)) < 0.006
+
+
+def test_smoothing_spline_minimises_its_energy():
+    y = RNG.normal(size=25)
+    s = k.smoothing_spline(y, 3.0)
+    # Second derivatives of the natural spline through s, and the integral of their squares.
+    n = len(y)
+    r = (4 * np.eye(n - 2) + np.eye(n - 2, k=1) + np.eye(n - 2, k=-1)) / 6
+    bend = lambda v: (m := np.concatenate([[0], np.linalg.solve(r, np.diff(v, 2)), [0]])) @ m / 3 * 2 - (m[0] ** 2 + m[-1] ** 2) / 3 + m[1:] @ m[:-1] / 3
+    energy = lambda v: (y - v) @ (y - v) + 3.0 * bend(v)
+    assert all(energy(s) <= energy(s + 1e-3 * RNG.normal(size=n)) for _ in range(50))
+    assert np.allclose(k.smoothing_spline(y, 0.0), y) and np.allclose(k.smoothing_spline(y, 1e12), np.polyval(np.polyfit(range(n), y, 1), range(n)), atol=1e-4)
+
+
 def test_gcv_spline_keeps_lines_and_smooths_noise():
     line = 1 + 0.1 * np.arange(50)
     assert np.allclose(k.gcv_spline(line, 60), line, atol=1e-6)

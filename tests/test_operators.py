@@ -49,6 +49,16 @@ def test_two_people_are_matched_over_views():
     assert associate.proposals(np.zeros((0, 0)), [0, 0]).shape == (0, 2)
 
 
+def test_completion_fills_unseen_pairs():
+    """Four views of one person; two pairs of views know nothing of each other."""
+    a = np.full((4, 4), 0.9) - 0.9 * np.eye(4)
+    for i, j in ((0, 2), (1, 3)):
+        a[i, j] = a[j, i] = 0.0
+    found = associate.match_by_low_rank(a, [1, 1, 1, 1])
+    assert found[0, 2] > 0.5 and found[1, 3] > 0.5
+    assert associate.proposals(found, [1, 1, 1, 1]).tolist() == [[0, 0, 0, 0]]
+
+
 def test_best_combination_picks_the_same_person():
     cams = ring(4)
     p = np.stack([m for _, m in cams])
@@ -96,9 +106,10 @@ def test_cameras_are_synchronised(spark):
     activity = sync.vertical_activity(df, ["trial", "cam_id"], "frame")
     found = sync.offsets(activity, ["trial"], "frame", 0, 8)
     got = {r.cam_id: r.offset for r in found.collect()}
-    assert got == {1: -4, 2: 3}
-    moved = sync.shifted(df, found.withColumn("offset", -F.col("offset")), ["trial"], "frame")
+    assert got == {1: 4, 2: -3}
+    moved = sync.shifted(df, found, ["trial"], "frame")
     assert moved.filter("frame <= 0").count() == 0
+    assert all(r.y == float(base[r.frame]) for r in moved.collect()) and moved.count() > 190
 
 
 def test_gait_events_take_turns(spark):

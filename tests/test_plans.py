@@ -55,7 +55,7 @@ def test_keypoint_tools(spark):
     flat = keypoints.undistorted(rows.withColumn("cam_id", F.lit(1)), {1: (k, [0.0, 0.0, 0.0, 0.0])}, {1: (1080.0, 1920.0)})
     assert flat.filter("kpt_id = 12").first().x == pytest.approx(5.0, abs=1e-6)
     names = spark.createDataFrame([(0, "RAnkle", 0.0, 0.0, 0.0), (0, "RKnee", 0.0, 1.0, 0.0)], "frame int, marker string, x double, y double, z double")
-    assert [(r.angle, r.degrees) for r in measure.segment_angles(names, ["frame"]).collect()] == [("right shank", -90.0)]
+    assert [(r.angle, r.degrees) for r in measure.segment_angles(names, ["frame"]).collect()] == [("right shank", 90.0)]
 
 
 def test_calibration_recovers_cameras():
