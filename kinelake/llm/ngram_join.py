@@ -250,7 +250,8 @@ def _check_pairs(pairs: DataFrame, percent: int, exact: bool) -> DataFrame:
 def _both(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
     x = values.select(F.col("node").alias("a"), F.col(column).alias("x"))
     y = values.select(F.col("node").alias("b"), F.col(column).alias("y"))
-    return pairs.join(x, "a").join(y, "b")
+    # Merge joins at every size, so that what is shuffled grows with the input alone.
+    return pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b")
 
 
 def deal_blocks(members: DataFrame) -> DataFrame:
