@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinelake.llm.storage import Scratch, bounded
+from kinelake.llm.storage import Scratch, bounded, numbered
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -174,11 +174,10 @@ def mixed_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     A document taken in part keeps the taken stretches in order; one of which
     stretches are taken twice comes in two rows.  Documents not taken are absent.
     ``n_chars`` follows the text where ``df`` has it; other columns, of any name,
-    stay as they are.  The rows are written once with a row number and found by
-    it, so null and repeated ids lose or multiply nothing.
+    stay as they are.  Rows are found by a row number, so null and repeated ids lose or multiply nothing.
     """
     scratch = scratch or Scratch(df.sparkSession)
-    rows = scratch.table(df.select(F.struct(*df.columns).alias("doc"), F.monotonically_increasing_id().alias("uid")), "rows")
+    rows = numbered(df, scratch)
     docs = rows.select("uid", F.col(f"doc.{id_col}").alias("id"), F.col(f"doc.{text_col}").alias("text"), F.col(f"doc.{source_col}").alias("source"))
     placed, sources = documents_in_order(docs, block, scratch)
     pieces = taken_pieces(placed, drawn_blocks(sources, scratch))

@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinelake.llm.components import connected_components
-from kinelake.llm.storage import Scratch, bounded
+from kinelake.llm.storage import Scratch, bounded, numbered
 from kinelake.llm.text import as_bytes, hash_words, mix, window_hash
 
 TABLE = 1 << 17
@@ -363,19 +363,18 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n:
     named = reps.join(of_node, "node", "left").select("key", F.coalesce("component", "rep").alias("component"))
     out = first.filter("kind = 0").join(named, "key", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
     out = scratch.table(out, "classes")
-    scratch.keep_only("classes", "rows")
+    scratch.keep_only("classes", "rows", "files")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, scratch: Scratch | None = None, **options) -> DataFrame:
     """One row of each class: that with the smallest id (null last), of several the first.
 
-    Rows without words are classes of their own.  The rows are written once with
-    a row number, so each row is decided by itself, whatever its id; other
-    columns, of any name, stay as they are.
+    Rows without words are classes of their own.  Each row has a number and is decided by itself,
+    whatever its id; other columns, of any name, stay as they are.
     """
     scratch = scratch or Scratch(df.sparkSession)
-    rows = scratch.table(df.select(F.struct(*df.columns).alias("doc"), F.monotonically_increasing_id().alias("uid")), "rows")
+    rows = numbered(df, scratch)
     found = classes(rows.select(F.col("uid").alias("doc_id"), F.col(f"doc.{text_col}").alias("text")), scratch=scratch, **options)
     ids = rows.select("uid", F.col(f"doc.{id_col}").alias("id"))
     best = F.min(F.struct(F.col("id").isNull(), "id", "uid"))["uid"]

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinelake.llm.storage import Scratch, parts
+from kinelake.llm.storage import Scratch, numbered, parts
 from kinelake.llm.text import _SEP, as_bytes, joined, mix, prefix_hash, slices, span_hash, window_hash, word_spans
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -207,11 +207,11 @@ def texts(
 ) -> DataFrame:
     """The kept rows of ``df``, their texts without the frequent lines; each row is decided by itself.
 
-    Other columns, of any name, stay as they are.  The rows are written once with
-    a row number and joined on it, so null and shared ids lose or multiply nothing.
+    Other columns, of any name, stay as they are.  Rows are joined by a
+    row number, so null and shared ids lose or multiply nothing.
     """
     scratch = scratch or Scratch(df.sparkSession)
-    rows = scratch.table(df.select(F.struct(*df.columns).alias("doc"), F.monotonically_increasing_id().alias("uid")), "rows")
+    rows = numbered(df, scratch)
     docs = scratch.table(measure_documents(rows.select("uid", *(F.col(f"doc.{c}").alias(k) for c, k in ((id_col, "id"), (text_col, "text"), (host_col, "host")))), "id", "text", "host", "uid"), "measured")
     removed = frequent_lines(docs, max_docs, keep_first).groupBy("uid").agg(F.sum("w").alias("n_removed_words"), F.collect_list("h").alias("gone"))
     kept = (

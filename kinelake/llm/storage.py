@@ -18,10 +18,15 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Rows and bytes of the Arrow batches handed to Python while a table is written.
 ROWS, SIZE = 2000, "16m"
+#: Files whose numbers are broadcast to number rows; tables of more files are written with their numbers.
+BROADCAST_FILES = 100_000
+#: Rows of a file have numbers below this.
+FILE_ROWS = 1 << 40
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -117,3 +122,32 @@ class Scratch:
         """Remove everything."""
         system, where = self._place(self.root)
         system.delete(where, True)
+
+
+def _is_file_scan(df: DataFrame) -> bool:
+    """Whether ``df`` is the whole of one Parquet path, so that file and row index name each row once."""
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    return plan.relation().fileFormat().getClass().getSimpleName() == "ParquetFileFormat" and plan.relation().location().rootPaths().length() == 1
+
+
+def numbered(df: DataFrame, scratch: Scratch) -> DataFrame:
+    """``doc`` (all columns of ``df`` as a struct) and ``uid``, a number of its own for each row that is the same in every run.
+
+    In a Parquet table the number follows from the row's place in its file, so no
+    row is copied; only the list of files is written (``files``).  Any other plan
+    is written once with its numbers (``rows``).  Both stay in the scratch folder
+    for as long as the result is read.
+    """
+    doc = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("doc")
+    if _is_file_scan(df):
+        place = df.metadataColumn("_metadata")
+        files = scratch.table(df.select(place["file_path"].alias("file")).distinct(), "paths")
+        if files.count() <= BROADCAST_FILES:
+            files = scratch.table(files.select("file", F.row_number().over(Window.orderBy("file")).cast("long").alias("number")), "files")
+            scratch.drop("paths")
+            rows = df.select(doc, place["file_path"].alias("file"), place["row_index"].alias("row"))
+            return rows.join(F.broadcast(files), "file").select("doc", (F.col("number") * FILE_ROWS + F.col("row")).alias("uid"))
+        scratch.drop("paths")
+    return scratch.table(df.select(doc, F.monotonically_increasing_id().alias("uid")), "rows")

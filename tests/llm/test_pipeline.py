@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from kinelake.llm import secret_scan
-from kinelake.llm.storage import Scratch, bounded, shared_root
+from kinelake.llm.storage import Scratch, bounded, numbered, shared_root
 from tests.llm.cases import frame, texts, words
 
 
@@ -216,3 +216,34 @@ def test_pipeline_against_a_plain_one(spark, tmp_path):
     one_piece = {(r.doc_id, r.ids_crc32) for r in got if r.length == r.doc_tokens}
     assert one_piece <= {(r.doc_id, zlib.crc32(x.tobytes())) for r, x in zip(mixed, ids, strict=True)} and one_piece
     assert re.fullmatch(r"[0-9]+", str(max(r.sequence_id for r in got)))
+
+
+def test_rows_are_numbered_alike_in_every_run(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    made = spark.range(5000).selectExpr("id % 7 as doc_id", "id as file", "id as uid", "'m' as _metadata", "id as row")
+    made.repartition(5).write.parquet(path)
+    scratch = Scratch(spark)
+    of_files = numbered(spark.read.parquet(path), scratch)
+    sizes = [{r.uid: r.doc.file for r in of_files.select("uid", "doc").collect()} for _ in range(2)]
+    assert len(sizes[0]) == 5000 and sizes[0] == sizes[1] and set(sizes[0].values()) == set(range(5000))
+    with bounded(spark):  # other splits, other columns, the same numbers
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+        assert {r.uid: r.f for r in of_files.select("uid", of_files.doc["file"].alias("f")).collect()} == sizes[0]
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    twice = numbered(spark.read.parquet(path, path), Scratch(spark))
+    joined = numbered(spark.read.parquet(path).crossJoin(spark.range(2)), Scratch(spark))
+    for rows in (twice, joined):
+        assert rows.select("uid").distinct().count() == 10_000
+    assert numbered(spark.read.parquet(path).limit(0), Scratch(spark)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["quality_rules", "near_duplicates", "source_mix"])
+def test_stages_read_files_and_frames_alike(spark, tmp_path, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    docs = frame(spark, awkward(random.Random(6)))
+    docs.repartition(3).write.parquet(str(tmp_path / "d"))
+    out = stage(spark, spark.read.parquet(str(tmp_path / "d")), "")
+    # Of rows that share the smallest id of a class, any may stay.
+    assert copies(out.collect(), "doc_id") == copies(stage(spark, docs, "").collect(), "doc_id")
+    (empty := docs.limit(0)).write.parquet(str(tmp_path / "e"))
+    assert stage(spark, spark.read.parquet(str(tmp_path / "e")), "").count() == 0 and empty.columns == out.columns
