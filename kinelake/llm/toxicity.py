@@ -46,11 +46,13 @@ RIDGE = 1.0
 SUPPORTS = (3.0, 4.0, 5.0)
 FOLDS = 3
 THRESHOLD = 0.3
+#: Bytes whose n-grams are hashed at a time: arrays of this length stay in a core's cache.
+STEP = 1 << 16
 _U = np.uint64
 
 
-def _buckets(part: list[bytes], grams: tuple[int, ...], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(text number, bucket) of every n-gram within the texts of ``part``, for each length."""
+def _buckets(part: list[bytes], grams: tuple[int, ...], bits: int, use: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text number, bucket) of every n-gram within the texts of ``part`` whose bucket ``use`` marks (all without it), for each length."""
     data, begin = joined(part)
     sep = _SEP[data]
     keep = ~(sep & np.concatenate([[False], sep[:-1]]))  # one space for a run
@@ -67,8 +69,12 @@ def _buckets(part: list[bytes], grams: tuple[int, ...], bits: int) -> Iterator[t
             if count <= 0:
                 continue
             h = mix((run[n:] - run[:count]) * inverse[:count] + _U(n))
-            same = (doc[:count] == doc[n - 1 :]) & (doc[:count] >= 0)
-            yield doc[:count][same], (h[same] >> _U(64 - bits)).astype(np.int64)
+            bucket = (h >> _U(64 - bits)).view(np.int64)
+            hit = (doc[:count] == doc[n - 1 :]) & (doc[:count] >= 0)
+            if use is not None:
+                hit &= use[bucket]
+            at = np.flatnonzero(hit)
+            yield doc[at], bucket[at]
 
 
 def _overlapping(texts: list[bytes], reach: int) -> Iterator[tuple[list[bytes], list[int]]]:
@@ -77,7 +83,7 @@ def _overlapping(texts: list[bytes], reach: int) -> Iterator[tuple[list[bytes],
     So an n-gram of up to ``reach + 1`` bytes lies whole in one of the parts.
     """
     before, end = -1, b""
-    for part, owner in slices(texts):
+    for part, owner in slices(texts, STEP):
         if owner[0] == before:
             part = [end + part[0], *part[1:]]
         before, last = owner[-1], part[-1]
@@ -89,20 +95,27 @@ def _overlapping(texts: list[bytes], reach: int) -> Iterator[tuple[list[bytes],
         yield part, owner
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """The distinct keys, ascending; sorts in place."""
+    keys.sort()
+    first = np.ones(len(keys), dtype=bool)
+    np.not_equal(keys[1:], keys[:-1], out=first[1:])
+    return keys[first]
+
+
 def features(texts: list[bytes], grams: tuple[int, ...] = GRAMS, bits: int = BITS, use: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text number, bucket) pairs, restricted to buckets that ``use`` marks."""
-    keys = [np.empty(0, np.int64)]
+    keys, before, shared = [np.empty(0, np.int64)], -1, False
     for part, owner in _overlapping(texts, max(grams) - 1):
-        own = np.array(owner, dtype=np.int64)
-        found = []
-        for doc, bucket in _buckets(part, grams, bits):
-            if use is not None:
-                hit = use[bucket]
-                doc, bucket = doc[hit], bucket[hit]
-            found.append(own[doc] << bits | bucket)
+        own = np.array(owner, dtype=np.int64) << bits
+        found = [own[doc] | bucket for doc, bucket in _buckets(part, grams, bits, use)]
         if found:
-            keys.append(np.unique(np.concatenate(found)))
-    key = np.unique(np.concatenate(keys))
+            keys.append(_distinct(np.concatenate(found)))
+        shared, before = shared or owner[0] == before, owner[-1]
+    # Parts come in the order of the texts, so only a text cut in parts needs them merged.
+    key = np.concatenate(keys)
+    if shared:
+        key = _distinct(key)
     return key >> bits, key & ((1 << bits) - 1)
 
 
@@ -124,12 +137,33 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, y: np.ndarray, weight: np.ndarray, n_columns: int, ridge: float) -> tuple[np.ndarray, float]:
-    """Ridge-penalised weighted logistic regression by conjugate-gradient Newton steps; the intercept is free."""
+def _sums(group: np.ndarray, member: np.ndarray, n_groups: int):
+    """A function of a vector: for each group the sum over its members; pairs are dealt by ``group`` once."""
+    order = np.argsort(group, kind="stable")
+    member = member[order]
+    size = np.bincount(group, minlength=n_groups)
+    held = np.flatnonzero(size)
+    start = (np.cumsum(size) - size)[held]
+
+    def sums(v: np.ndarray) -> np.ndarray:
+        out = np.zeros(n_groups)
+        if len(held):
+            out[held] = np.add.reduceat(v[member], start)
+        return out
+
+    return sums
+
+
+def _logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) -> tuple[np.ndarray, float]:
+    """Ridge-penalised weighted logistic regression by conjugate-gradient Newton steps; the intercept is free.
+
+    A row holds each of its ``columns`` with that column's value.
+    """
+    n, n_columns = len(y), len(values)
     w, b = np.zeros(n_columns), 0.0
-    n = len(y)
-    times = lambda v: np.bincount(rows, weights=values * v[columns], minlength=n)
-    back = lambda r: np.bincount(columns, weights=values * r[rows], minlength=n_columns)
+    of_row, of_column = _sums(rows, columns, n), _sums(columns, rows, n_columns)
+    times = lambda v: of_row(values * v)
+    back = lambda r: values * of_column(r)
     objective = lambda w, b: float(weight @ np.logaddexp(0, -(2 * y - 1) * (times(w) + b)) + ridge / 2 * w @ w)
     value = objective(w, b)
     for _ in range(30):
@@ -176,7 +210,7 @@ def _fit_columns(rows: np.ndarray, columns: np.ndarray, toxic: np.ndarray, n_col
     number = np.cumsum(chosen) - 1
     use = chosen[columns]
     weight = np.where(toxic == 1, share / pos, (1 - share) / neg) * (pos + neg)
-    w, intercept = _logistic(rows[use], number[columns[use]], ratio[columns[use]], toxic.astype(float), weight, int(chosen.sum()), RIDGE)
+    w, intercept = _logistic(rows[use], number[columns[use]], ratio[chosen], toxic.astype(float), weight, RIDGE)
     weights = np.zeros(n_columns)
     weights[chosen] = w * ratio[chosen]
     return weights, intercept

@@ -77,16 +77,13 @@ def test_classifier_without_both_classes(spark):
 
 
 @pytest.mark.parametrize("size", [1, 7, 50, 500])
-def test_features_do_not_depend_on_slices(size):
+def test_features_do_not_depend_on_slices(monkeypatch, size):
     rng = random.Random(size)
     long = [(words(rng, 300) + "\n").encode(), "".join(rng.choice("ab \n\t\u00e9") for _ in range(2000)).encode(), b"  \n" * 300 + b"x yz" + b" " * 900 + b"end"]
     some = [b"a", *long, b"", b"b c"]
     one = toxicity.features(some)
-    old, toxicity.slices.__defaults__ = toxicity.slices.__defaults__, (size,)
-    try:
-        other = toxicity.features(some)
-    finally:
-        toxicity.slices.__defaults__ = old
+    monkeypatch.setattr(toxicity, "STEP", size)
+    other = toxicity.features(some)
     assert [x.tolist() for x in one] == [x.tolist() for x in other]
 
 
