@@ -189,7 +189,9 @@ def unwrap(df: DataFrame, keys: list[str], order: list[str], value: str, out: st
     """Angles without jumps of more than half a period."""
     w = _over(keys, order)
     jump = F.coalesce(F.col(value) - F.lag(value).over(w), F.lit(0.0))
-    near = F.pmod(jump + period / 2, F.lit(period)) - period / 2
+    # Not pmod, which takes a rest just below zero for a whole period and turns it to zero.
+    rest = (jump + period / 2) % period
+    near = F.when(rest < 0, rest + period).otherwise(rest) - period / 2
     near = F.when((near == -period / 2) & (jump > 0), F.lit(period / 2)).otherwise(near)
     step = F.when(F.abs(jump) < period / 2, F.lit(0.0)).otherwise(near - jump)
     rows = df.withColumn("_step", step)

@@ -153,3 +153,11 @@ def test_series_edges(spark):
     assert series.valid_runs(df, ["s"], ["i"], F.col("v") > 100).count() == 0
     for f in (lambda d: series.hampel(d, ["s"], ["i"], "v"), lambda d: series.interpolate(d, ["s"], ["i"], "v"), lambda d: series.speed(d, ["s"], ["i"], "v"), lambda d: series.trimmed_mean(d, ["s"], "v", 0.5)):
         assert f(df.limit(0)).count() == 0
+
+
+def test_a_jump_just_over_half_a_turn_down_is_unwrapped(spark):
+    """The rest of such a jump is so little below zero that adding a period gives the period."""
+    values = [180.0, 0.0, float(np.nextafter(180, 360)), 0.0, -180.0, 0.0, 540.0]
+    df = spark.createDataFrame([(1, i, v) for i, v in enumerate(values)], "s int, i int, v double")
+    got = [r.unwrapped for r in series.unwrap(df, ["s"], ["i"], "v").orderBy("i").collect()]
+    assert np.allclose(got, np.unwrap(values, period=360.0), atol=1e-9)
