@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinelake import skeletons
@@ -726,8 +726,11 @@ def associate_people(spark, sf_dir):
     gap = (F.col("frame") % 3 == 0) & (F.col("cam_a") == 0) & (F.col("cam_b") == 3)
     pairs = a.join(b, "frame").filter("cam_a < cam_b").withColumn("affinity", F.when(gap, 0.0).when(F.col("ta") == F.col("tb"), 0.9).otherwise(0.05))
     found = associate.associate_people(pairs, rows, ["frame"], [0, 1, 2, 3])
-    first = found.filter("cam_id = 0").select("frame", "proposal", F.col("person_id").alias("of_camera_0"))
-    return found.join(first, ["frame", "proposal"]).select("frame", "cam_id", "person_id", "of_camera_0")
+    first = F.max(F.when(F.col("cam_id") == 0, F.col("person_id"))).over(Window.partitionBy("frame", "proposal"))
+    found = found.withColumn("first", first).drop("proposal")
+    # A proposal takes two cameras; whom the first camera alone sees (the last frame may end there) stays its person.
+    alone = F.when(F.col("cam_id") == 0, F.col("person_id"))
+    return rows.join(found, ["frame", "cam_id", "person_id"], "left").select("frame", "cam_id", "person_id", F.coalesce("first", alone).alias("of_camera_0"))
 
 
 @query("""

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from kinelake import config
 from kinelake.operators import calibrate, keypoints, measure, triangulate
 from kinelake.plans import motion
-from kinelake.plans.queries import ring
+from kinelake.plans.queries import associate_people, ring
 from kinelake.skeletons import skeleton_table
 from kinelake.streaming import online
 
@@ -82,3 +82,11 @@ def test_streams(spark, tmp_path):
     q = online.activity_stream(stream, "at", ["s"], "value").writeStream.outputMode("complete").format("memory").queryName("activity").trigger(availableNow=True).start()
     assert q.awaitTermination(60)
     assert spark.sql("select sum(n), sum(total) from activity").first()[:] == (40, 200.0)
+
+
+@pytest.mark.parametrize("last", [1, 2, 3, 5, 7])
+def test_people_of_an_unfinished_frame_are_kept(spark, tmp_path, last):
+    """Frames end after any number of rows: with the first camera alone there is nobody to match."""
+    spark.range(24 + last).withColumnRenamed("id", "vec_id").write.parquet(str(tmp_path / "embeddings.parquet"))
+    want = [(i // 8, i % 8 // 2, i % 2, (i % 2 + i % 8 // 2 * (i // 8)) % 2) for i in range(24 + last)]
+    assert sorted(tuple(r) for r in associate_people(spark, str(tmp_path)).collect()) == want
