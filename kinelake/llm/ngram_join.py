@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinelake.llm.components import connected_components
-from kinelake.llm.storage import Scratch, bounded, numbered
+from kinelake.llm.storage import Scratch, bounded, lean, numbered
 from kinelake.llm.text import as_bytes, hash_words, mix, window_hash
 
 TABLE = 1 << 17
@@ -165,7 +165,7 @@ def _first_pass(df: DataFrame, n: int) -> DataFrame:
         if held:
             yield frequent()
 
-    return df.mapInArrow(run, f"kind int, id {df.schema['id'].dataType.simpleString()}, key binary, token bigint, n bigint")
+    return df.mapInArrow(lean(run), f"kind int, id {df.schema['id'].dataType.simpleString()}, key binary, token bigint, n bigint")
 
 
 def _choose(cost: np.ndarray, first: int, size: int) -> int:
@@ -205,7 +205,7 @@ def _prefixes(df: DataFrame, n: int, percent: int, tokens: np.ndarray, counts: n
             key, size, want, prefix, bits = zip(*out, strict=True) if out else ((),) * 5
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(size, pa.int64()), pa.array(want, pa.int32()), pa.array(list(prefix), pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["key", "n", "matches", "prefix", "bits"])
 
-    return df.select("text").mapInArrow(run, "key binary, n bigint, matches int, prefix array<bigint>, bits binary")
+    return df.select("text").mapInArrow(lean(run), "key binary, n bigint, matches int, prefix array<bigint>, bits binary")
 
 
 def _sets_of(df: DataFrame, needed: DataFrame, n: int) -> DataFrame:
@@ -227,7 +227,7 @@ def _sets_of(df: DataFrame, needed: DataFrame, n: int) -> DataFrame:
             sets = [s for s in shingle_sets(as_bytes(b.column(1)), n) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "hashes"])
 
-    found = df.select(F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)).cast("int").alias("b"), "text").mapInArrow(run, "key binary, hashes binary")
+    found = df.select(F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)).cast("int").alias("b"), "text").mapInArrow(lean(run), "key binary, hashes binary")
     return found.join(needed.select("key", "node"), "key").dropDuplicates(["node"]).select("node", "hashes")
 
 
@@ -244,7 +244,7 @@ def _check_pairs(pairs: DataFrame, percent: int, exact: bool) -> DataFrame:
                 keep = [may_link(p, q, na, nb, percent) for p, q, (na, nb) in zip(x, y, sizes, strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.mapInArrow(run, "a bigint, b bigint")
+    return pairs.mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def _both(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinelake.llm.storage import Scratch, parts
+from kinelake.llm.storage import Scratch, lean, parts
 from kinelake.llm.tokens import encode_documents, worker_encoder
 
 LENGTH = 1024
@@ -81,4 +81,4 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
     kind = df.schema[id_col].dataType.simpleString()
     base = scratch.table(base, "bases")  # a row for each partition: broadcast while that is a few megabytes
     placed = docs.join(F.broadcast(base) if base.count() <= BROADCAST_PARTS else base, "part").select("id", (F.col("base") + F.col("at")).alias("at"), "n", "ids", "all_tokens")
-    return placed.mapInArrow(run, f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, padded_length bigint").withColumnRenamed("id", id_col)
+    return placed.mapInArrow(lean(run), f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, padded_length bigint").withColumnRenamed("id", id_col)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinelake.llm.storage import Scratch, numbered, parts
+from kinelake.llm.storage import Scratch, lean, numbered, parts
 from kinelake.llm.text import _SEP, as_bytes, joined, mix, prefix_hash, slices, span_hash, window_hash, word_spans
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -129,7 +129,7 @@ def measure_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kinds = [df.schema[c].dataType.simpleString() for c in (id_col, host_col)]
     uid = F.col(row_col) if row_col else F.monotonically_increasing_id()
     return df.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"), uid.alias("uid")).mapInArrow(
-        run, f"id {kinds[0]}, host {kinds[1]}, uid bigint, {', '.join(f'{k} bigint' for k in MEASURES)}, lines array<struct<h:bigint,w:bigint>>"
+        lean(run), f"id {kinds[0]}, host {kinds[1]}, uid bigint, {', '.join(f'{k} bigint' for k in MEASURES)}, lines array<struct<h:bigint,w:bigint>>"
     )
 
 
@@ -235,7 +235,7 @@ def texts(
 
     names = df.columns
     # One kind of join at every size, so that disk grows with the input alone.
-    return rows.join(kept.hint("merge"), "uid").select("doc", "gone").mapInArrow(run, df.schema)
+    return rows.join(kept.hint("merge"), "uid").select("doc", "gone").mapInArrow(lean(run), df.schema)
 
 
 #: The query in SQL, for ids that name one row each.

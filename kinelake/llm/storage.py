@@ -12,9 +12,11 @@ JVM ends.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -25,6 +27,10 @@ from pyspark.sql import functions as F
 ROWS, SIZE = 2000, "16m"
 #: Files whose numbers are broadcast to number rows; tables of more files are written with their numbers.
 BROADCAST_FILES = 100_000
+#: Without its native library, Hadoop starts a process (chmod) for each local file and folder made, and three
+#: more for a file with checksums; until such a process runs its command, the JVM's memory counts twice.
+#: So local scratch files have no checksum file.  Other file systems are not concerned.
+LOCAL_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 #: Rows of a file have numbers below this.
 FILE_ROWS = 1 << 40
 
@@ -83,6 +89,37 @@ def parts(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.Re
             yield b.slice(i, rows)
 
 
+#: What a Python worker keeps from one task to the next, and other operators' tasks drop.
+KEPT: list[dict] = []
+
+
+def forget() -> None:
+    """Drop what this worker keeps."""
+    for kept in KEPT:
+        kept.clear()
+
+
+def hand_back() -> None:
+    """Give memory that this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow`` in a worker that is small between tasks, as idle workers stay beside the JVM's own stages."""
+
+    @functools.wraps(run)
+    def leaving_little(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        try:
+            yield from run(batches)
+        finally:
+            hand_back()
+
+    return leaving_little
+
+
 class Scratch:
     """A folder of its own below the shared root."""
 
@@ -104,7 +141,7 @@ class Scratch:
     def table(self, df: DataFrame, name: str, rows: int = ROWS) -> DataFrame:
         """Write ``df`` as Parquet, in Arrow batches of at most ``rows`` where Python takes part, and read it back with the same schema."""
         with bounded(self.spark, rows):
-            df.write.option("compression", "zstd").parquet(self.path(name))
+            df.write.options(compression="zstd", **LOCAL_FILES).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

@@ -18,6 +18,8 @@ import re
 
 import numpy as np
 
+from kinelake.llm.storage import KEPT
+
 #: White space as the tokenizer's pattern has it (Unicode White_Space), and letters.
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _L = "a-zA-ZÀ-ÖØ-öø-ÿ"
@@ -92,6 +94,7 @@ class ChunkEncoder:
 
 
 _encoders: dict[tuple[str, bool], ChunkEncoder] = {}
+KEPT.append(_encoders)
 
 
 def worker_encoder(path: str, special_as_text: bool = False) -> ChunkEncoder:

@@ -2,6 +2,7 @@ import random
 import re
 import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -9,8 +10,8 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from kinelake.llm import secret_scan
-from kinelake.llm.storage import Scratch, bounded, numbered, shared_root
+from kinelake.llm import secret_scan, tokens
+from kinelake.llm.storage import Scratch, bounded, lean, numbered, shared_root
 from tests.llm.cases import frame, texts, words
 
 
@@ -247,3 +248,32 @@ def test_stages_read_files_and_frames_alike(spark, tmp_path, name):
     assert copies(out.collect(), "doc_id") == copies(stage(spark, docs, "").collect(), "doc_id")
     (empty := docs.limit(0)).write.parquet(str(tmp_path / "e"))
     assert stage(spark, spark.read.parquet(str(tmp_path / "e")), "").count() == 0 and empty.columns == out.columns
+
+
+def test_a_worker_is_small_after_a_task():
+    """What packing keeps is dropped by another stage's task, and memory that is freed goes back to the system."""
+
+    def size():
+        return int(re.search(r"Pss_Anon:\s+(\d+)", open("/proc/self/smaps_rollup").read())[1]) >> 10
+
+    def run(batches):
+        nonlocal full, last
+        assert not tokens._encoders
+        held = [bytes([1]) * 50_000 for _ in range(6000)]
+        last, full = bytes([2]) * 50_000, size()
+        yield from batches
+        del held
+
+    full, last = 0, b""
+    tokens.worker_encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    before = size()
+    assert list(lean(run)(iter([1, 2]))) == [1, 2]
+    assert full > before + 200 and size() < before + 60 and last
+
+
+def test_tables_are_written_without_checksum_files(spark):
+    """Hadoop would start three processes more for each file that has one."""
+    scratch = Scratch(spark)
+    table = scratch.table(spark.range(20, numPartitions=4), "t")
+    files = sorted(p.name for p in Path(scratch.path("t").removeprefix("file://")).iterdir())
+    assert table.count() == 20 and len(files) == 5 and files[0] == "_SUCCESS" and not any(f.endswith(".crc") for f in files)
