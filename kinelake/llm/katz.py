@@ -25,8 +25,8 @@ are known, answers each batch with counts and back-off weights.  A batch collect
 the answers of all orders and evaluates the recursion token by token.  What a task
 has for one bucket or batch travels as one row.  Histories with a large share of
 the tokens are split over buckets by the next word; their sums, a bounded number,
-are added up and broadcast.  An order's n-grams are counted in ``ROUNDS`` shares of
-the buckets, so that the shuffle files of one share exist at a time.  Texts are
+are added up and broadcast.  An order's n-grams are sorted and counted in ``ROUNDS`` shares
+of the buckets, so that the shuffle files of one share exist at a time.  Texts are
 read once and never shuffled; each phase is a table in the shared folder.
 
 N-grams are told apart by 64-bit hashes of word numbers.  Ids are cast to long.
@@ -65,6 +65,7 @@ MOST_SPLIT = 1_000_000
 END = np.uint64(0x5EEDED0FD0C5)
 _U = np.uint64
 _FACTOR = _U(0x9E3779B97F4A7C15)
+_COMPRESS, _DECOMPRESS = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 _ROW = "key bigint, kind int, ids array<bigint>, data array<binary>, stats array<bigint>"
 _RESULT = "id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
 
@@ -77,11 +78,11 @@ def squeeze(a: np.ndarray, near: bool = False) -> bytes:
     if a.dtype == _U and (not len(a) or a.max() < 1 << 32):
         a = a.astype(np.uint32)
     planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes()
-    return bytes([a.dtype.itemsize]) + zstandard.ZstdCompressor(level=1).compress(planes)
+    return bytes([a.dtype.itemsize]) + _COMPRESS.compress(planes)
 
 
 def unsqueeze(data: bytes, near: bool = False, dtype: type = np.uint64) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), dtype=np.uint8)
+    planes = np.frombuffer(_DECOMPRESS.decompress(data[1:]), dtype=np.uint8)
     raw = np.ascontiguousarray(planes.reshape(data[0], -1).T).reshape(-1)
     a = raw.view(np.float64) if dtype is np.float64 else raw.view(np.uint32 if data[0] == 4 else _U).astype(_U)
     return np.cumsum((a >> _U(1)) ^ (_U(0) - (a & _U(1))), dtype=_U) if near else a
@@ -279,8 +280,25 @@ class _Batch:
         ends = int(self.counts[0][self.lengths[0] - 1]) if len(self.counts) == 1 else 0
         return self._before(self.counts[-1], ends)
 
-    def grams(self, buckets: int, split_from: int) -> _Grams:
-        return _Grams(self, self._history_count(), buckets, split_from)
+    def grams(self, buckets: int, split_from: int) -> Iterator[_Grams]:
+        """The next order's n-grams, share after share."""
+        keys = self.keys(buckets, split_from)
+        return (_Grams(self, keys, buckets, turn) for turn in range(ROUNDS))
+
+    def keys(self, buckets: int, split_from: int) -> _Keys:
+        """Of the tokens whose history was seen."""
+        history, order = self._history_count(), len(self.counts) + 1
+        key = mix(self.number)
+        before = self._before(key, 0)
+        before[self.first] = mix(np.zeros(1, _U))[0]
+        for _ in range(order - 2):
+            key = mix(before * _FACTOR + self.number)
+            before = self._before(key, 0)
+        token = np.flatnonzero(history > 0)
+        before = before[token]
+        gram = mix(before * _FACTOR + self.number[token])
+        split = history[token] >= split_from
+        return _Keys(token, before, gram, split, _bucket(np.where(split, gram, before), buckets))
 
     def probability(self, model: Model) -> np.ndarray:
         """p of each token: the recursion from single words up."""
@@ -290,27 +308,31 @@ class _Batch:
         return p
 
 
+@dataclass(frozen=True)
+class _Keys:
+    """Tokens, the hashes of their histories and n-grams, whether their histories are split, and their buckets."""
+
+    token: np.ndarray
+    before: np.ndarray
+    gram: np.ndarray
+    split: np.ndarray
+    bucket: np.ndarray
+
+
 class _Grams:
-    """The distinct n-grams of a batch's next order whose history was seen, in the order of its requests."""
+    """The distinct n-grams of a batch's next order whose history was seen and whose bucket is of one share, in the order of its requests."""
 
-    def __init__(self, b: _Batch, history: np.ndarray, buckets: int, split_from: int) -> None:
-        order = len(b.counts) + 1
-        key = mix(b.number)
-        before = b._before(key, 0)
-        before[b.first] = mix(np.zeros(1, _U))[0]
-        for _ in range(order - 2):
-            key = mix(before * _FACTOR + b.number)
-            before = b._before(key, 0)
-        self.token = np.flatnonzero(history > 0)
-        before = before[self.token]
-        distinct, self.inverse = np.unique(mix(before * _FACTOR + b.number[self.token]), return_inverse=True)
+    def __init__(self, b: _Batch, keys: _Keys, buckets: int, turn: int) -> None:
+        own = np.flatnonzero(keys.bucket % _U(ROUNDS) == turn)
+        self.token = keys.token[own]
+        distinct, self.inverse = np.unique(keys.gram[own], return_inverse=True)
         at = np.empty(len(distinct), np.int64)
-        at[self.inverse] = np.arange(len(self.token))
+        at[self.inverse] = np.arange(len(own))
         self.times = np.bincount(self.inverse, weights=b.train[self.token], minlength=len(distinct)).astype(_U)
-        self.before, at = before[at], self.token[at]
-        self.word, self.lower, self.split = b.number[at], b.counts[-1][at], history[at] >= split_from
+        own, at = own[at], self.token[at]
+        self.before, self.split, bucket = keys.before[own], keys.split[own], keys.bucket[own]
+        self.word, self.lower = b.number[at], b.counts[-1][at]
         self.divisor = b.history[-1][at] + b.plus[-1][at].astype(_U) if b.history else np.zeros(len(at), _U)
-        bucket = _bucket(np.where(self.split, distinct, self.before), buckets)
         bits = max(1, int(buckets).bit_length())
         self.order = np.argsort(bucket << _U(64 - bits) | _place(self.before, distinct) >> _U(bits))
         self.cuts = np.searchsorted(bucket[self.order], np.arange(buckets + 1)).tolist()
@@ -332,11 +354,11 @@ def _ask_grams(batches: DataFrame, buckets: int, split_from: int, turn: int) ->
         post = _Post()
         for b in rows:
             for r in b.to_pylist():
-                g = _Batch(r).grams(buckets, split_from)
+                own = _Batch(r)
+                g = _Grams(own, own.keys(buckets, split_from), buckets, turn)
                 for k, at in g.requests():
-                    if k % ROUNDS == turn:
-                        post.add(k, r["key"], [squeeze(g.before[at], True), *(squeeze(x[at]) for x in (g.word, g.times, g.lower, g.divisor)), _bits(g.split[at])])
-                del g
+                    post.add(k, r["key"], [squeeze(g.before[at], True), *(squeeze(x[at]) for x in (g.word, g.times, g.lower, g.divisor)), _bits(g.split[at])])
+                del g, own
                 yield from post.flush(GATHER)
         yield from post.flush()
 
@@ -350,6 +372,21 @@ def _runs(before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return by, np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
 
 
+def _by_gram(before: np.ndarray, word: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """An order by ``key`` in which equal n-grams stand together, also where others have the same key."""
+    by = np.argsort(key)
+    k, b, w = key[by], before[by], word[by]
+    apart = (k[1:] == k[:-1]) & ((b[1:] != b[:-1]) | (w[1:] != w[:-1]))
+    if apart.any():
+        shared = np.unique(k[1:][apart])
+        edge = np.zeros(len(k) + 1, np.int8)
+        edge[np.searchsorted(k, shared)] += 1
+        edge[np.searchsorted(k, shared, "right")] -= 1
+        at = np.flatnonzero(np.cumsum(edge[:-1]))
+        by[at] = by[at][np.lexsort((w[at], b[at], k[at]))]
+    return by
+
+
 def _count_grams(model: Model, order: int):
     def count(table: pa.Table) -> pa.Table:
         """A bucket's part of an order's table (histories, words, counts, which are split, p of the successors one order lower where it is needed) and the places of each batch's n-grams in it."""
@@ -360,7 +397,7 @@ def _count_grams(model: Model, order: int):
         split = np.concatenate([_flags(m[5], n) for (_, m), n in zip(asked, sizes, strict=True)])
         before = np.concatenate(before)
         word, times = (np.concatenate([unsqueeze(m[c]) for _, m in asked]) for c in (1, 2))
-        by = np.argsort(_place(before, mix(before * _FACTOR + word)))
+        by = _by_gram(before, word, _place(before, mix(before * _FACTOR + word)))
         b, w = before[by], word[by]
         new = np.concatenate([[True], (b[1:] != b[:-1]) | (w[1:] != w[:-1])])
         place = np.empty(len(by), dtype=_U)
@@ -442,17 +479,15 @@ def _collected(table: pa.Table, buckets: int, split_from: int) -> tuple[dict, li
     own = next(r for r in rows if r["kind"] == 0)
     answers = dict(_messages([r for r in rows if r["kind"] == 2], 3))
     b = _Batch(own)
-    g = b.grams(buckets, split_from)
-    times, plus, alpha = np.zeros(len(g.times), _U), np.zeros(len(g.times), bool), np.ones(len(g.times))
-    for k, at in g.requests():
-        t, p, a = answers[k]
-        times[at], plus[at] = unsqueeze(t), _flags(p, len(at))
-        alpha[at[times[at] == 0]] = unsqueeze(a, dtype=np.float64)
-    level = np.zeros(len(b.number), _U)
-    level[g.token] = times[g.inverse]
-    added = np.zeros(len(b.number), bool)
-    added[g.token] = plus[g.inverse]
-    return own, [squeeze(level), _bits(added), squeeze(alpha[g.inverse][level[g.token] == 0])]
+    level, added, weight = np.zeros(len(b.number), _U), np.zeros(len(b.number), bool), np.ones(len(b.number))
+    for g in b.grams(buckets, split_from):
+        times, plus, alpha = np.zeros(len(g.times), _U), np.zeros(len(g.times), bool), np.ones(len(g.times))
+        for k, at in g.requests():
+            t, p, a = answers[k]
+            times[at], plus[at] = unsqueeze(t), _flags(p, len(at))
+            alpha[at[times[at] == 0]] = unsqueeze(a, dtype=np.float64)
+        level[g.token], added[g.token], weight[g.token] = times[g.inverse], plus[g.inverse], alpha[g.inverse]
+    return own, [squeeze(level), _bits(added), squeeze(weight[(b._history_count() > 0) & (level == 0)])]
 
 
 def _with_level(buckets: int, split_from: int):

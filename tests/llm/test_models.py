@@ -190,6 +190,34 @@ def test_katz_against_plain_model(spark, monkeypatch, order, size, split):
         assert a[:4] == b[:4] and a[4] == pytest.approx(b[4], abs=1e-6) and a[5] == pytest.approx(b[5], abs=1e-6)
 
 
+def test_katz_shares_split_the_work():
+    """Each share sorts the n-grams of its own buckets alone, and the shares hold each n-gram once."""
+    rng = np.random.default_rng(5)
+    n, lengths = 4000, np.array([1500, 1, 2499])
+    docs = np.ones(3, bool).tobytes() + np.arange(3).tobytes() + lengths.tobytes() + np.array([True, True, False]).tobytes()
+    number = np.arange(1, 61, dtype=np.uint64)
+    place = rng.integers(0, 60, n).astype(np.uint64)
+    b = katz._Batch({"data": [docs, *(katz.squeeze(x) for x in (place, number, np.full(60, 9, np.uint64)))]})
+    shares = list(b.grams(12, 100))
+    pairs = {(int(x), int(w)) for g in shares for x, w in zip(g.before, g.word, strict=True)}
+    of_share = [sorted({k for k, _ in g.requests()}) for g in shares]
+    assert [{k % katz.ROUNDS for k in x} for x in of_share] == [{0}, {1}]
+    assert len(pairs) == sum(len(g.times) for g in shares) and max(len(g.times) for g in shares) < len(pairs)
+    assert sorted(np.concatenate([g.token for g in shares])) == list(range(n))
+    assert sum(int(g.times.sum()) for g in shares) == 1501
+
+
+def test_katz_grams_with_one_key_are_counted_apart_and_whole():
+    """The sort key holds 24 bits of an n-gram's hash; others with the same ones must not come between its requests."""
+    rng = np.random.default_rng(2)
+    before, word = rng.integers(0, 3, 900).astype(np.uint64), rng.integers(0, 7, 900).astype(np.uint64)
+    for key in (before // np.uint64(2), np.zeros(900, np.uint64), before * np.uint64(8) + word):
+        by = katz._by_gram(before, word, key)
+        grams = [(int(before[i]), int(word[i])) for i in by]
+        assert sorted(by) == list(range(900)) and (np.diff(key[by].astype(int)) >= 0).all()
+        assert 1 + sum(x != y for x, y in zip(grams, grams[1:], strict=False)) == len(set(grams))
+
+
 def test_katz_edges(spark):
     from pyspark.sql import functions as F
 
